@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwise.oracle_sql import advanced as oa
 from shelfwise.oracle_sql import exploration as ox
+from shelfwise.plans import advanced as ad
 from shelfwise.plans import exploration as ex
 from shelfwise.sources import load_products
 
@@ -37,6 +39,14 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "e8_quality_histogram": (_on_products(ex.quality_histogram), ox.E8),
     "e9_price_rating_buckets": (_on_products(ex.price_rating_buckets), ox.E9),
     "e10_quality_card": (_on_products(ex.quality_card), ox.E10),
+    "a1_top_products": (_on_products(ad.top_products), oa.A1),
+    "a2_category_scoreboard": (_on_products(ad.category_scoreboard), oa.A2),
+    "a3_price_positions": (_on_products(ad.price_positions), oa.A3_ROWS),
+    "a3_price_recommendations": (_on_products(ad.price_recommendations), oa.A3),
+    "a4_satisfaction_segments": (_on_products(ad.satisfaction_segments), oa.A4),
+    "a5_performance_cohorts": (_on_products(ad.performance_cohorts), oa.A5),
+    "a6_strategic_positions": (_on_products(ad.strategic_positions), oa.A6),
+    "a7_market_opportunities": (_on_products(ad.market_opportunities), oa.A7),
 }
 
 
