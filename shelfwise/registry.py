@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.oracle_sql import advanced as oa
 from shelfwise.oracle_sql import exploration as ox
+from shelfwise.oracle_sql import kpi as ok
 from shelfwise.plans import advanced as ad
 from shelfwise.plans import exploration as ex
+from shelfwise.plans import kpi
 from shelfwise.sources import load_products
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +49,16 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "a5_performance_cohorts": (_on_products(ad.performance_cohorts), oa.A5),
     "a6_strategic_positions": (_on_products(ad.strategic_positions), oa.A6),
     "a7_market_opportunities": (_on_products(ad.market_opportunities), oa.A7),
+    "k1_executive_card": (_on_products(kpi.executive_card), ok.K1),
+    "k2_performance_trends": (_on_products(kpi.performance_trends), ok.K2_TRENDS),
+    "k2_trending_summary": (_on_products(kpi.trending_summary), ok.K2),
+    "k3_category_performance": (_on_products(kpi.category_performance), ok.K3),
+    "k4_pricing_intelligence": (_on_products(kpi.pricing_intelligence), ok.K4),
+    "k5_satisfaction_nps": (_on_products(kpi.satisfaction_nps), ok.K5),
+    "k6_revenue_impact": (_on_products(kpi.revenue_impact), ok.K6),
+    "k7_competition": (_on_products(kpi.competition), ok.K7),
+    "k8_action_priorities": (_on_products(kpi.action_priorities), ok.K8),
+    "k9_success_tracking": (_on_products(kpi.success_tracking), ok.K9),
 }
 
 
