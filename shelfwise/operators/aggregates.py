@@ -59,26 +59,34 @@ def with_global(df: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
     return df.crossJoin(one_row(df.agg(*aggregates)))
 
 
-def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Fixed-width histogram: ``bin`` (1..bins), ``bin_start``, ``bin_end``, ``count``.
+def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
+    """Fixed-width bin 1..bins over [lo, hi] (``hi`` in the last bin); 0 below, bins+1 above."""
+    inner = F.floor(F.lit(float(bins)) * (v - F.lit(float(lo))) / F.lit(float(hi - lo))).cast("bigint") + F.lit(1)
+    return (
+        F.when(v < F.lit(float(lo)), F.lit(0).cast("bigint"))
+        .when(v > F.lit(float(hi)), F.lit(bins + 1).cast("bigint"))
+        .when(v == F.lit(float(hi)), F.lit(bins).cast("bigint"))
+        .otherwise(inner)
+    )
 
-    ``width_bucket`` puts ``hi`` itself in bin ``bins`` (closed last bin).
-    """
+
+def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Fixed-width histogram: ``bin`` (1..bins; 0 / bins+1 hold values outside), ``bin_start``,
+    ``bin_end`` and ``count``, optionally per group ``keys``. One aggregation."""
     width = (hi - lo) / bins
-    b = F.least(F.width_bucket(F.col(col), F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
-    out = (
+    b = bin_index(F.col(col), lo, hi, bins)
+    return (
         df.where(F.col(col).isNotNull())
         .groupBy(*keys, b.alias("bin"))
         .agg(F.count(F.lit(1)).alias("count"))
         .select(
             *keys,
-            F.col("bin").cast("bigint").alias("bin"),
-            (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("bin_start"),
-            (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_end"),
+            "bin",
+            (F.lit(float(lo)) + (F.col("bin") - F.lit(1)).cast("double") * F.lit(width)).alias("bin_start"),
+            (F.lit(float(lo)) + F.col("bin").cast("double") * F.lit(width)).alias("bin_end"),
             "count",
         )
     )
-    return out
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:

@@ -8,9 +8,21 @@ from pyspark.sql import functions as F
 from shelfwise.schema import PRODUCT_ID, SEED
 
 
+# Lehmer (MINSTD) multiplier and modulus: a portable pseudo-random order that
+# any SQL engine computes exactly in 64-bit integers.
+_MINSTD_A = 48271
+_MINSTD_M = 2147483647
+
+
 def hash_key(id_col: str = PRODUCT_ID, seed: int = SEED) -> Column:
-    """A pseudo-random but fixed 64-bit key per row (xxhash64 of id and seed)."""
-    return F.xxhash64(F.col(id_col), F.lit(seed))
+    """A fixed pseudo-random key per row: ``((id mod M) * A + seed) mod M`` (MINSTD)."""
+    c = F.col(id_col).cast("bigint")
+    return ((c % F.lit(_MINSTD_M)) * F.lit(_MINSTD_A) + F.lit(seed)) % F.lit(_MINSTD_M)
+
+
+def hash_key_sql(id_col: str = PRODUCT_ID, seed: int = SEED) -> str:
+    """The same key as SQL text (for an oracle)."""
+    return f"((CAST({id_col} AS BIGINT) % {_MINSTD_M}) * {_MINSTD_A} + {seed}) % {_MINSTD_M}"
 
 
 def hash_sample(df: DataFrame, n: int, id_col: str = PRODUCT_ID, seed: int = SEED) -> DataFrame:

@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.oracle_sql import advanced as oa
+from shelfwise.oracle_sql import dashboard as od
 from shelfwise.oracle_sql import exploration as ox
 from shelfwise.oracle_sql import features as of
 from shelfwise.oracle_sql import kpi as ok
 from shelfwise.plans import advanced as ad
+from shelfwise.plans import dashboard as db
 from shelfwise.plans import exploration as ex
 from shelfwise.plans import features as fe
 from shelfwise.plans import kpi
@@ -92,6 +94,47 @@ REGISTRY.update(
 )
 
 
+def _dash(step) -> QueryFn:
+    """Dashboard data set over the coerce-cleaned catalogue, reported to 6 decimals."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return fe.report(step(db.load_clean(load_products(spark, sf_dir))))
+
+    run.__name__ = getattr(step, "__name__", "dashboard_step")
+    return run
+
+
+REGISTRY.update(
+    {
+        "d1_dashboard_clean": (_dash(lambda d: d), od.D1),
+        "d2a_category_counts": (_dash(db.category_counts), od.D2A),
+        "d2b_rating_histogram": (_dash(db.rating_histogram), od.D2B),
+        "d2c_price_rating_sample": (_dash(db.price_rating_sample), od.D2C),
+        "d2d_top_quality_categories": (_dash(db.top_quality_categories), od.D2D),
+        "d3a_category_metrics": (_dash(db.category_metrics), od.D3A),
+        "d3b_category_heatmap": (_dash(db.category_heatmap), od.D3B),
+        "d4a_rating_by_segment": (_dash(db.rating_by_segment), od.D4A),
+        "d4b_price_boxes": (_dash(db.price_boxes), od.D4B),
+        "d4c_discount_rating_sample": (_dash(db.discount_rating_sample), od.D4C),
+        "d4d_price_density": (_dash(db.price_density), od.D4D),
+        "d4e_underpriced_products": (_dash(db.underpriced_products), od.D4E),
+        "d5a_success_flags": (_dash(db.success_flags), od.D5A),
+        "d5b_success_by_category": (_dash(db.success_by_category), od.D5B),
+        "d5c_performance_sample": (_dash(db.performance_sample), od.D5C),
+        "d5d_success_factors": (_dash(db.success_factors), od.D5D),
+        "d5e_success_overview": (_dash(db.success_overview), od.D5E),
+        "d6a_subcategory_market": (_dash(db.subcategory_market), od.D6A),
+        "d6b_market_gaps": (_dash(db.market_gaps), od.D6B),
+        "d7a_key_metrics": (_dash(db.key_metrics), od.D7A),
+        "d7b_top5_quality_categories": (_dash(lambda d: db.top_quality_categories(d, 5)), od.D7B),
+        "d7c_strategic_insights": (_dash(db.strategic_insights), od.D7C),
+        "d8_correlation_matrix": (_dash(lambda d: db.correlation_matrix(d, price_range=(500.0, 5000.0))), od.D8),
+        "d9_category_drilldown": (_dash(db.category_drilldown), od.D9),
+        "d9_category_rating_histogram": (_dash(db.category_rating_histogram), od.D9_HIST),
+    }
+)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
