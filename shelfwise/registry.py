@@ -20,6 +20,7 @@ from shelfwise.plans import dashboard as db
 from shelfwise.plans import exploration as ex
 from shelfwise.plans import features as fe
 from shelfwise.plans import kpi
+from shelfwise.plans import ml
 from shelfwise.sources import load_products
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +136,41 @@ REGISTRY.update(
 )
 
 
+def _rating_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random forest rating model, hold-out RMSE."""
+    m = ml.rating_model(_feats(load_products(spark, sf_dir)))
+    return ml.model_report(spark, [("rmse", m.rmse), ("train_rows", m.train_rows), ("test_rows", m.test_rows)])
+
+
+def _success_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: cross-validated logistic regression, hold-out AUC and chosen parameters."""
+    m = ml.success_model(_feats(load_products(spark, sf_dir)))
+    return ml.model_report(
+        spark, [("auc", m.auc), ("best_reg_param", m.best_reg_param), ("best_elastic_net", m.best_elastic_net)]
+    )
+
+
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KMeans cluster sizes and means."""
+    return fe.report(ml.cluster_summary(ml.clusters(_feats(load_products(spark, sf_dir)))))
+
+
+def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7d: importance of every feature of the rating model."""
+    feats = _feats(load_products(spark, sf_dir))
+    return fe.report(ml.feature_importances(ml.rating_model(feats).model, feats))
+
+
+REGISTRY.update(
+    {
+        "p4_rating_model": (_rating_model, None),
+        "p5_success_model": (_success_model, None),
+        "p6_cluster_summary": (_clusters, None),
+        "p7d_feature_importance": (_importances, None),
+    }
+)
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
