@@ -136,9 +136,20 @@ REGISTRY.update(
 )
 
 
+_MODELS: dict[tuple[str, str], ml.RatingModel] = {}
+
+
+def _fitted_rating_model(spark: SparkSession, sf_dir: str):
+    """The fitted rating model, trained once per application (as the pipeline keeps its models)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = ml.rating_model(_feats(load_products(spark, sf_dir)))
+    return _MODELS[key]
+
+
 def _rating_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random forest rating model, hold-out RMSE."""
-    m = ml.rating_model(_feats(load_products(spark, sf_dir)))
+    m = _fitted_rating_model(spark, sf_dir)
     return ml.model_report(spark, [("rmse", m.rmse), ("train_rows", m.train_rows), ("test_rows", m.test_rows)])
 
 
@@ -158,7 +169,7 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7d: importance of every feature of the rating model."""
     feats = _feats(load_products(spark, sf_dir))
-    return fe.report(ml.feature_importances(ml.rating_model(feats).model, feats))
+    return fe.report(ml.feature_importances(_fitted_rating_model(spark, sf_dir).model, feats))
 
 
 REGISTRY.update(

@@ -14,8 +14,12 @@ with ``part`` on the same key; no broadcast is forced, AQE picks the join.
 
 from __future__ import annotations
 
+import hashlib
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from shelfwise.schema import CURRENCY, PRODUCT_ID, RAW_COLUMNS
 
@@ -110,11 +114,39 @@ def derive_products(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     return rows.unionByName(copies).select(PRODUCT_ID, *RAW_COLUMNS)
 
 
-def load_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived catalogue for a fixture directory (reads only the needed columns)."""
+_MATERIALISED: dict[tuple[str, str], DataFrame] = {}
+
+
+def load_products(spark: SparkSession, sf_dir: str, materialise: bool = True) -> DataFrame:
+    """Derived catalogue for a fixture directory (reads only the needed columns).
+
+    With ``materialise`` the catalogue is built once per application, like the
+    stored product table the analyses query: written as Parquet under the
+    shared checkpoint folder (``spark.checkpoint.dir``) when one is
+    configured - later scans are column-pruned and survive executor loss -
+    otherwise persisted (memory and disk, recomputable from lineage).
+    """
     part = read_table(spark, sf_dir, "part")
     lineitem = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice")
-    return derive_products(part, lineitem)
+    derived = derive_products(part, lineitem)
+    if not materialise:
+        return derived
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    cached = _MATERIALISED.get(key)
+    if cached is not None:
+        return cached
+    from shelfwise.session import ensure_checkpoint_dir
+
+    shared = ensure_checkpoint_dir(spark)
+    if shared:
+        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+        path = f"{shared.rstrip('/')}/shelfwise-catalogue-{tag}"
+        derived.write.mode("overwrite").parquet(path)
+        out = spark.read.parquet(path)
+    else:
+        out = derived.persist(StorageLevel.MEMORY_AND_DISK)
+    _MATERIALISED[key] = out
+    return out
 
 
 # ---------------------------------------------------------------------------
