@@ -197,8 +197,10 @@ def positions_in_group(
     aggregation, so no group is sorted or gathered in one task.
     """
     cols = sorted({c for spec in orders.values() for c, _ in spec} | {id_col})
+    # Persisted once: the size check, the pairing join and the final join all
+    # read the same selected rows.
+    selected = broadcast_checked(selected, max_rows=max_selected_rows)
     sel = selected.select(*keys, *[c for c in cols if c not in keys])
-    sel = broadcast_checked(sel, max_rows=max_selected_rows)
     pop = population.select(*keys, *[c for c in cols if c not in keys])
     on = _null_safe_on("p", "s", keys, keys)
     pairs = pop.alias("p").join(sel.alias("s"), on, "inner")

@@ -1,7 +1,7 @@
 """Exploration and data-quality analyses.
 
 Each function takes the raw catalogue (text columns + ``product_id``) and
-returns a DataFrame. Several reference queries are N ``UNION ALL`` scans of
+returns a DataFrame. Several of these reports are N ``UNION ALL`` scans of
 one table; here they are one aggregate followed by an ``inline`` of literal
 structs (one scan).
 """
