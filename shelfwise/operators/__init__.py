@@ -6,7 +6,10 @@ from shelfwise.operators.aggregates import (
     histogram,
     metrics_long,
     minmax_normalise,
+    nps,
     share_of_total,
+    top_k_concentration,
+    top_k_sum,
     weighted_avg,
     with_global,
 )
@@ -33,10 +36,13 @@ __all__ = [
     "join_group_stats",
     "metrics_long",
     "minmax_normalise",
+    "nps",
     "ntile_of",
     "one_row",
     "positions_in_group",
     "share_of_total",
+    "top_k_concentration",
+    "top_k_sum",
     "top_n_per_group",
     "weighted_avg",
     "with_global",

@@ -116,3 +116,37 @@ def minmax_normalise(df: DataFrame, cols: Sequence[str], suffix: str = "") -> Da
         out_cols.append(F.when(rng != 0, (F.col(c) - F.col(f"_min_{c}")) / rng).alias(f"{c}{suffix}"))
     keep = [c for c in df.columns if c not in cols or suffix]
     return joined.select(*keep, *out_cols)
+
+
+def top_k_sum(df: DataFrame, keys: Sequence[str], col: str, k: int, tie: str, out: str = "top_k_sum") -> DataFrame:
+    """Sum of the ``k`` largest ``col`` values per group (NULLs last, ties by ``tie``).
+
+    A lone ``row_number() <= k`` (partial WindowGroupLimit before the shuffle)
+    followed by a grouped sum: at most ``k`` rows per group per map task move.
+    """
+    from shelfwise.operators.ranking import top_n_per_group
+
+    top = top_n_per_group(df, keys, [F.col(col).desc(), F.col(tie).asc()], k, "_topk_rank")
+    return top.groupBy(*keys).agg(F.sum(col).alias(out))
+
+
+def top_k_concentration(
+    df: DataFrame, keys: Sequence[str], col: str, k: int, tie: str, total: DataFrame | None = None
+) -> DataFrame:
+    """Share (%) of each group's total held by its ``k`` largest values.
+
+    ``total`` optionally supplies the denominators (``keys`` + ``total``) from
+    a different population; by default the group's own sum is used.
+    """
+    top = top_k_sum(df, keys, col, k, tie, "top_k_sum")
+    if total is None:
+        total = df.groupBy(*keys).agg(F.sum(col).alias("total"))
+    joined = total.join(top, list(keys), "left")
+    return joined.withColumn(
+        "concentration", F.when(F.col("total") != 0, F.col("top_k_sum") * F.lit(100.0) / F.col("total"))
+    )
+
+
+def nps(promoters: Column, detractors: Column, total: Column) -> Column:
+    """Net-promoter style score: promoter share minus detractor share, in percent (DOUBLE)."""
+    return F.when(total != 0, promoters * F.lit(100.0) / total - detractors * F.lit(100.0) / total)

@@ -31,12 +31,16 @@ from shelfwise.schema import EXPLORATION_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRI
 RAW_VIEW_COLUMNS = ("name", "main_category", "sub_category", "ratings", "no_of_ratings", "discount_price", "actual_price")
 
 
-def dataset_overview(products: DataFrame) -> DataFrame:
-    """Records, distinct categories / sub-categories, rows with ratings / prices."""
+def dataset_overview(products: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """Records, distinct categories / sub-categories, rows with ratings / prices.
+
+    ``approx_distinct`` uses HyperLogLog++ instead of exact distinct counts.
+    """
+    distinct = F.approx_count_distinct if approx_distinct else F.countDistinct
     one = products.agg(
         F.count(F.lit(1)).alias("n"),
-        F.countDistinct("main_category").alias("cats"),
-        F.countDistinct("sub_category").alias("subs"),
+        distinct("main_category").alias("cats"),
+        distinct("sub_category").alias("subs"),
         F.count_if(is_present("ratings")).alias("rated"),
         F.count_if(is_present("discount_price")).alias("priced"),
     )
@@ -172,9 +176,9 @@ def rating_by_category(products: DataFrame, min_products: int = 10) -> DataFrame
     )
 
 
-def quality_score_expr():
-    """Row quality score 0-7: one point per usable field."""
-    flags = [
+def default_quality_rules():
+    """The seven usable-field checks of the row quality score."""
+    return [
         has_text("name"),
         has_text("main_category"),
         F.col("v_rating"),
@@ -183,16 +187,20 @@ def quality_score_expr():
         has_text("image"),
         has_text("link"),
     ]
+
+
+def quality_score_expr(rules=None):
+    """Row quality score: one point per rule that holds (NULL counts as not holding)."""
     total = None
-    for f in flags:
+    for f in rules if rules is not None else default_quality_rules():
         term = F.coalesce(f, F.lit(False)).cast("int")
         total = term if total is None else total + term
     return total
 
 
-def quality_histogram(products: DataFrame) -> DataFrame:
-    """Distribution of the 0-7 row quality score (share of all rows)."""
-    scored = parsed(products).select(quality_score_expr().alias("quality_score"))
+def quality_histogram(products: DataFrame, rules=None) -> DataFrame:
+    """Distribution of the 0-7 row quality score (share of all rows); ``rules`` overrides the checks."""
+    scored = parsed(products).select(quality_score_expr(rules).alias("quality_score"))
     groups = scored.groupBy("quality_score").agg(F.count(F.lit(1)).alias("product_count"))
     total = F.sum("product_count").over(Window.partitionBy())
     return groups.select(

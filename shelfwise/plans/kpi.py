@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import classify, ordinal, pct, round_dec, round_text, round_to, thousands
-from shelfwise.operators import avg_cmp, broadcast_checked, metrics_long, top_n_per_group
+from shelfwise.operators import avg_cmp, broadcast_checked, metrics_long, nps, top_k_sum
 from shelfwise.plans.common import d, parsed, valid
 
 
@@ -21,13 +21,18 @@ def _cat(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def executive_card(products: DataFrame) -> DataFrame:
-    """K1: one-row executive KPI card of formatted strings."""
+def executive_card(products: DataFrame, approx_distinct: bool = False) -> DataFrame:
+    """K1: one-row executive KPI card of formatted strings.
+
+    ``approx_distinct`` counts categories with HyperLogLog++ (no Expand of the
+    rows per distinct column) for very large inputs.
+    """
     rows = valid(parsed(products), "rating", "count", "price")
+    distinct = F.approx_count_distinct if approx_distinct else F.countDistinct
     k = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.countDistinct("main_category").alias("cats"),
-        F.countDistinct("sub_category").alias("subs"),
+        distinct("main_category").alias("cats"),
+        distinct("sub_category").alias("subs"),
         round_dec(F.avg("rating"), 2).alias("avg_rating"),
         round_dec(F.avg("price"), 2).alias("avg_price"),
         F.sum("review_count").alias("reviews"),
@@ -247,8 +252,8 @@ def satisfaction_nps(products: DataFrame, min_products: int = 10) -> DataFrame:
     t = F.col("total_products")
     sat = round_dec(pct(F.col("e") + F.col("g"), t), 1)
     exc = round_dec(pct(F.col("e"), t), 1)
-    nps = round_dec(pct(F.col("e"), t) - pct(F.col("p"), t), 1)
-    a = cats.select("*", sat.alias("sat"), exc.alias("exc"), nps.alias("nps"))
+    score = round_dec(nps(F.col("e"), F.col("p"), t), 1)
+    a = cats.select("*", sat.alias("sat"), exc.alias("exc"), score.alias("nps"))
     s, np_ = F.col("sat"), F.col("nps")
     engagement = classify(
         [(F.col("avg_reviews_per_product") >= 200, "High Engagement"), (F.col("avg_reviews_per_product") >= 50, "Medium Engagement")],
@@ -373,8 +378,8 @@ def competition(products: DataFrame, min_products: int = 5, min_reviews: int = 1
         .where(F.col("competitors") >= min_products)
     )
     cand = p.where(F.col("no_of_ratings").isNotNull()).select("product_id", *keys, "review_count")
-    top3 = top_n_per_group(cand, keys, [F.col("review_count").desc(), F.col("product_id").asc()], 3, "_r")
-    top3 = top3.groupBy(*keys).agg(F.sum("review_count").cast("bigint").alias("top3_reviews"))
+    top3 = top_k_sum(cand, keys, "review_count", 3, "product_id", "top3_reviews")
+    top3 = top3.withColumn("top3_reviews", F.col("top3_reviews").cast("bigint"))
     joined = land.join(top3, keys, "left")  # equality join: NULL keys never match
     spread = round_dec(
         (F.col("highest_price") - F.col("lowest_price")).cast("double")

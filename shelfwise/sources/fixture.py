@@ -126,15 +126,14 @@ def load_products(spark: SparkSession, sf_dir: str, materialise: bool = True) ->
     configured - later scans are column-pruned and survive executor loss -
     otherwise persisted (memory and disk, recomputable from lineage).
     """
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if materialise and key in _MATERIALISED:
+        return _MATERIALISED[key]
     part = read_table(spark, sf_dir, "part")
     lineitem = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_extendedprice")
     derived = derive_products(part, lineitem)
     if not materialise:
         return derived
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    cached = _MATERIALISED.get(key)
-    if cached is not None:
-        return cached
     from shelfwise.session import ensure_checkpoint_dir
 
     shared = ensure_checkpoint_dir(spark)
