@@ -7,6 +7,7 @@ from shelfwise.operators.aggregates import (
     metrics_long,
     minmax_normalise,
     nps,
+    percentile_of,
     share_of_total,
     top_k_concentration,
     top_k_sum,
@@ -39,6 +40,7 @@ __all__ = [
     "nps",
     "ntile_of",
     "one_row",
+    "percentile_of",
     "positions_in_group",
     "share_of_total",
     "top_k_concentration",

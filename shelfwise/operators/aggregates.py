@@ -54,6 +54,17 @@ def avg_cmp(col: Column, op: str, threshold: float) -> Column:
     }[op]
 
 
+def percentile_of(col: Column, p, exact: bool = True) -> Column:
+    """Continuous percentile (linear interpolation) or, with ``exact=False``, the
+    approximate percentile (bounded-memory sketch) for very high-cardinality groups.
+
+    The exact form keeps a value -> count map per group (combined map-side), so
+    its memory grows with the distinct values of a group, not with its rows.
+    """
+    c = col.cast("double")
+    return F.percentile(c, p) if exact else F.percentile_approx(c, p)
+
+
 def with_global(df: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
     """Attach scalar aggregates of ``df`` to every row (1-row broadcast cross join)."""
     return df.crossJoin(one_row(df.agg(*aggregates)))

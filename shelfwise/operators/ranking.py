@@ -10,8 +10,8 @@ operators here give the same numbers with work that spreads evenly:
   ``monotonically_increasing_id`` after a sort within the partition, then
   shifted by the row counts of the same group in earlier partitions. The
   per-(partition, group) count table has at most ``partitions + groups`` rows.
-  The numbered rows are persisted once so the count table and the rows agree
-  on partition ids.
+  The numbered rows are materialised once (checkpoint or persist) so the
+  count table and the rows agree on partition ids.
 * :func:`top_n_per_group` - ROW_NUMBER <= n as a lone window + filter, which
   Catalyst turns into a partial ``WindowGroupLimit`` before the shuffle: at
   most ``n`` rows per group leave each map task.
@@ -31,9 +31,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from shelfwise.operators.joins import broadcast_checked
+from shelfwise.session import materialize
 
 _MASK33 = (1 << 33) - 1
 # Broadcast bound for the per-(partition, group) count table.
@@ -67,12 +67,13 @@ def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], num_par
 
 
 def _numbered(df, keys, order, num_partitions):
-    # The numbered rows are persisted once: the count table and the rows it is
-    # joined back to must see the same range bounds and the same local order.
+    # The numbered rows are materialised once: the count table and the rows it
+    # is joined back to must see the same range bounds and the same local order.
     # (Column pruning would otherwise plan two different range exchanges whose
-    # sampled bounds need not agree.) A lost block is recomputed through the
-    # same fixed partitioner, so the numbers survive executor loss.
-    ranged = _ranged(df, keys, order, num_partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    # sampled bounds need not agree.) A reliable checkpoint in the shared
+    # checkpoint folder when one is configured, else persisted: a lost block is
+    # then recomputed through the same fixed partitioner.
+    ranged = materialize(_ranged(df, keys, order, num_partitions))
     knames = [f"_sw_k{i}" for i in range(len(keys))]
     counts = ranged.groupBy("_sw_part", *[F.col(k).alias(kn) for k, kn in zip(keys, knames)]).agg(
         F.min("_sw_idx").alias("_sw_first"), F.count(F.lit(1)).alias("_sw_cnt")

@@ -18,6 +18,7 @@ from shelfwise.operators import (
     group_row_number,
     join_group_stats,
     ntile_of,
+    percentile_of,
     positions_in_group,
     top_n_per_group,
 )
@@ -114,7 +115,7 @@ def category_scoreboard(products: DataFrame) -> DataFrame:
     ).orderBy("rating_rank", "main_category")
 
 
-def price_positions(products: DataFrame, window_rows: int = 2) -> DataFrame:
+def price_positions(products: DataFrame, window_rows: int = 2, exact: bool = True) -> DataFrame:
     """A3 row level: category percentiles, centred moving average of price by rating,
     pricing recommendation, deviation and position (one row per product).
 
@@ -127,8 +128,8 @@ def price_positions(products: DataFrame, window_rows: int = 2) -> DataFrame:
         "product_id", "main_category", "sub_category", "name", "price", "rating", "review_count"
     )
     stats = rows.groupBy("main_category").agg(
-        F.percentile(d("price"), F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)])).alias("_pq"),
-        F.percentile(d("rating"), F.array(F.lit(0.5), F.lit(0.75))).alias("_rq"),
+        percentile_of(F.col("price"), F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]), exact).alias("_pq"),
+        percentile_of(F.col("rating"), F.array(F.lit(0.5), F.lit(0.75)), exact).alias("_rq"),
     )
     stats = stats.select(
         "main_category",
@@ -209,9 +210,9 @@ def price_positions(products: DataFrame, window_rows: int = 2) -> DataFrame:
     )
 
 
-def price_recommendations(products: DataFrame, min_products: int = 3) -> DataFrame:
+def price_recommendations(products: DataFrame, min_products: int = 3, exact: bool = True) -> DataFrame:
     """A3: products per (category, pricing recommendation) with averages, >= ``min_products``."""
-    rows = price_positions(products)
+    rows = price_positions(products, exact=exact)
     return (
         rows.groupBy("main_category", "pricing_recommendation")
         .agg(

@@ -24,7 +24,7 @@ from shelfwise.functions import (
     round_text,
     round_to,
 )
-from shelfwise.operators import metrics_long
+from shelfwise.operators import metrics_long, percentile_of
 from shelfwise.plans.common import parsed, valid
 from shelfwise.schema import EXPLORATION_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_SQL
 
@@ -137,8 +137,11 @@ def category_distribution(products: DataFrame) -> DataFrame:
     )
 
 
-def price_by_category(products: DataFrame, min_products: int = 10) -> DataFrame:
-    """Price statistics per category (exact median, sample stddev), >= ``min_products``."""
+def price_by_category(products: DataFrame, min_products: int = 10, exact: bool = True) -> DataFrame:
+    """Price statistics per category (median, sample stddev), >= ``min_products``.
+
+    ``exact=False`` takes the approximate median (bounded memory per group).
+    """
     rows = parsed(products).where(is_present("discount_price") & F.col("v_price"))
     price = F.col("price")
     return (
@@ -148,7 +151,7 @@ def price_by_category(products: DataFrame, min_products: int = 10) -> DataFrame:
             F.min(price).cast("double").alias("min_price"),
             F.max(price).cast("double").alias("max_price"),
             round_to(F.avg(price), 2).alias("avg_price"),
-            round_to(F.percentile(price.cast("double"), 0.5), 2).alias("median_price"),
+            round_to(percentile_of(price, 0.5, exact), 2).alias("median_price"),
             round_to(F.stddev_samp(price.cast("double")), 2).alias("price_stddev"),
         )
         .where(F.col("product_count") >= min_products)
@@ -156,7 +159,7 @@ def price_by_category(products: DataFrame, min_products: int = 10) -> DataFrame:
     )
 
 
-def rating_by_category(products: DataFrame, min_products: int = 10) -> DataFrame:
+def rating_by_category(products: DataFrame, min_products: int = 10, exact: bool = True) -> DataFrame:
     """Rating statistics per category; review count need only be non-empty."""
     rows = parsed(products).where(is_present("ratings") & F.col("v_rating") & is_present("no_of_ratings"))
     r = F.col("rating")
@@ -167,7 +170,7 @@ def rating_by_category(products: DataFrame, min_products: int = 10) -> DataFrame
             F.min(r).cast("double").alias("min_rating"),
             F.max(r).cast("double").alias("max_rating"),
             round_to(F.avg(r), 2).alias("avg_rating"),
-            round_to(F.percentile(r.cast("double"), 0.5), 2).alias("median_rating"),
+            round_to(percentile_of(r, 0.5, exact), 2).alias("median_rating"),
             F.sum("review_count").cast("bigint").alias("total_reviews"),
             round_to(F.avg("review_count"), 0).alias("avg_reviews_per_product"),
         )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import classify, ordinal, pct, round_dec, round_text, round_to, thousands
-from shelfwise.operators import avg_cmp, broadcast_checked, metrics_long, nps, top_k_sum
+from shelfwise.operators import avg_cmp, broadcast_checked, metrics_long, nps, percentile_of, top_k_sum
 from shelfwise.plans.common import d, parsed, valid
 
 
@@ -179,7 +179,7 @@ PRICING_ADVICE = {
 }
 
 
-def pricing_intelligence(products: DataFrame, min_products: int = 15) -> DataFrame:
+def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: bool = True) -> DataFrame:
     """K4: price distribution, budget/premium shares, market position and strategy per category."""
     rows = valid(parsed(products), "rating", "price")
     price = F.col("price")
@@ -190,7 +190,7 @@ def pricing_intelligence(products: DataFrame, min_products: int = 15) -> DataFra
             F.min(price).alias("min_price"),
             F.max(price).alias("max_price"),
             round_dec(F.avg(price), 2).alias("avg_price"),
-            round_to(F.percentile(price.cast("double"), 0.5), 2).alias("median_price"),
+            round_to(percentile_of(price, 0.5, exact), 2).alias("median_price"),
             round_to(F.stddev_samp(price.cast("double")), 2).alias("price_stddev"),
             round_dec(F.avg("rating"), 2).alias("avg_rating"),
             F.count_if(price < 500).alias("budget_products"),
