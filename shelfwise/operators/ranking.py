@@ -40,23 +40,21 @@ _MASK33 = (1 << 33) - 1
 MAX_COUNT_TABLE_ROWS = 2_000_000
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _null_safe_on(left: str, right: str, keys: Sequence[str], right_names: Sequence[str]) -> Column:
     conds = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{rk}")) for k, rk in zip(keys, right_names)]
     return reduce(lambda a, b: a & b, conds) if conds else F.lit(True)
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], num_partitions: int | None):
-    n = _partitions(df, num_partitions)
     spec = [F.col(k).asc() for k in keys] + list(order)
-    # Explicit partition count: AQE must not coalesce this exchange differently
-    # for the two readers (count table and numbering).
-    ranged = df.repartitionByRange(n, *spec).sortWithinPartitions(*spec)
+    # Without an explicit count AQE may coalesce adjacent (still contiguous)
+    # ranges of small inputs; the result is materialised once, so both readers
+    # (count table and numbering) see the same partitions.
+    if num_partitions:
+        ranged = df.repartitionByRange(int(num_partitions), *spec)
+    else:
+        ranged = df.repartitionByRange(*spec)
+    ranged = ranged.sortWithinPartitions(*spec)
     mid = F.monotonically_increasing_id()
     ranged = ranged.withColumn("_sw_mid", mid).select(
         "*",

@@ -139,17 +139,22 @@ REGISTRY.update(
 _MODELS: dict[tuple[str, str], ml.RatingModel] = {}
 
 
-def _fitted_rating_model(spark: SparkSession, sf_dir: str):
-    """The fitted rating model, trained once per application (as the pipeline keeps its models)."""
+def _fit_rating_model(spark: SparkSession, sf_dir: str) -> ml.RatingModel:
+    """Train the rating model and keep it for this application (as the pipeline keeps its models)."""
+    m = ml.rating_model(_feats(load_products(spark, sf_dir)))
+    _MODELS[(spark.sparkContext.applicationId, sf_dir)] = m
+    return m
+
+
+def _fitted_rating_model(spark: SparkSession, sf_dir: str) -> ml.RatingModel:
+    """The model P4 trained in this application, trained now if P4 has not run."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        _MODELS[key] = ml.rating_model(_feats(load_products(spark, sf_dir)))
-    return _MODELS[key]
+    return _MODELS[key] if key in _MODELS else _fit_rating_model(spark, sf_dir)
 
 
 def _rating_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random forest rating model, hold-out RMSE."""
-    m = _fitted_rating_model(spark, sf_dir)
+    """Random forest rating model (always trained), hold-out RMSE."""
+    m = _fit_rating_model(spark, sf_dir)
     return ml.model_report(spark, [("rmse", m.rmse), ("train_rows", m.train_rows), ("test_rows", m.test_rows)])
 
 
