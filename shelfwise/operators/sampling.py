@@ -38,7 +38,7 @@ def hash_split(
     df: DataFrame, fraction: float, id_col: str = PRODUCT_ID, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
     """Deterministic train/test split by hashed id (same rows for any partitioning)."""
-    u = (F.abs(F.xxhash64(F.col(id_col), F.lit(seed))) % F.lit(1_000_000)) / F.lit(1_000_000.0)
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
     flagged = df.withColumn("_split_u", u)
     train = flagged.where(F.col("_split_u") < F.lit(fraction)).drop("_split_u")
     test = flagged.where(F.col("_split_u") >= F.lit(fraction)).drop("_split_u")

@@ -121,10 +121,17 @@ class SuccessModel:
     best_elastic_net: float
 
 
-def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int = 4) -> SuccessModel:
-    """P5: logistic regression with a 3 x 3 grid and k-fold cross validation (AUC)."""
+def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int | None = None) -> SuccessModel:
+    """P5: logistic regression with a 3 x 3 grid and k-fold cross validation (AUC).
+
+    ``parallelism`` (default: the grid size) is the number of model fits run
+    at once; each fit is itself a distributed job.
+    """
     data = materialize(success_label(_model_input(feats, SUCCESS_FEATURES)))
     train, test = hash_split(data, TRAIN_FRACTION)
+    # Folds from the hashed id (not a seeded random split): the same folds for
+    # any partitioning of the input.
+    train = train.withColumn("_fold", F.pmod(F.xxhash64(F.col("product_id"), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     lr = LogisticRegression(featuresCol="scaled_features", labelCol="is_successful", maxIter=LR_MAX_ITER)
     pipeline = Pipeline(
         stages=[
@@ -149,8 +156,9 @@ def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int = 4)
         estimatorParamMaps=grid,
         evaluator=evaluator,
         numFolds=folds,
+        foldCol="_fold",
         seed=SEED,
-        parallelism=parallelism,
+        parallelism=parallelism or len(grid),
     )
     model = cv.fit(train)
     auc = evaluator.evaluate(model.transform(test))
