@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import bucketize, classify, parse_count, parse_money_double, parse_rating, round_to
-from shelfwise.operators import group_row_number, join_group_stats, one_row
+from shelfwise.operators import group_row_number, join_group_stats, one_row, top_n_per_group
 from shelfwise.schema import PIPELINE_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_PIPELINE, PRODUCT_ID
 
 CLEAN_COLUMNS = ("discount_price_clean", "actual_price_clean", "ratings_clean", "no_of_ratings_clean")
@@ -37,17 +37,14 @@ def mean_fixed(col: str | Column, scale: int = 2) -> Column:
 def dedupe(products: DataFrame, keys: Sequence[str] = PIPELINE_DUPLICATE_KEYS) -> DataFrame:
     """Keep one row per key (the lowest ``product_id``); NULL keys group together.
 
-    A single hash aggregate whose buffer is one row per key (``min`` of a
-    struct led by ``product_id``), with map-side partial aggregation, so even
-    a key holding a large share of the rows never gathers in one task.
+    A lone ``ROW_NUMBER() <= 1`` per key, which Catalyst plans as a partial
+    WindowGroupLimit before the shuffle: each map task forwards at most one
+    row per key, so even a key holding a large share of the rows never
+    gathers in one task. Unlike an aggregate over a struct of all columns,
+    columns that later steps do not use are pruned from the scan.
     """
-    others = [c for c in products.columns if c not in keys and c != PRODUCT_ID]
-    best = F.min(F.struct(F.col(PRODUCT_ID), *[F.col(c) for c in others])).alias("_best")
-    return products.groupBy(*keys).agg(best).select(
-        F.col(f"_best.{PRODUCT_ID}").alias(PRODUCT_ID),
-        *[F.col(k) for k in keys],
-        *[F.col(f"_best.{c}").alias(c) for c in others],
-    ).select(*products.columns)
+    first = top_n_per_group(products, keys, [F.col(PRODUCT_ID).asc()], 1, "_dup_rank")
+    return first.drop("_dup_rank")
 
 
 def clean(products: DataFrame, keys: Sequence[str] = PIPELINE_DUPLICATE_KEYS) -> DataFrame:
