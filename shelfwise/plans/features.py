@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from shelfwise.functions import bucketize, classify, parse_count, parse_money_double, parse_rating, round_to
 from shelfwise.operators import group_row_number, join_group_stats, one_row, top_n_per_group
 from shelfwise.schema import PIPELINE_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_PIPELINE, PRODUCT_ID
+from shelfwise.session import materialize
 
 CLEAN_COLUMNS = ("discount_price_clean", "actual_price_clean", "ratings_clean", "no_of_ratings_clean")
 
@@ -78,6 +79,9 @@ def features(cleaned: DataFrame, with_ranks: bool = True) -> DataFrame:
     ``with_ranks=False`` skips the two in-category ranks (each a range sort of
     the whole table) for consumers that do not use them.
     """
+    # Three readers (rows, global thresholds, category means): materialise the
+    # cleaned rows once instead of deduplicating the catalogue three times.
+    cleaned = materialize(cleaned)
     dp, ap = F.col("discount_price_clean"), F.col("actual_price_clean")
     r, n = F.col("ratings_clean"), F.col("no_of_ratings_clean")
     thresholds = one_row(
