@@ -84,9 +84,16 @@ def performance_trends(products: DataFrame, min_products: int = 10) -> DataFrame
     )
     denom = F.sum(F.when(F.col("main_category").isNotNull(), F.col("_all_rows"))).over(Window.partitionBy())
     return (
-        cats.select("*", round_to(pct(F.col("product_count"), denom), 2).alias("market_share"))
+        cats.select(
+            "main_category",
+            "product_count",
+            F.col("avg_rating").cast("double").alias("avg_rating"),
+            "total_engagement",
+            F.col("avg_price").cast("double").alias("avg_price"),
+            "trend_status",
+            round_to(pct(F.col("product_count"), denom), 2).alias("market_share"),
+        )
         .where(F.col("product_count") >= min_products)
-        .drop("_all_rows")
     )
 
 

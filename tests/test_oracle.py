@@ -35,3 +35,11 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_a_model():
     models = {"p4_rating_model", "p5_success_model", "p6_cluster_summary", "p7d_feature_importance"}
     assert set(entry.queries()) - set(ORACLE) == models
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_output_types_are_portable(spark, name):
+    """Outputs use only STRING / DOUBLE / BIGINT / INT / BOOLEAN (no DECIMAL), as the oracle does."""
+    df = entry.queries()[name](spark, SF_SMALL)
+    kinds = {f.dataType.typeName() for f in df.schema.fields}
+    assert kinds <= {"string", "double", "long", "integer", "boolean"}, (name, kinds)
