@@ -12,7 +12,6 @@ from shelfwise.operators.aggregates import (
     top_k_concentration,
     top_k_sum,
     weighted_avg,
-    with_global,
 )
 from shelfwise.operators.joins import broadcast_checked, join_group_stats, one_row
 from shelfwise.operators.ranking import (
@@ -47,5 +46,4 @@ __all__ = [
     "top_k_sum",
     "top_n_per_group",
     "weighted_avg",
-    "with_global",
 ]

@@ -15,7 +15,6 @@ def metrics_long(
     items: Sequence[tuple[str, Column]],
     name_col: str = "metric",
     value_col: str = "value",
-    extra: Sequence[tuple[str, Sequence[Column]]] = (),
 ) -> DataFrame:
     """Turn one row of aggregates into a long ``(name, value)`` list.
 
@@ -26,16 +25,19 @@ def metrics_long(
     return one_row_df.select(F.inline(F.array(*structs)))
 
 
-def share_of_total(count_col: str = "product_count", out: str = "share", over_rows: bool = True) -> Column:
-    """``count * 100 / SUM(count) OVER ()`` for a small, already-aggregated frame."""
+def share_of_total(count_col: str = "product_count") -> Column:
+    """``count * 100 / SUM(count) OVER ()`` (DOUBLE) for a small, already-aggregated frame.
+
+    The window has no partition key: use it only on aggregated rows (one row
+    per group), never on row-level data.
+    """
     total = F.sum(count_col).over(Window.partitionBy())
-    return F.col(count_col) * F.lit(100.0) / total
+    return F.when(total != 0, F.col(count_col) * F.lit(100.0) / total)
 
 
 def weighted_avg(x: Column, w: Column) -> Column:
-    """``SUM(x*w) / SUM(w)``; NULL when the weights sum to 0."""
-    den = F.sum(w)
-    return F.when(den != 0, F.sum(x * w) / den)
+    """``SUM(x*w) / SUM(w)``; NULL when the weights sum to 0 (exact for DECIMAL ``x``)."""
+    return F.try_divide(F.sum(x * w), F.sum(w).cast("decimal(20,0)"))
 
 
 def avg_cmp(col: Column, op: str, threshold: float) -> Column:
@@ -65,11 +67,6 @@ def percentile_of(col: Column, p, exact: bool = True) -> Column:
     return F.percentile(c, p) if exact else F.percentile_approx(c, p)
 
 
-def with_global(df: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
-    """Attach scalar aggregates of ``df`` to every row (1-row broadcast cross join)."""
-    return df.crossJoin(one_row(df.agg(*aggregates)))
-
-
 def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
     """Fixed-width bin 1..bins over [lo, hi] (``hi`` in the last bin); 0 below, bins+1 above."""
     inner = F.floor(F.lit(float(bins)) * (v - F.lit(float(lo))) / F.lit(float(hi - lo))).cast("bigint") + F.lit(1)

@@ -20,7 +20,9 @@ from shelfwise.operators import (
     ntile_of,
     percentile_of,
     positions_in_group,
+    share_of_total,
     top_n_per_group,
+    weighted_avg,
 )
 from shelfwise.plans.common import d, parsed, valid
 
@@ -246,9 +248,7 @@ def satisfaction_segments(products: DataFrame, min_products: int = 5) -> DataFra
         round_to(F.avg("rating"), 2).alias("avg_rating"),
         round_to(F.avg("price"), 2).alias("avg_price"),
         F.sum(rc).cast("bigint").alias("total_reviews"),
-        round_dec(F.try_divide(F.sum(F.col("rating") * rc), F.sum(rc).cast("decimal(20,0)")), 2)
-        .cast("double")
-        .alias("weighted_satisfaction_score"),
+        round_dec(weighted_avg(F.col("rating"), rc), 2).cast("double").alias("weighted_satisfaction_score"),
     )
     satisfied = F.col("satisfaction_level").isin("Highly Satisfied", "Satisfied")
     summary = seg.groupBy("main_category").agg(
@@ -321,10 +321,9 @@ def performance_cohorts(products: DataFrame) -> DataFrame:
         round_to(F.avg("avg_reviews"), 0).alias("segment_avg_reviews"),
         round_to(F.avg("avg_price"), 2).alias("segment_avg_price"),
     )
-    total = F.sum("total_products").over(Window.partitionBy())
-    return seg.select(
-        "*", round_to(pct(F.col("total_products"), total), 2).alias("market_share_percent")
-    ).orderBy(F.col("total_products").desc())
+    return seg.select("*", round_to(share_of_total("total_products"), 2).alias("market_share_percent")).orderBy(
+        F.col("total_products").desc()
+    )
 
 
 STRATEGY_ADVICE = {

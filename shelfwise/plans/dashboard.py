@@ -26,7 +26,6 @@ from shelfwise.operators import (
     minmax_normalise,
     one_row,
 )
-from shelfwise.operators.aggregates import bin_index
 from shelfwise.plans.features import quality_score
 from shelfwise.schema import CURRENCY, DASHBOARD_SEGMENT_EDGES, DASHBOARD_SEGMENT_LABELS, PRODUCT_ID
 

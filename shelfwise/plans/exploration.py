@@ -24,7 +24,7 @@ from shelfwise.functions import (
     round_text,
     round_to,
 )
-from shelfwise.operators import metrics_long, percentile_of
+from shelfwise.operators import metrics_long, percentile_of, share_of_total
 from shelfwise.plans.common import parsed, valid
 from shelfwise.schema import EXPLORATION_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_SQL
 
@@ -205,11 +205,10 @@ def quality_histogram(products: DataFrame, rules=None) -> DataFrame:
     """Distribution of the 0-7 row quality score (share of all rows); ``rules`` overrides the checks."""
     scored = parsed(products).select(quality_score_expr(rules).alias("quality_score"))
     groups = scored.groupBy("quality_score").agg(F.count(F.lit(1)).alias("product_count"))
-    total = F.sum("product_count").over(Window.partitionBy())
     return groups.select(
         F.col("quality_score").cast("bigint").alias("quality_score"),
         "product_count",
-        round_to(pct(F.col("product_count"), total), 2).alias("percentage"),
+        round_to(share_of_total("product_count"), 2).alias("percentage"),
     ).orderBy(F.col("quality_score").desc())
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions import classify, ordinal, pct, round_dec, round_text, round_to, thousands
-from shelfwise.operators import avg_cmp, broadcast_checked, metrics_long, nps, percentile_of, top_k_sum
+from shelfwise.operators import avg_cmp, broadcast_checked, nps, percentile_of, top_k_concentration, weighted_avg
 from shelfwise.plans.common import d, parsed, valid
 
 
@@ -252,7 +252,7 @@ def satisfaction_nps(products: DataFrame, min_products: int = 10) -> DataFrame:
             round_dec(F.avg(r), 2).alias("avg_rating"),
             F.sum(rc).cast("bigint").alias("total_reviews"),
             round_dec(F.avg(rc), 0).alias("avg_reviews_per_product"),
-            round_dec(F.try_divide(F.sum(r * rc), F.sum(rc).cast("decimal(20,0)")), 2).alias("weighted_avg_rating"),
+            round_dec(weighted_avg(r, rc), 2).alias("weighted_avg_rating"),
         )
         .where(F.col("total_products") >= min_products)
     )
@@ -385,17 +385,21 @@ def competition(products: DataFrame, min_products: int = 5, min_reviews: int = 1
         .where(F.col("competitors") >= min_products)
     )
     cand = p.where(F.col("no_of_ratings").isNotNull()).select("product_id", *keys, "review_count")
-    top3 = top_k_sum(cand, keys, "review_count", 3, "product_id", "top3_reviews")
-    top3 = top3.withColumn("top3_reviews", F.col("top3_reviews").cast("bigint"))
-    joined = land.join(top3, keys, "left")  # equality join: NULL keys never match
+    # Top-3 over every row with a review count, divided by the valid-row total;
+    # the equality join leaves NULL keys unmatched (concentration NULL).
+    conc = top_k_concentration(
+        cand, keys, "review_count", 3, "product_id", total=land.select(*keys, F.col("total_market_reviews").alias("total"))
+    ).select(*keys, "concentration")
+    joined = land.join(conc, keys, "inner")
     spread = round_dec(
         (F.col("highest_price") - F.col("lowest_price")).cast("double")
         * F.lit(100.0)
         / F.col("category_avg_price").cast("double"),
         1,
     )
-    conc = round_dec(pct(F.col("top3_reviews"), F.col("total_market_reviews")), 1)
-    m = joined.select("*", spread.alias("price_spread_percent"), conc.alias("market_concentration"))
+    m = joined.select(
+        "*", spread.alias("price_spread_percent"), round_dec(F.col("concentration"), 1).alias("market_concentration")
+    )
     c, mc, sp = F.col("competitors"), F.col("market_concentration"), F.col("price_spread_percent")
     structure = classify(
         [
@@ -538,10 +542,3 @@ def success_tracking(products: DataFrame) -> DataFrame:
         _cat(rate.cast("string"), "%").alias("achievement_rate"),
         status.alias("performance_status"),
     )
-
-
-def metric_list(products: DataFrame) -> DataFrame:  # pragma: no cover - convenience
-    """All K1 card values as a long ``metric, value`` list (handy for dashboards)."""
-    card = executive_card(products)
-    cols = [c for c in card.columns if c.startswith("metric_")]
-    return metrics_long(card, [(c, F.col(c)) for c in cols])
