@@ -139,19 +139,28 @@ def top_k_sum(df: DataFrame, keys: Sequence[str], col: str, k: int, tie: str, ou
 
 
 def top_k_concentration(
-    df: DataFrame, keys: Sequence[str], col: str, k: int, tie: str, total: DataFrame | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    col: str,
+    k: int,
+    tie: str,
+    totals: DataFrame | None = None,
+    total_col: str = "total",
 ) -> DataFrame:
     """Share (%) of each group's total held by its ``k`` largest values.
 
-    ``total`` optionally supplies the denominators (``keys`` + ``total``) from
-    a different population; by default the group's own sum is used.
+    ``totals`` (with ``keys`` and ``total_col``) may come from a different
+    population and keeps all its columns; the top-k sums are left-joined onto
+    it by equality (a NULL key never matches, leaving ``concentration`` NULL).
+    By default the group's own sum is the total.
     """
     top = top_k_sum(df, keys, col, k, tie, "top_k_sum")
-    if total is None:
-        total = df.groupBy(*keys).agg(F.sum(col).alias("total"))
-    joined = total.join(top, list(keys), "left")
+    if totals is None:
+        totals = df.groupBy(*keys).agg(F.sum(col).alias(total_col))
+    joined = totals.join(top, list(keys), "left")
     return joined.withColumn(
-        "concentration", F.when(F.col("total") != 0, F.col("top_k_sum") * F.lit(100.0) / F.col("total"))
+        "concentration",
+        F.when(F.col(total_col) != 0, F.col("top_k_sum") * F.lit(100.0) / F.col(total_col)),
     )
 
 

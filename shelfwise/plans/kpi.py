@@ -387,10 +387,7 @@ def competition(products: DataFrame, min_products: int = 5, min_reviews: int = 1
     cand = p.where(F.col("no_of_ratings").isNotNull()).select("product_id", *keys, "review_count")
     # Top-3 over every row with a review count, divided by the valid-row total;
     # the equality join leaves NULL keys unmatched (concentration NULL).
-    conc = top_k_concentration(
-        cand, keys, "review_count", 3, "product_id", total=land.select(*keys, F.col("total_market_reviews").alias("total"))
-    ).select(*keys, "concentration")
-    joined = land.join(conc, keys, "inner")
+    joined = top_k_concentration(cand, keys, "review_count", 3, "product_id", land, "total_market_reviews")
     spread = round_dec(
         (F.col("highest_price") - F.col("lowest_price")).cast("double")
         * F.lit(100.0)
