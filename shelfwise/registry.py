@@ -71,26 +71,26 @@ def _feats(products, with_ranks: bool = False):
     return fe.features(fe.clean(products), with_ranks=with_ranks)
 
 
-def _pipeline(step) -> QueryFn:
+def _feature_step(step) -> QueryFn:
     """Pipeline step over the feature table, reported to 6 decimals."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fe.report(step(load_products(spark, sf_dir)))
 
-    run.__name__ = getattr(step, "__name__", "pipeline_step")
+    run.__name__ = getattr(step, "__name__", "feature_step")
     return run
 
 
 REGISTRY.update(
     {
-        "p2_clean": (_pipeline(fe.clean), of.P2),
-        "p3_features": (_pipeline(lambda p: _feats(p, with_ranks=True)), of.P3),
-        "p7a_category_performance": (_pipeline(lambda p: fe.category_performance(_feats(p))), of.P7A),
-        "p7b_price_elasticity": (_pipeline(lambda p: fe.price_elasticity(_feats(p))), of.P7B),
-        "p7c_market_opportunity_top": (_pipeline(lambda p: fe.market_opportunity_top(_feats(p))), of.P7C),
-        "p8a_top_categories": (_pipeline(lambda p: fe.top_categories(_feats(p))), of.P8A),
-        "p8b_improvement_opportunities": (_pipeline(lambda p: fe.improvement_opportunities(_feats(p))), of.P8B),
-        "p8c_underpriced_quality": (_pipeline(lambda p: fe.underpriced_quality(_feats(p))), of.P8C),
+        "p2_clean": (_feature_step(fe.clean), of.P2),
+        "p3_features": (_feature_step(lambda p: _feats(p, with_ranks=True)), of.P3),
+        "p7a_category_performance": (_feature_step(lambda p: fe.category_performance(_feats(p))), of.P7A),
+        "p7b_price_elasticity": (_feature_step(lambda p: fe.price_elasticity(_feats(p))), of.P7B),
+        "p7c_market_opportunity_top": (_feature_step(lambda p: fe.market_opportunity_top(_feats(p))), of.P7C),
+        "p8a_top_categories": (_feature_step(lambda p: fe.top_categories(_feats(p))), of.P8A),
+        "p8b_improvement_opportunities": (_feature_step(lambda p: fe.improvement_opportunities(_feats(p))), of.P8B),
+        "p8c_underpriced_quality": (_feature_step(lambda p: fe.underpriced_quality(_feats(p))), of.P8C),
     }
 )
 
