@@ -8,13 +8,14 @@ from shelfwise.operators.aggregates import (
     minmax_normalise,
     nps,
     percentile_of,
-    share_of_total,
     top_k_concentration,
     top_k_sum,
     weighted_avg,
+    with_share,
 )
 from shelfwise.operators.joins import broadcast_checked, join_group_stats, one_row
 from shelfwise.operators.ranking import (
+    global_rank,
     group_ntile,
     group_row_number,
     ntile_of,
@@ -27,6 +28,7 @@ __all__ = [
     "avg_cmp",
     "box_stats",
     "broadcast_checked",
+    "global_rank",
     "group_ntile",
     "group_row_number",
     "hash_key",
@@ -41,9 +43,9 @@ __all__ = [
     "one_row",
     "percentile_of",
     "positions_in_group",
-    "share_of_total",
     "top_k_concentration",
     "top_k_sum",
     "top_n_per_group",
     "weighted_avg",
+    "with_share",
 ]

@@ -25,14 +25,15 @@ def metrics_long(
     return one_row_df.select(F.inline(F.array(*structs)))
 
 
-def share_of_total(count_col: str = "product_count") -> Column:
-    """``count * 100 / SUM(count) OVER ()`` (DOUBLE) for a small, already-aggregated frame.
+def with_share(df: DataFrame, count_col: str, out: str = "share") -> DataFrame:
+    """Add ``count * 100 / SUM(count)`` (DOUBLE) over the whole frame.
 
-    The window has no partition key: use it only on aggregated rows (one row
-    per group), never on row-level data.
+    The total is a one-row aggregate broadcast to every row, so the frame
+    stays partitioned (no ``SUM() OVER ()`` gathering it in one task).
     """
-    total = F.sum(count_col).over(Window.partitionBy())
-    return F.when(total != 0, F.col(count_col) * F.lit(100.0) / total)
+    total = one_row(df.agg(F.sum(count_col).alias("_share_total")))
+    share = F.when(F.col("_share_total") != 0, F.col(count_col) * F.lit(100.0) / F.col("_share_total"))
+    return df.crossJoin(total).withColumn(out, share).drop("_share_total")
 
 
 def weighted_avg(x: Column, w: Column) -> Column:

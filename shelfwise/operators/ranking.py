@@ -15,6 +15,8 @@ operators here give the same numbers with work that spreads evenly:
 * :func:`top_n_per_group` - ROW_NUMBER <= n as a lone window + filter, which
   Catalyst turns into a partial ``WindowGroupLimit`` before the shuffle: at
   most ``n`` rows per group leave each map task.
+* :func:`global_rank` - RANK over a whole frame: first row number of each tie
+  group of the distributed numbering.
 * :func:`positions_in_group` - ROW_NUMBER position and group size for a few
   selected rows (e.g. the top-n) without sorting the population: each
   population row meets only the selected rows of its own group (bounded
@@ -208,3 +210,22 @@ def positions_in_group(
         aggs.append((F.count_if(_precedes("p", "s", spec)) + F.lit(1)).alias(name))
     pos = pairs.groupBy(F.col(f"s.{id_col}").alias(id_col)).agg(*aggs)
     return selected.join(pos, id_col, "inner")
+
+
+def global_rank(
+    df: DataFrame, order_col: str, descending: bool = True, tie_col: str | None = None, out: str = "rank"
+) -> DataFrame:
+    """Exact ``RANK() OVER (ORDER BY order_col)`` without a single-task window.
+
+    Rows are numbered by the distributed row number (ties broken by
+    ``tie_col``); the rank of a value is the first row number of its tie group
+    (``min`` per value), joined back. NULLs sort last when descending, first
+    when ascending, as Spark orders them.
+    """
+    o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    order = [o] + ([F.col(tie_col).asc()] if tie_col else [])
+    numbered = group_row_number(df, [], order, "_gr_rn")
+    firsts = numbered.groupBy(F.col(order_col).alias("_gr_v")).agg(F.min("_gr_rn").alias(out))
+    firsts = broadcast_checked(firsts)
+    joined = numbered.join(firsts, F.col(order_col).eqNullSafe(F.col("_gr_v")), "inner")
+    return joined.drop("_gr_v", "_gr_rn")

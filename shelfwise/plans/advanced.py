@@ -8,7 +8,7 @@ aggregated and joined back, and moving averages use a distributed row number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import classify, pct, round_dec, round_to
@@ -19,10 +19,11 @@ from shelfwise.operators import (
     join_group_stats,
     ntile_of,
     percentile_of,
+    global_rank,
     positions_in_group,
-    share_of_total,
     top_n_per_group,
     weighted_avg,
+    with_share,
 )
 from shelfwise.plans.common import d, parsed, valid
 
@@ -89,10 +90,9 @@ def category_scoreboard(products: DataFrame) -> DataFrame:
         round_dec(F.avg("price"), 2).alias("avg_price"),
         F.sum("review_count").cast("bigint").alias("total_reviews"),
     )
-    # Category-grain ranks: one row per category, a single small partition.
-    rating_rank = F.rank().over(Window.orderBy(F.col("avg_rating").desc()))
-    volume_rank = F.rank().over(Window.orderBy(F.col("total_reviews").desc()))
-    ranked = cats.select("*", rating_rank.alias("rating_rank"), volume_rank.alias("review_volume_rank"))
+    # Global ranks without a single-task window (distributed row number, first row per tie).
+    ranked = global_rank(cats, "avg_rating", tie_col="main_category", out="rating_rank")
+    ranked = global_rank(ranked, "total_reviews", tie_col="main_category", out="review_volume_rank")
     rr, vr = F.col("rating_rank"), F.col("review_volume_rank")
     status = classify(
         [
@@ -321,7 +321,8 @@ def performance_cohorts(products: DataFrame) -> DataFrame:
         round_to(F.avg("avg_reviews"), 0).alias("segment_avg_reviews"),
         round_to(F.avg("avg_price"), 2).alias("segment_avg_price"),
     )
-    return seg.select("*", round_to(share_of_total("total_products"), 2).alias("market_share_percent")).orderBy(
+    shared = with_share(seg, "total_products", "_share")
+    return shared.withColumn("market_share_percent", round_to("_share", 2)).drop("_share").orderBy(
         F.col("total_products").desc()
     )
 
@@ -348,7 +349,6 @@ def strategic_positions(products: DataFrame) -> DataFrame:
         F.count_if(rc >= 100).alias("established_products"),
         round_dec(F.avg(F.col("price") * rc), 2).alias("revenue_potential_index"),
     )
-    revenue_rank = F.rank().over(Window.orderBy(F.col("revenue_potential_index").desc()))
     ar, rev = F.col("avg_rating"), F.col("revenue_potential_index")
     position = classify(
         [
@@ -361,7 +361,7 @@ def strategic_positions(products: DataFrame) -> DataFrame:
     )
     advice = classify([(F.col("strategic_position") == k, v) for k, v in STRATEGY_ADVICE.items()], STRATEGY_DEFAULT_ADVICE)
     return (
-        cats.select("*", revenue_rank.alias("revenue_rank"), position.alias("strategic_position"))
+        cats.select("*", position.alias("strategic_position"))
         .select(
             "main_category",
             "total_products",
@@ -372,10 +372,8 @@ def strategic_positions(products: DataFrame) -> DataFrame:
             rev.cast("double").alias("revenue_potential_index"),
             "strategic_position",
             advice.alias("strategic_recommendation"),
-            "revenue_rank",
         )
-        .orderBy("revenue_rank", "main_category")
-        .drop("revenue_rank")
+        .orderBy(F.col("revenue_potential_index").desc(), "main_category")
     )
 
 

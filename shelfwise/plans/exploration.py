@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import (
@@ -24,7 +24,7 @@ from shelfwise.functions import (
     round_text,
     round_to,
 )
-from shelfwise.operators import metrics_long, percentile_of, share_of_total
+from shelfwise.operators import metrics_long, one_row, percentile_of, with_share
 from shelfwise.plans.common import parsed, valid
 from shelfwise.schema import EXPLORATION_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_SQL
 
@@ -123,9 +123,9 @@ def category_distribution(products: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("product_count"),
         F.countDistinct("sub_category").alias("subcategory_count"),
     )
-    total = F.sum("product_count").over(Window.partitionBy())
+    total = one_row(groups.agg(F.sum("product_count").alias("_total")))
     return (
-        groups.select("*", total.alias("_total"))
+        groups.crossJoin(total)
         .where(F.col("main_category").isNotNull())
         .select(
             "main_category",
@@ -205,10 +205,10 @@ def quality_histogram(products: DataFrame, rules=None) -> DataFrame:
     """Distribution of the 0-7 row quality score (share of all rows); ``rules`` overrides the checks."""
     scored = parsed(products).select(quality_score_expr(rules).alias("quality_score"))
     groups = scored.groupBy("quality_score").agg(F.count(F.lit(1)).alias("product_count"))
-    return groups.select(
+    return with_share(groups, "product_count", "_share").select(
         F.col("quality_score").cast("bigint").alias("quality_score"),
         "product_count",
-        round_to(share_of_total("product_count"), 2).alias("percentage"),
+        round_to("_share", 2).alias("percentage"),
     ).orderBy(F.col("quality_score").desc())
 
 

@@ -9,11 +9,20 @@ where it tests the raw aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.functions import classify, ordinal, pct, round_dec, round_text, round_to, thousands
-from shelfwise.operators import avg_cmp, broadcast_checked, nps, percentile_of, top_k_concentration, weighted_avg
+from shelfwise.operators import (
+    avg_cmp,
+    broadcast_checked,
+    global_rank,
+    nps,
+    one_row,
+    percentile_of,
+    top_k_concentration,
+    weighted_avg,
+)
 from shelfwise.plans.common import d, parsed, valid
 
 
@@ -82,16 +91,17 @@ def performance_trends(products: DataFrame, min_products: int = 10) -> DataFrame
             "Declining",
         ).alias("trend_status"),
     )
-    denom = F.sum(F.when(F.col("main_category").isNotNull(), F.col("_all_rows"))).over(Window.partitionBy())
+    denom = one_row(cats.agg(F.sum(F.when(F.col("main_category").isNotNull(), F.col("_all_rows"))).alias("_denom")))
     return (
-        cats.select(
+        cats.crossJoin(denom)
+        .select(
             "main_category",
             "product_count",
             F.col("avg_rating").cast("double").alias("avg_rating"),
             "total_engagement",
             F.col("avg_price").cast("double").alias("avg_price"),
             "trend_status",
-            round_to(pct(F.col("product_count"), denom), 2).alias("market_share"),
+            round_to(pct(F.col("product_count"), F.col("_denom")), 2).alias("market_share"),
         )
         .where(F.col("product_count") >= min_products)
     )
@@ -158,10 +168,8 @@ def category_performance(products: DataFrame, min_products: int = 10) -> DataFra
         ],
         "Dog",
     )
-    ranked = cats.select(
-        "*",
-        F.rank().over(Window.orderBy(ps.desc())).cast("bigint").alias("performance_rank"),
-        bcg.alias("bcg_matrix"),
+    ranked = global_rank(cats, "performance_score", tie_col="main_category", out="performance_rank").select(
+        "*", bcg.alias("bcg_matrix")
     )
     advice = classify([(F.col("bcg_matrix") == k, v) for k, v in BCG_ADVICE.items()])
     return ranked.select(
@@ -331,10 +339,10 @@ def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
         ],
         "Emerging Category",
     )
-    share = round_text(pct(rev.cast("double"), F.sum(rev.cast("double")).over(Window.partitionBy())), 2)
-    ranked = cats.select(
+    total = one_row(cats.agg(F.sum(rev.cast("double")).alias("_rev_total")))
+    share = round_text(pct(rev.cast("double"), F.col("_rev_total")), 2)
+    ranked = global_rank(cats, "revenue_proxy", tie_col="main_category", out="revenue_rank").crossJoin(total).select(
         "*",
-        F.rank().over(Window.orderBy(rev.desc())).cast("bigint").alias("revenue_rank"),
         share.alias("_share"),
         segment.alias("business_segment"),
     )

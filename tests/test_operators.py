@@ -81,3 +81,15 @@ def test_hash_sample_is_stable(rows):
     a = [r.product_id for r in hash_sample(rows, 50).collect()]
     b = [r.product_id for r in hash_sample(rows.repartition(5), 50).collect()]
     assert sorted(a) == sorted(b) and len(a) == 50
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_global_rank_matches_window_rank(rows, descending):
+    from shelfwise.operators import global_rank
+
+    o = F.col("rating").desc() if descending else F.col("rating").asc()
+    a = global_rank(rows, "rating", descending=descending, tie_col="product_id", out="r")
+    b = rows.select("product_id", F.rank().over(Window.orderBy(o)).alias("w"))
+    j = a.join(b, "product_id")
+    assert j.count() == rows.count()
+    assert j.where(F.col("r") != F.col("w")).count() == 0
