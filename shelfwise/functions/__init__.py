@@ -1,7 +1,7 @@
 """Column-level functions: parsing, validity profiles, labels, formatting."""
 
 from shelfwise.functions.fmt import pct, round_dec, round_text, round_to, thousands
-from shelfwise.functions.labels import bucketize, classify, ordinal
+from shelfwise.functions.labels import bucketize, classify, first_match, ordinal, threshold_labels
 from shelfwise.functions.parsing import (
     has_text,
     is_present,
@@ -20,6 +20,7 @@ from shelfwise.functions.parsing import (
 __all__ = [
     "bucketize",
     "classify",
+    "first_match",
     "has_text",
     "is_present",
     "ordinal",
@@ -34,6 +35,7 @@ __all__ = [
     "round_text",
     "round_to",
     "thousands",
+    "threshold_labels",
     "valid_all",
     "valid_count",
     "valid_price",

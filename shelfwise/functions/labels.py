@@ -21,6 +21,22 @@ def classify(rules: Sequence[tuple[Column, str]], default: str | None = None) ->
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
+def first_match(conditions: Sequence[Column], labels: Sequence[str]) -> Column:
+    """``labels[i]`` for the first true ``conditions[i]``; the one extra last label is the default."""
+    if len(labels) != len(conditions) + 1:
+        raise ValueError("need one more label than conditions (the default)")
+    return classify(list(zip(conditions, labels[:-1])), labels[-1])
+
+
+def threshold_labels(
+    col: str | Column, table: Sequence[tuple[float, str]], default: str, op: str = ">="
+) -> Column:
+    """Label by the first threshold that ``col`` passes (``op`` is ``>=``, ``>`` or ``<=``)."""
+    c = F.col(col) if isinstance(col, str) else col
+    test = {">=": c.__ge__, ">": c.__gt__, "<=": c.__le__}[op]
+    return classify([(test(F.lit(t)), label) for t, label in table], default)
+
+
 def bucketize(
     col: str | Column,
     edges: Sequence[float],

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import STATUS_INVALID, STATUS_MISSING, STATUS_VALID_NUMERIC, STATUS_VALID_PRICE
 from shelfwise.schema import COUNT_PATTERN, CURRENCY, PRICE_PATTERN, RATING_PATTERNS
 
 MONEY_DECIMAL = "decimal(10,2)"
@@ -100,9 +101,9 @@ def rating_status(col: str | Column = "ratings") -> Column:
     """Format check of the rating text: Valid Numeric / Missing / Invalid Format."""
     c = _c(col)
     return (
-        F.when(c.rlike(RATING_PATTERNS["loose"]), "Valid Numeric")
-        .when(c.isNull() | (c == ""), "Missing")
-        .otherwise("Invalid Format")
+        F.when(c.rlike(RATING_PATTERNS["loose"]), STATUS_VALID_NUMERIC)
+        .when(c.isNull() | (c == ""), STATUS_MISSING)
+        .otherwise(STATUS_INVALID)
     )
 
 
@@ -110,7 +111,7 @@ def price_status(col: str | Column = "discount_price") -> Column:
     """Format check of the price text: Valid Price / Missing / Invalid Format."""
     c = _c(col)
     return (
-        F.when(c.rlike(PRICE_PATTERN), "Valid Price")
-        .when(c.isNull() | (c == ""), "Missing")
-        .otherwise("Invalid Format")
+        F.when(c.rlike(PRICE_PATTERN), STATUS_VALID_PRICE)
+        .when(c.isNull() | (c == ""), STATUS_MISSING)
+        .otherwise(STATUS_INVALID)
     )

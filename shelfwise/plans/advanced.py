@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import classify, pct, round_dec, round_to
+from shelfwise import fixed
+from shelfwise.functions import first_match, pct, round_dec, round_to, threshold_labels
 from shelfwise.operators import (
     avg_cmp,
     group_ntile,
@@ -27,7 +28,6 @@ from shelfwise.operators import (
 )
 from shelfwise.plans.common import d, parsed, valid
 
-RATING_TIERS = ((4, "Top Rated"), (3, "Good"), (2, "Average"))
 
 
 def _discount_pct():
@@ -64,7 +64,7 @@ def top_products(products: DataFrame, n: int = 5) -> DataFrame:
         + (d("review_count") / F.lit(1000.0)) * F.lit(0.3)
         + ((F.col("original_price") - F.col("price")).cast("double") / d("original_price") * F.lit(100.0)) * F.lit(0.3)
     )
-    tier = classify([(quartile == q, label) for q, label in RATING_TIERS], "Below Average")
+    tier = first_match([quartile == 4, quartile == 3, quartile == 2], fixed.RATING_TIERS)
     return pos.select(
         "main_category",
         "name",
@@ -94,15 +94,12 @@ def category_scoreboard(products: DataFrame) -> DataFrame:
     ranked = global_rank(cats, "avg_rating", tie_col="main_category", out="rating_rank")
     ranked = global_rank(ranked, "total_reviews", tie_col="main_category", out="review_volume_rank")
     rr, vr = F.col("rating_rank"), F.col("review_volume_rank")
-    status = classify(
-        [
-            ((rr <= 3) & (vr <= 5), "Top Performer"),
-            ((rr <= 5) | (vr <= 5), "Strong Performer"),
-            ((rr <= 10) & (vr <= 10), "Average Performer"),
-        ],
-        "Underperformer",
+    status = first_match(
+        [(rr <= 3) & (vr <= 5), (rr <= 5) | (vr <= 5), (rr <= 10) & (vr <= 10)], fixed.CATEGORY_STATUSES
+    )
+    segment = threshold_labels(
+        "avg_price", fixed.CATEGORY_PRICE_SEGMENTS, fixed.CATEGORY_PRICE_SEGMENT_DEFAULT, op=">"
     )
-    segment = classify([(F.col("avg_price") > 2000, "Premium"), (F.col("avg_price") > 500, "Mid-Range")], "Budget")
     return ranked.select(
         "main_category",
         "total_products",
@@ -164,14 +161,14 @@ def price_positions(products: DataFrame, window_rows: int = 2, exact: bool = Tru
     p25, p75 = F.col("price_p25"), F.col("price_p75")
     r50, r75 = F.col("rating_median"), F.col("rating_p75")
     in_band = pdbl.between(p25, p75)
-    recommendation = classify(
+    recommendation = first_match(
         [
-            ((pdbl < p25) & (rdbl > r75), "Underpriced - Consider Price Increase"),
-            ((pdbl > p75) & (rdbl < r50), "Overpriced - Consider Price Reduction"),
-            (in_band & (rdbl > r75), "Well Positioned - Premium Opportunity"),
-            (in_band & rdbl.between(r50, r75), "Optimally Priced"),
+            (pdbl < p25) & (rdbl > r75),
+            (pdbl > p75) & (rdbl < r50),
+            in_band & (rdbl > r75),
+            in_band & rdbl.between(r50, r75),
         ],
-        "Needs Analysis",
+        fixed.PRICING_RECOMMENDATIONS,
     )
     scaled = price * F.col("_win_n")
     total = F.col("_win_sum")
@@ -182,14 +179,10 @@ def price_positions(products: DataFrame, window_rows: int = 2, exact: bool = Tru
     def below(f: str):
         return scaled < total * F.lit(f).cast("decimal(3,1)")
 
-    position = classify(
-        [
-            (above("1.2"), "High Premium"),
-            (above("1.1"), "Premium"),
-            (below("0.9"), "Discount"),
-            (below("0.8"), "Deep Discount"),  # unreachable after 0.9, kept as defined
-        ],
-        "Market Rate",
+    # (the 0.8 rule comes after 0.9 and is never reached; kept as defined)
+    position = first_match(
+        [above(f) if op == ">" else below(f) for op, f, _ in fixed.PRICING_POSITIONS],
+        [label for _, _, label in fixed.PRICING_POSITIONS] + [fixed.PRICING_POSITION_DEFAULT],
     )
     moving_avg = total / F.col("_win_n")
     return joined.select(
@@ -228,8 +221,6 @@ def price_recommendations(products: DataFrame, min_products: int = 3, exact: boo
     )
 
 
-SATISFACTION_LEVELS = ((4.5, "Highly Satisfied"), (4.0, "Satisfied"), (3.5, "Neutral"), (3.0, "Dissatisfied"))
-VOLUME_LEVELS = ((1000, "High Volume"), (100, "Medium Volume"), (10, "Low Volume"))
 
 
 def satisfaction_segments(products: DataFrame, min_products: int = 5) -> DataFrame:
@@ -240,8 +231,8 @@ def satisfaction_segments(products: DataFrame, min_products: int = 5) -> DataFra
     NULL category drops out.
     """
     rows = valid(parsed(products), "price", "rating", "count")
-    level = classify([(F.col("rating") >= t, lab) for t, lab in SATISFACTION_LEVELS], "Highly Dissatisfied")
-    volume = classify([(F.col("review_count") >= t, lab) for t, lab in VOLUME_LEVELS], "Very Low Volume")
+    level = threshold_labels("rating", fixed.SATISFACTION_LEVELS, fixed.SATISFACTION_LEVEL_DEFAULT)
+    volume = threshold_labels("review_count", fixed.VOLUME_LEVELS, fixed.VOLUME_LEVEL_DEFAULT)
     rc = F.col("review_count")
     seg = rows.groupBy("main_category", level.alias("satisfaction_level"), volume.alias("review_volume_category")).agg(
         F.count(F.lit(1)).alias("product_count"),
@@ -250,7 +241,7 @@ def satisfaction_segments(products: DataFrame, min_products: int = 5) -> DataFra
         F.sum(rc).cast("bigint").alias("total_reviews"),
         round_dec(weighted_avg(F.col("rating"), rc), 2).cast("double").alias("weighted_satisfaction_score"),
     )
-    satisfied = F.col("satisfaction_level").isin("Highly Satisfied", "Satisfied")
+    satisfied = F.col("satisfaction_level").isin(*fixed.SATISFIED_LEVELS)
     summary = seg.groupBy("main_category").agg(
         F.sum("product_count").alias("_total"),
         F.sum(F.when(satisfied, F.col("product_count")).otherwise(F.lit(0))).alias("_satisfied"),
@@ -282,16 +273,16 @@ def satisfaction_segments(products: DataFrame, min_products: int = 5) -> DataFra
 
 def _segment_label():
     r, v = F.col("rating_cohort"), F.col("volume_cohort")
-    return classify(
+    return first_match(
         [
-            ((r == 4) & (v == 4), "Stars"),
-            ((r == 4) & (v >= 3), "Rising Stars"),
-            ((r >= 3) & (v == 4), "Popular"),
-            ((r >= 3) & (v >= 3), "Solid Performers"),
-            ((r <= 2) & (v >= 3), "High Volume Low Rating"),
-            ((r >= 3) & (v <= 2), "Hidden Gems"),
+            (r == 4) & (v == 4),
+            (r == 4) & (v >= 3),
+            (r >= 3) & (v == 4),
+            (r >= 3) & (v >= 3),
+            (r <= 2) & (v >= 3),
+            (r >= 3) & (v <= 2),
         ],
-        "Underperformers",
+        fixed.PERFORMANCE_SEGMENTS,
     )
 
 
@@ -327,13 +318,6 @@ def performance_cohorts(products: DataFrame) -> DataFrame:
     )
 
 
-STRATEGY_ADVICE = {
-    "Market Leader": "Maintain excellence, expand product line",
-    "Strong Contender": "Focus on premium products, enhance marketing",
-    "Growing Category": "Improve quality, increase customer engagement",
-    "Improvement Needed": "Quality improvement program, customer feedback analysis",
-}
-STRATEGY_DEFAULT_ADVICE = "Comprehensive category review and repositioning"
 
 
 def strategic_positions(products: DataFrame) -> DataFrame:
@@ -350,16 +334,18 @@ def strategic_positions(products: DataFrame) -> DataFrame:
         round_dec(F.avg(F.col("price") * rc), 2).alias("revenue_potential_index"),
     )
     ar, rev = F.col("avg_rating"), F.col("revenue_potential_index")
-    position = classify(
+    position = first_match(
         [
-            ((ar >= 4.2) & (rev >= 50000), "Market Leader"),
-            ((ar >= 4.0) & (F.col("total_customer_engagement") >= 10000), "Strong Contender"),
-            ((ar >= 3.8) & (F.col("total_products") >= 50), "Growing Category"),
-            (ar >= 3.5, "Improvement Needed"),
+            (ar >= 4.2) & (rev >= 50000),
+            (ar >= 4.0) & (F.col("total_customer_engagement") >= 10000),
+            (ar >= 3.8) & (F.col("total_products") >= 50),
+            ar >= 3.5,
         ],
-        "Strategic Review Required",
+        fixed.STRATEGIC_POSITIONS,
+    )
+    advice = first_match(
+        [F.col("strategic_position") == p for p in fixed.STRATEGIC_POSITIONS[:-1]], fixed.STRATEGY_ADVICE
     )
-    advice = classify([(F.col("strategic_position") == k, v) for k, v in STRATEGY_ADVICE.items()], STRATEGY_DEFAULT_ADVICE)
     return (
         cats.select("*", position.alias("strategic_position"))
         .select(
@@ -382,14 +368,14 @@ def market_opportunities(products: DataFrame, min_products: int = 5) -> DataFram
     rows = valid(parsed(products), "price", "rating", "count")
     n = F.count(F.lit(1))
     demand = F.sum("review_count")
-    label = classify(
+    label = first_match(
         [
-            ((n < 10) & avg_cmp(F.col("rating"), ">=", 4.0), "Underserved High Quality"),
-            ((n < 20) & (demand >= 1000), "High Demand Low Supply"),
-            ((n >= 50) & avg_cmp(F.col("rating"), "<", 3.5), "Quality Gap Opportunity"),
-            ((n >= 30) & avg_cmp(F.col("price"), ">=", 2000), "Budget Option Gap"),
+            (n < 10) & avg_cmp(F.col("rating"), ">=", 4.0),
+            (n < 20) & (demand >= 1000),
+            (n >= 50) & avg_cmp(F.col("rating"), "<", 3.5),
+            (n >= 30) & avg_cmp(F.col("price"), ">=", 2000),
         ],
-        "Saturated",
+        fixed.MARKET_OPPORTUNITIES,
     )
     subs = (
         rows.groupBy("main_category", "sub_category")
@@ -403,7 +389,7 @@ def market_opportunities(products: DataFrame, min_products: int = 5) -> DataFram
         .where(F.col("current_products") >= min_products)
     )
     return (
-        subs.where(F.col("market_opportunity") != "Saturated")
+        subs.where(F.col("market_opportunity") != fixed.MARKET_OPPORTUNITIES[-1])
         .groupBy("main_category", "market_opportunity")
         .agg(
             F.count(F.lit(1)).alias("subcategory_count"),

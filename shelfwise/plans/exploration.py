@@ -24,6 +24,7 @@ from shelfwise.functions import (
     round_text,
     round_to,
 )
+from shelfwise.fixed import DUPLICATE_METRICS, OVERVIEW_METRICS, QUALITY_CARD_PREFIXES, QUALITY_CARD_SECTION
 from shelfwise.operators import metrics_long, one_row, percentile_of, with_share
 from shelfwise.plans.common import parsed, valid
 from shelfwise.schema import EXPLORATION_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_SQL
@@ -44,16 +45,8 @@ def dataset_overview(products: DataFrame, approx_distinct: bool = False) -> Data
         F.count_if(is_present("ratings")).alias("rated"),
         F.count_if(is_present("discount_price")).alias("priced"),
     )
-    return metrics_long(
-        one,
-        [
-            ("Total Records", F.col("n")),
-            ("Total Categories", F.col("cats")),
-            ("Total Subcategories", F.col("subs")),
-            ("Products with Ratings", F.col("rated")),
-            ("Products with Prices", F.col("priced")),
-        ],
-    )
+    values = [F.col(c) for c in ("n", "cats", "subs", "rated", "priced")]
+    return metrics_long(one, list(zip(OVERVIEW_METRICS, values)))
 
 
 def format_check(products: DataFrame, limit: int | None = None) -> DataFrame:
@@ -110,7 +103,7 @@ def duplicate_summary(products: DataFrame, keys: Sequence[str] = EXPLORATION_DUP
     """Number of duplicate key groups and the records they hold (NULL keys group together)."""
     groups = products.groupBy(*keys).agg(F.count(F.lit(1)).alias("duplicate_count")).where("duplicate_count > 1")
     one = groups.agg(F.count(F.lit(1)).alias("g"), F.sum("duplicate_count").alias("r"))
-    return metrics_long(one, [("Total Duplicate Groups", F.col("g")), ("Total Duplicate Records", F.col("r"))])
+    return metrics_long(one, list(zip(DUPLICATE_METRICS, [F.col("g"), F.col("r")])))
 
 
 def category_distribution(products: DataFrame) -> DataFrame:
@@ -242,11 +235,12 @@ def quality_card(products: DataFrame) -> DataFrame:
     def cov(label: str, c: str):
         return F.concat(F.lit(label), round_text(pct(F.col(c), F.col("n")), 1), F.lit("%"))
 
+    total, cats, rating, price, complete = QUALITY_CARD_PREFIXES
     return one.select(
-        F.lit("Data Quality Summary").alias("report_section"),
-        F.concat(F.lit("Total Products: "), F.col("n").cast("string")).alias("metric_1"),
-        F.concat(F.lit("Categories: "), F.col("cats").cast("string")).alias("metric_2"),
-        cov("Rating Coverage: ", "rated").alias("metric_3"),
-        cov("Price Coverage: ", "priced").alias("metric_4"),
-        cov("Complete Records: ", "complete").alias("metric_5"),
+        F.lit(QUALITY_CARD_SECTION).alias("report_section"),
+        F.concat(F.lit(total), F.col("n").cast("string")).alias("metric_1"),
+        F.concat(F.lit(cats), F.col("cats").cast("string")).alias("metric_2"),
+        cov(rating, "rated").alias("metric_3"),
+        cov(price, "priced").alias("metric_4"),
+        cov(complete, "complete").alias("metric_5"),
     )
