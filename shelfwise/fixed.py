@@ -109,10 +109,29 @@ MARKET_OPPORTUNITIES = (
 
 # --- K1 executive card --------------------------------------------------------------------
 EXECUTIVE_TITLE = "EXECUTIVE DASHBOARD - KEY METRICS"
+EXECUTIVE_TEXTS = (
+    "Total Products: ",
+    "Categories: ",
+    " | Subcategories: ",
+    "Avg Rating: ",
+    "/5.0",
+    "Avg Price: ₹",
+    "Total Reviews: ",
+    "Quality Rate: ",
+    "Established Products: ",
+    "Premium Products: ",
+)
 
 # --- K2 trend status ------------------------------------------------------------------------
 TREND_SECTION = "TRENDING PERFORMANCE METRICS"
 TREND_STATUSES = ("Growing", "Stable", "Declining")
+TREND_TEXTS = (
+    "Growing Categories: ",
+    "Stable Categories: ",
+    "Declining Categories: ",
+    "Growth Engagement: ",
+    "Growth Quality: ",
+)
 
 # --- K3 BCG label and recommendation ------------------------------------------------------
 BCG_LABELS = ("Star", "Cash Cow", "Question Mark", "Dog")

@@ -16,6 +16,7 @@ from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.fixed import KEY_METRICS
 from shelfwise.functions import bucketize, ordinal, pct, round_to
 from shelfwise.operators import (
     box_stats,
@@ -292,16 +293,8 @@ def key_metrics(d: DataFrame) -> DataFrame:
         F.avg("discount_price_clean").alias("avg_price"),
         F.sum("no_of_ratings_clean").cast("double").alias("total_reviews"),
     )
-    return metrics_long(
-        one,
-        [
-            ("Total Products Analyzed", F.col("products")),
-            ("Product Categories", F.col("categories")),
-            ("Average Product Rating", F.col("avg_rating")),
-            ("Average Product Price", F.col("avg_price")),
-            ("Total Customer Reviews", F.col("total_reviews")),
-        ],
-    )
+    values = [F.col(c) for c in ("products", "categories", "avg_rating", "avg_price", "total_reviews")]
+    return metrics_long(one, list(zip(KEY_METRICS, values)))
 
 
 def strategic_insights(d: DataFrame) -> DataFrame:

@@ -15,7 +15,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import bucketize, classify, parse_count, parse_money_double, parse_rating, round_to
+from shelfwise import fixed
+from shelfwise.functions import (
+    bucketize,
+    first_match,
+    parse_count,
+    parse_money_double,
+    parse_rating,
+    round_to,
+    threshold_labels,
+)
 from shelfwise.operators import group_row_number, join_group_stats, one_row, top_n_per_group
 from shelfwise.schema import PIPELINE_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_PIPELINE, PRODUCT_ID
 from shelfwise.session import materialize
@@ -103,13 +112,11 @@ def features(cleaned: DataFrame, with_ranks: bool = True) -> DataFrame:
         ),
         (dp / r).alias("price_per_rating"),
         F.when(n > 0, F.log(n.cast("double") + F.lit(1.0)) * r).otherwise(F.lit(0.0)).alias("review_density_score"),
-        classify([(dp <= F.col("_price_p33"), "Budget"), (dp <= F.col("_price_p66"), "Mid-Range")], "Premium").alias(
+        first_match([dp <= F.col("_price_p33"), dp <= F.col("_price_p66")], fixed.PIPELINE_PRICE_SEGMENTS).alias(
             "price_segment"
         ),
-        classify([(r >= 4.5, "Excellent"), (r >= 4.0, "Good"), (r >= 3.5, "Average")], "Poor").alias(
-            "rating_category"
-        ),
-        classify([(n >= F.col("_reviews_p80"), "High"), (n >= F.col("_reviews_median"), "Medium")], "Low").alias(
+        threshold_labels(r, fixed.RATING_CATEGORIES, fixed.RATING_CATEGORY_DEFAULT).alias("rating_category"),
+        first_match([n >= F.col("_reviews_p80"), n >= F.col("_reviews_median")], fixed.REVIEW_VOLUMES).alias(
             "review_volume"
         ),
         "category_avg_rating",

@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.functions import classify, ordinal, pct, round_dec, round_text, round_to, thousands
+from shelfwise import fixed
+from shelfwise.functions import first_match, ordinal, pct, round_dec, round_text, round_to, thousands, threshold_labels
 from shelfwise.operators import (
     avg_cmp,
     broadcast_checked,
@@ -49,18 +50,17 @@ def executive_card(products: DataFrame, approx_distinct: bool = False) -> DataFr
         F.count_if(F.col("review_count") >= 100).alias("est"),
         F.count_if(F.col("price") >= 2000).alias("prem"),
     )
+    total, cats, subs, rating, out_of, price, reviews, quality, established, premium = fixed.EXECUTIVE_TEXTS
     return k.select(
-        F.lit("EXECUTIVE DASHBOARD - KEY METRICS").alias("dashboard_title"),
-        _cat("Total Products: ", thousands("n")).alias("metric_1"),
-        _cat("Categories: ", F.col("cats").cast("string"), " | Subcategories: ", F.col("subs").cast("string")).alias(
-            "metric_2"
-        ),
-        _cat("Avg Rating: ", round_text("avg_rating", 2), "/5.0").alias("metric_3"),
-        _cat("Avg Price: ₹", thousands("avg_price")).alias("metric_4"),
-        _cat("Total Reviews: ", thousands("reviews")).alias("metric_5"),
-        _cat("Quality Rate: ", round_text(pct(F.col("hq"), F.col("n")), 1), "%").alias("metric_6"),
-        _cat("Established Products: ", round_text(pct(F.col("est"), F.col("n")), 1), "%").alias("metric_7"),
-        _cat("Premium Products: ", round_text(pct(F.col("prem"), F.col("n")), 1), "%").alias("metric_8"),
+        F.lit(fixed.EXECUTIVE_TITLE).alias("dashboard_title"),
+        _cat(total, thousands("n")).alias("metric_1"),
+        _cat(cats, F.col("cats").cast("string"), subs, F.col("subs").cast("string")).alias("metric_2"),
+        _cat(rating, round_text("avg_rating", 2), out_of).alias("metric_3"),
+        _cat(price, thousands("avg_price")).alias("metric_4"),
+        _cat(reviews, thousands("reviews")).alias("metric_5"),
+        _cat(quality, round_text(pct(F.col("hq"), F.col("n")), 1), "%").alias("metric_6"),
+        _cat(established, round_text(pct(F.col("est"), F.col("n")), 1), "%").alias("metric_7"),
+        _cat(premium, round_text(pct(F.col("prem"), F.col("n")), 1), "%").alias("metric_8"),
     )
 
 
@@ -83,12 +83,9 @@ def performance_trends(products: DataFrame, min_products: int = 10) -> DataFrame
         round_dec(F.avg(w("rating")), 2).alias("avg_rating"),
         F.sum(w("review_count")).cast("bigint").alias("total_engagement"),
         round_dec(F.avg(w("price")), 2).alias("avg_price"),
-        classify(
-            [
-                (avg_cmp(w("rating"), ">", 4.0) & (n > 50), "Growing"),
-                (avg_cmp(w("rating"), ">", 3.5) & (n > 30), "Stable"),
-            ],
-            "Declining",
+        first_match(
+            [avg_cmp(w("rating"), ">", 4.0) & (n > 50), avg_cmp(w("rating"), ">", 3.5) & (n > 30)],
+            fixed.TREND_STATUSES,
         ).alias("trend_status"),
     )
     denom = one_row(cats.agg(F.sum(F.when(F.col("main_category").isNotNull(), F.col("_all_rows"))).alias("_denom")))
@@ -110,32 +107,27 @@ def performance_trends(products: DataFrame, min_products: int = 10) -> DataFrame
 def trending_summary(products: DataFrame) -> DataFrame:
     """K2: one-row summary of trend statuses and the averages of growing categories."""
     t = performance_trends(products)
-    growing = F.col("trend_status") == "Growing"
+    growing_label, stable_label, declining_label = fixed.TREND_STATUSES
+    growing = F.col("trend_status") == growing_label
     s = t.agg(
         F.count_if(growing).alias("g"),
-        F.count_if(F.col("trend_status") == "Stable").alias("s"),
-        F.count_if(F.col("trend_status") == "Declining").alias("dcl"),
+        F.count_if(F.col("trend_status") == stable_label).alias("s"),
+        F.count_if(F.col("trend_status") == declining_label).alias("dcl"),
         round_dec(F.avg(F.when(growing, F.col("total_engagement"))), 0).alias("eng"),
         round_dec(F.avg(F.when(growing, F.col("avg_rating"))), 2).alias("rat"),
     )
+    growing_t, stable_t, declining_t, engagement_t, quality_t = fixed.TREND_TEXTS
+    out_of = fixed.EXECUTIVE_TEXTS[4]
     return s.select(
-        F.lit("TRENDING PERFORMANCE METRICS").alias("section"),
-        _cat("Growing Categories: ", F.col("g").cast("string")).alias("trend_1"),
-        _cat("Stable Categories: ", F.col("s").cast("string")).alias("trend_2"),
-        _cat("Declining Categories: ", F.col("dcl").cast("string")).alias("trend_3"),
-        _cat("Growth Engagement: ", thousands("eng")).alias("trend_4"),
-        _cat("Growth Quality: ", round_text("rat", 2), "/5.0").alias("trend_5"),
+        F.lit(fixed.TREND_SECTION).alias("section"),
+        _cat(growing_t, F.col("g").cast("string")).alias("trend_1"),
+        _cat(stable_t, F.col("s").cast("string")).alias("trend_2"),
+        _cat(declining_t, F.col("dcl").cast("string")).alias("trend_3"),
+        _cat(engagement_t, thousands("eng")).alias("trend_4"),
+        _cat(quality_t, round_text("rat", 2), out_of).alias("trend_5"),
     )
 
 
-BCG_ADVICE = {
-    "Star": "Maintain leadership, invest in growth",
-    "Cash Cow": "Optimize efficiency, milk profits",
-    "Question Mark": "Strategic decision: invest or divest",
-    "Dog": "Consider repositioning or exit",
-}
-
-
 def category_performance(products: DataFrame, min_products: int = 10) -> DataFrame:
     """K3: revenue index, performance score, ranks and BCG label per category."""
     rows = valid(parsed(products), "rating", "count", "price")
@@ -160,18 +152,18 @@ def category_performance(products: DataFrame, min_products: int = 10) -> DataFra
         .where(F.col("total_products") >= min_products)
     )
     ps, rev = F.col("performance_score"), F.col("revenue_index")
-    bcg = classify(
+    bcg = first_match(
         [
-            ((ps >= 4.0) & (rev >= 1000), "Star"),
-            ((ps >= 3.5) & (F.col("total_reviews") >= 10000), "Cash Cow"),
-            ((ps >= 3.5) & (F.col("total_products") >= 50), "Question Mark"),
+            (ps >= 4.0) & (rev >= 1000),
+            (ps >= 3.5) & (F.col("total_reviews") >= 10000),
+            (ps >= 3.5) & (F.col("total_products") >= 50),
         ],
-        "Dog",
+        fixed.BCG_LABELS,
     )
     ranked = global_rank(cats, "performance_score", tie_col="main_category", out="performance_rank").select(
         "*", bcg.alias("bcg_matrix")
     )
-    advice = classify([(F.col("bcg_matrix") == k, v) for k, v in BCG_ADVICE.items()])
+    advice = first_match([F.col("bcg_matrix") == b for b in fixed.BCG_LABELS[:-1]], fixed.BCG_ADVICE)
     return ranked.select(
         "main_category",
         "total_products",
@@ -187,13 +179,6 @@ def category_performance(products: DataFrame, min_products: int = 10) -> DataFra
     ).orderBy("performance_rank", "main_category")
 
 
-PRICING_ADVICE = {
-    "Premium Quality": "Maintain premium positioning",
-    "Value for Money": "Scale and optimize",
-    "Budget Quality": "Consider premium upgrades",
-}
-
-
 def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: bool = True) -> DataFrame:
     """K4: price distribution, budget/premium shares, market position and strategy per category."""
     rows = valid(parsed(products), "rating", "price")
@@ -214,19 +199,13 @@ def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: boo
         .where(F.col("products") >= min_products)
     )
     ap, ar = F.col("avg_price"), F.col("avg_rating")
-    position = classify(
-        [(ap >= 2000, "Premium Market"), (ap >= 1000, "Mid Market"), (ap >= 500, "Mass Market")], "Budget Market"
-    )
-    strategy = classify(
-        [
-            ((ar >= 4.2) & (ap >= 1500), "Premium Quality"),
-            ((ar >= 4.0) & ap.between(500, 1500), "Value for Money"),
-            ((ar >= 3.8) & (ap < 500), "Budget Quality"),
-        ],
-        "Price-Quality Gap",
+    position = threshold_labels(ap, fixed.MARKET_POSITIONS, fixed.MARKET_POSITION_DEFAULT)
+    strategy = first_match(
+        [(ar >= 4.2) & (ap >= 1500), (ar >= 4.0) & ap.between(500, 1500), (ar >= 3.8) & (ap < 500)],
+        fixed.POSITIONING_STRATEGIES,
     )
-    advice = classify(
-        [(F.col("positioning_strategy") == k, v) for k, v in PRICING_ADVICE.items()], "Urgent pricing review needed"
+    advice = first_match(
+        [F.col("positioning_strategy") == p for p in fixed.POSITIONING_STRATEGIES[:-1]], fixed.POSITIONING_ADVICE
     )
     return (
         cats.select("*", position.alias("market_position"), strategy.alias("positioning_strategy"))
@@ -270,26 +249,11 @@ def satisfaction_nps(products: DataFrame, min_products: int = 10) -> DataFrame:
     score = round_dec(nps(F.col("e"), F.col("p"), t), 1)
     a = cats.select("*", sat.alias("sat"), exc.alias("exc"), score.alias("nps"))
     s, np_ = F.col("sat"), F.col("nps")
-    engagement = classify(
-        [(F.col("avg_reviews_per_product") >= 200, "High Engagement"), (F.col("avg_reviews_per_product") >= 50, "Medium Engagement")],
-        "Low Engagement",
-    )
-    status = classify(
-        [
-            ((s >= 80) & (np_ >= 50), "Customer Champions"),
-            ((s >= 70) & (np_ >= 30), "Customer Favorites"),
-            ((s >= 60) & (np_ >= 10), "Customer Neutral"),
-        ],
-        "Customer Concern",
-    )
-    plan = classify(
-        [
-            (np_ >= 50, "Leverage for growth and referrals"),
-            (np_ >= 30, "Focus on retention and upselling"),
-            (np_ >= 10, "Quality improvement initiatives"),
-        ],
-        "Urgent customer experience overhaul",
+    engagement = threshold_labels("avg_reviews_per_product", fixed.ENGAGEMENT_LEVELS, fixed.ENGAGEMENT_DEFAULT)
+    status = first_match(
+        [(s >= 80) & (np_ >= 50), (s >= 70) & (np_ >= 30), (s >= 60) & (np_ >= 10)], fixed.CUSTOMER_STATUSES
     )
+    plan = threshold_labels(np_, fixed.ACTION_PLANS, fixed.ACTION_PLAN_DEFAULT)
     return a.orderBy(s.desc(), "main_category").select(
         "main_category",
         "total_products",
@@ -305,14 +269,6 @@ def satisfaction_nps(products: DataFrame, min_products: int = 10) -> DataFrame:
     )
 
 
-INVESTMENT_ADVICE = {
-    "Major Revenue Driver": "Strategic investment priority",
-    "Significant Contributor": "Optimize and scale operations",
-    "High Value Niche": "Premium positioning strategy",
-    "Growing Segment": "Growth acceleration initiatives",
-}
-
-
 def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
     """K6: revenue proxy, value ratio, ranks, share of the grand total and segment per category."""
     rows = valid(parsed(products), "rating", "count", "price")
@@ -330,14 +286,14 @@ def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
         .where(F.col("product_count") >= min_products)
     )
     rev, cust, val = F.col("revenue_proxy"), F.col("customer_base_proxy"), F.col("value_ratio")
-    segment = classify(
+    segment = first_match(
         [
-            ((rev >= 100000) & (cust >= 50000), "Major Revenue Driver"),
-            ((rev >= 50000) & (cust >= 20000), "Significant Contributor"),
-            ((rev >= 20000) & (val >= 2.0), "High Value Niche"),
-            (rev >= 10000, "Growing Segment"),
+            (rev >= 100000) & (cust >= 50000),
+            (rev >= 50000) & (cust >= 20000),
+            (rev >= 20000) & (val >= 2.0),
+            rev >= 10000,
         ],
-        "Emerging Category",
+        fixed.BUSINESS_SEGMENTS,
     )
     total = one_row(cats.agg(F.sum(rev.cast("double")).alias("_rev_total")))
     share = round_text(pct(rev.cast("double"), F.col("_rev_total")), 2)
@@ -346,8 +302,8 @@ def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
         share.alias("_share"),
         segment.alias("business_segment"),
     )
-    advice = classify(
-        [(F.col("business_segment") == k, v) for k, v in INVESTMENT_ADVICE.items()], "Market development required"
+    advice = first_match(
+        [F.col("business_segment") == b for b in fixed.BUSINESS_SEGMENTS[:-1]], fixed.INVESTMENT_ADVICE
     )
     return ranked.orderBy("revenue_rank", "main_category").select(
         "main_category",
@@ -362,13 +318,6 @@ def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
     )
 
 
-COMPETITION_ADVICE = {
-    "Fragmented": "Market leadership opportunity",
-    "Competitive": "Differentiation strategy needed",
-    "Concentrated": "Niche positioning required",
-}
-
-
 def competition(products: DataFrame, min_products: int = 5, min_reviews: int = 1000) -> DataFrame:
     """K7: per sub-category competition: top-3 review concentration, price spread, structure.
 
@@ -406,17 +355,12 @@ def competition(products: DataFrame, min_products: int = 5, min_reviews: int = 1
         "*", spread.alias("price_spread_percent"), round_dec(F.col("concentration"), 1).alias("market_concentration")
     )
     c, mc, sp = F.col("competitors"), F.col("market_concentration"), F.col("price_spread_percent")
-    structure = classify(
-        [
-            ((c >= 20) & (mc <= 50), "Fragmented"),
-            ((c >= 10) & (mc <= 70), "Competitive"),
-            ((c >= 5) & (mc <= 85), "Concentrated"),
-        ],
-        "Monopolistic",
+    structure = first_match(
+        [(c >= 20) & (mc <= 50), (c >= 10) & (mc <= 70), (c >= 5) & (mc <= 85)], fixed.MARKET_STRUCTURES
     )
-    dynamics = classify([(sp <= 30, "Price Similarity"), (sp <= 100, "Price Variance")], "Price Fragmentation")
-    advice = classify(
-        [(F.col("market_structure_type") == k, v) for k, v in COMPETITION_ADVICE.items()], "Market disruption potential"
+    dynamics = threshold_labels(sp, fixed.PRICING_DYNAMICS, fixed.PRICING_DYNAMICS_DEFAULT, op="<=")
+    advice = first_match(
+        [F.col("market_structure_type") == m for m in fixed.MARKET_STRUCTURES[:-1]], fixed.COMPETITION_ADVICE
     )
     return (
         m.select("*", structure.alias("market_structure_type"), dynamics.alias("pricing_dynamics"))
@@ -436,11 +380,6 @@ def competition(products: DataFrame, min_products: int = 5, min_reviews: int = 1
     )
 
 
-PRIORITIES = ("Immediate", "High", "Medium")
-TIMELINES = {"Immediate": "🔴 Act within 30 days", "High": "🟡 Plan for next quarter"}
-TIMELINE_DEFAULT = "🟢 Strategic planning cycle"
-
-
 def action_priorities(products: DataFrame) -> DataFrame:
     """K8: UNION of revenue, quality and expansion actions per category, by priority.
 
@@ -475,36 +414,39 @@ def action_priorities(products: DataFrame) -> DataFrame:
             F.lit(action).alias("recommended_action"),
         )
 
+    rev_cat, rev_desc, rev_prio, rev_action = fixed.REVENUE_ACTION
+    qual_cat, qual_desc, qual_prio, qual_action = fixed.QUALITY_ACTION
+    exp_cat, exp_desc, exp_prio, exp_action = fixed.EXPANSION_ACTION
     blocks = F.array(
         block(
             F.col("rev_n") >= 5,
-            "Revenue Optimization",
+            rev_cat,
             F.col("rev_n"),
-            _cat("High-rated products priced below market: ", F.col("rev_n").cast("string")),
-            "Immediate",
-            "Price optimization review",
+            _cat(rev_desc, F.col("rev_n").cast("string")),
+            rev_prio,
+            rev_action,
         ),
         block(
             F.col("qual_n") >= 3,
-            "Quality Enhancement",
+            qual_cat,
             F.col("qual_n"),
-            _cat("Products with high engagement but low ratings: ", F.col("qual_n").cast("string")),
-            "High",
-            "Quality improvement program",
+            _cat(qual_desc, F.col("qual_n").cast("string")),
+            qual_prio,
+            qual_action,
         ),
         block(
             (F.col("exp_n") > 0) & (F.col("exp_n") < 30) & (F.col("exp_demand") > 5000),
-            "Market Expansion",
+            exp_cat,
             F.lit(1),
-            F.lit("Underserved category with high demand signals"),
-            "Medium",
-            "Market entry strategy development",
+            F.lit(exp_desc),
+            exp_prio,
+            exp_action,
         ),
     )
     actions = agg.select(F.inline(blocks)).where(F.col("_keep")).drop("_keep")
-    timeline = classify([(F.col("priority") == k, v) for k, v in TIMELINES.items()], TIMELINE_DEFAULT)
+    timeline = first_match([F.col("priority") == p for p in fixed.PRIORITIES[:-1]], fixed.TIMELINES)
     return actions.select("*", timeline.alias("timeline")).orderBy(
-        ordinal("priority", PRIORITIES), F.col("opportunity_count").desc(), "action_category", "focus_area"
+        ordinal("priority", fixed.PRIORITIES), F.col("opportunity_count").desc(), "action_category", "focus_area"
     )
 
 
@@ -519,11 +461,7 @@ def success_tracking(products: DataFrame) -> DataFrame:
         F.count_if("v_price").alias("t3"),
         F.count_if(F.col("v_price") & (F.col("price") >= 2000)).alias("s3"),
     )
-    specs = [
-        ("Product Portfolio Health", "Products with 4+ rating", "t1", "s1"),
-        ("Market Penetration", "Products with 100+ reviews", "t2", "s2"),
-        ("Premium Positioning", "Premium products (₹2000+)", "t3", "s3"),
-    ]
+    specs = [(cat, desc, f"t{i}", f"s{i}") for i, (cat, desc) in enumerate(fixed.SUCCESS_METRICS, start=1)]
     structs = [
         F.struct(
             F.lit(cat).alias("metric_category"),
@@ -536,9 +474,7 @@ def success_tracking(products: DataFrame) -> DataFrame:
     ]
     rows = one.select(F.inline(F.array(*structs)))
     rate = F.col("success_rate")
-    status = classify(
-        [(rate >= 80, "🟢 Excellent"), (rate >= 60, "🟡 Good"), (rate >= 40, "🟠 Fair")], "🔴 Needs Improvement"
-    )
+    status = threshold_labels(rate, fixed.SUCCESS_STATUSES, fixed.SUCCESS_STATUS_DEFAULT)
     return rows.orderBy(rate.desc()).select(
         "metric_category",
         "metric_description",
