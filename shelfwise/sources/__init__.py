@@ -4,6 +4,7 @@ from shelfwise.sources.catalogue import (
     read_catalogue_csv,
     read_catalogue_csv_by_name,
     read_catalogue_parquet,
+    register_catalogue,
     with_product_id,
 )
 from shelfwise.sources.fixture import PRODUCTS_CTES, derive_products, load_products, read_table, with_products
@@ -16,6 +17,7 @@ __all__ = [
     "read_catalogue_csv_by_name",
     "read_catalogue_parquet",
     "read_table",
+    "register_catalogue",
     "with_product_id",
     "with_products",
 ]

@@ -81,3 +81,17 @@ def read_catalogue_parquet(spark: SparkSession, path: str | Sequence[str]) -> Da
     except AnalysisException as exc:
         raise ValueError(f"no Parquet input found at {paths}") from exc
     return _conform(df)
+
+
+def register_catalogue(products: DataFrame, name: str = "products", parsed_name: str | None = "products_parsed") -> None:
+    """Expose the catalogue to SQL as temp views (the stored table the reports query).
+
+    ``name`` holds the raw text columns; ``parsed_name`` (optional) adds the
+    typed ``price``, ``original_price``, ``rating``, ``review_count`` and the
+    validity flags ``v_price``, ``v_rating``, ``v_count``.
+    """
+    from shelfwise.plans.common import parsed
+
+    products.createOrReplaceTempView(name)
+    if parsed_name:
+        parsed(products).createOrReplaceTempView(parsed_name)

@@ -88,3 +88,17 @@ def test_streaming_ingest(spark):
     q2 = ingest_catalogue(spark, src, os.path.join(table, "t"), checkpoint_location=os.path.join(ckpt, "c"))
     q2.awaitTermination(120)
     assert spark.read.parquet(os.path.join(table, "t")).count() == len(pdf)
+
+
+def test_sql_over_registered_views(spark):
+    from shelfwise.sources import register_catalogue
+
+    products = load_products(spark, SF_SMALL)
+    register_catalogue(products)
+    n = spark.sql("SELECT COUNT(*) AS n FROM products").first().n
+    assert n == products.count()
+    valid = spark.sql(
+        "SELECT main_category, COUNT(*) AS c, AVG(rating) AS r FROM products_parsed "
+        "WHERE v_price AND v_rating AND v_count GROUP BY main_category"
+    )
+    assert valid.agg(F.sum("c")).first()[0] > 0
