@@ -15,8 +15,9 @@ operators here give the same numbers with work that spreads evenly:
 * :func:`top_n_per_group` - ROW_NUMBER <= n as a lone window + filter, which
   Catalyst turns into a partial ``WindowGroupLimit`` before the shuffle: at
   most ``n`` rows per group leave each map task.
-* :func:`global_rank` - RANK over a whole frame: first row number of each tie
-  group of the distributed numbering.
+* :func:`global_rank` - RANK over a whole frame: a plain window when a count
+  proves the frame small, else the first row number of each tie group of the
+  distributed numbering.
 * :func:`positions_in_group` - ROW_NUMBER position and group size for a few
   selected rows (e.g. the top-n) without sorting the population: each
   population row meets only the selected rows of its own group (bounded
@@ -33,6 +34,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from shelfwise.operators.joins import broadcast_checked
 from shelfwise.session import materialize
@@ -40,6 +42,8 @@ from shelfwise.session import materialize
 _MASK33 = (1 << 33) - 1
 # Broadcast bound for the per-(partition, group) count table.
 MAX_COUNT_TABLE_ROWS = 2_000_000
+# Largest frame ranked by a plain single-task window (proven by a count).
+MAX_SINGLE_TASK_ROWS = 100_000
 
 
 def _null_safe_on(left: str, right: str, keys: Sequence[str], right_names: Sequence[str]) -> Column:
@@ -213,18 +217,28 @@ def positions_in_group(
 
 
 def global_rank(
-    df: DataFrame, order_col: str, descending: bool = True, tie_col: str | None = None, out: str = "rank"
+    df: DataFrame,
+    order_col: str,
+    descending: bool = True,
+    tie_col: str | None = None,
+    out: str = "rank",
+    max_single_task_rows: int = MAX_SINGLE_TASK_ROWS,
 ) -> DataFrame:
-    """Exact ``RANK() OVER (ORDER BY order_col)`` without a single-task window.
-
-    Rows are numbered by the distributed row number (ties broken by
-    ``tie_col``); the rank of a value is the first row number of its tie group
-    (``min`` per value), joined back. NULLs sort last when descending, first
-    when ascending, as Spark orders them.
+    """Exact ``RANK() OVER (ORDER BY order_col)`` that never puts an unbounded frame in one task.
+
+    The frame is persisted and counted. At most ``max_single_task_rows`` rows
+    (a proven bound, e.g. one row per category) take the plain window in one
+    task. Larger frames are numbered by the distributed row number (ties
+    broken by ``tie_col``) and the rank of a value is the first row number of
+    its tie group (``min`` per value), joined back. NULLs sort last when
+    descending, first when ascending, as Spark orders them.
     """
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if kept.count() <= max_single_task_rows:
+        return kept.withColumn(out, F.rank().over(Window.orderBy(o)).cast("bigint"))
     order = [o] + ([F.col(tie_col).asc()] if tie_col else [])
-    numbered = group_row_number(df, [], order, "_gr_rn")
+    numbered = group_row_number(kept, [], order, "_gr_rn")
     firsts = numbered.groupBy(F.col(order_col).alias("_gr_v")).agg(F.min("_gr_rn").alias(out))
     firsts = broadcast_checked(firsts)
     joined = numbered.join(firsts, F.col(order_col).eqNullSafe(F.col("_gr_v")), "inner")

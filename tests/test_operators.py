@@ -84,11 +84,14 @@ def test_hash_sample_is_stable(rows):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_global_rank_matches_window_rank(rows, descending):
+@pytest.mark.parametrize("single_task_limit", [0, 100_000])  # distributed path, small-frame path
+def test_global_rank_matches_window_rank(rows, descending, single_task_limit):
     from shelfwise.operators import global_rank
 
     o = F.col("rating").desc() if descending else F.col("rating").asc()
-    a = global_rank(rows, "rating", descending=descending, tie_col="product_id", out="r")
+    a = global_rank(
+        rows, "rating", descending=descending, tie_col="product_id", out="r", max_single_task_rows=single_task_limit
+    )
     b = rows.select("product_id", F.rank().over(Window.orderBy(o)).alias("w"))
     j = a.join(b, "product_id")
     assert j.count() == rows.count()
