@@ -5,7 +5,8 @@ category holding a third of the catalogue then sorts in a single task. The
 operators here give the same numbers with work that spreads evenly:
 
 * :func:`group_row_number` / :func:`group_ntile` - exact ROW_NUMBER / NTILE per
-  group (or globally, ``keys=[]``). Rows are range-partitioned on
+  group (or globally, ``keys=[]``). A frame that a count proves small takes
+  the plain window (bounded by the count). Otherwise rows are range-partitioned on
   ``(keys, order)`` (a hot key spans many partitions), numbered locally with
   ``monotonically_increasing_id`` after a sort within the partition, then
   shifted by the row counts of the same group in earlier partitions. The
@@ -70,7 +71,19 @@ def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], num_par
     return ranged
 
 
-def _numbered(df, keys, order, num_partitions):
+def _numbered(df, keys, order, num_partitions, max_single_task_rows=None):
+    limit = MAX_SINGLE_TASK_ROWS if max_single_task_rows is None else max_single_task_rows
+    if limit > 0:
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+        if kept.count() <= limit:
+            # Proven small frame: the plain window is bounded by the count.
+            by_key = Window.partitionBy(*keys)
+            return kept.select(
+                "*",
+                F.row_number().over(by_key.orderBy(*order)).cast("bigint").alias("_sw_rn"),
+                F.count(F.lit(1)).over(by_key).alias("_sw_size"),
+            )
+        df = kept
     # The numbered rows are materialised once: the count table and the rows it
     # is joined back to must see the same range bounds and the same local order.
     # (Column pruning would otherwise plan two different range exchanges whose
@@ -110,13 +123,17 @@ def group_row_number(
     out: str = "row_number",
     num_partitions: int | None = None,
     size_col: str | None = None,
+    max_single_task_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` at scale.
 
     NULL keys form one group, as in a window. ``size_col`` optionally keeps the
-    group size (``COUNT(*) OVER (PARTITION BY keys)``).
+    group size (``COUNT(*) OVER (PARTITION BY keys)``). A frame that a count
+    proves to hold at most ``max_single_task_rows`` rows (default
+    ``MAX_SINGLE_TASK_ROWS``; 0 forces the distributed path) takes the plain
+    window; larger frames are range-partitioned.
     """
-    out_df = _numbered(df, keys, order, num_partitions).withColumnRenamed("_sw_rn", out)
+    out_df = _numbered(df, keys, order, num_partitions, max_single_task_rows).withColumnRenamed("_sw_rn", out)
     out_df = out_df.withColumn(out, F.col(out).cast("bigint"))
     if size_col:
         return out_df.withColumnRenamed("_sw_size", size_col)
@@ -145,9 +162,10 @@ def group_ntile(
     n: int,
     out: str = "ntile",
     num_partitions: int | None = None,
+    max_single_task_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``NTILE(n) OVER (PARTITION BY keys ORDER BY order)``; ``keys=[]`` is global."""
-    numbered = _numbered(df, keys, order, num_partitions)
+    numbered = _numbered(df, keys, order, num_partitions, max_single_task_rows)
     return numbered.withColumn(out, ntile_of(F.col("_sw_rn"), F.col("_sw_size"), n)).drop("_sw_rn", "_sw_size")
 
 
@@ -238,7 +256,7 @@ def global_rank(
     if kept.count() <= max_single_task_rows:
         return kept.withColumn(out, F.rank().over(Window.orderBy(o)).cast("bigint"))
     order = [o] + ([F.col(tie_col).asc()] if tie_col else [])
-    numbered = group_row_number(kept, [], order, "_gr_rn")
+    numbered = group_row_number(kept, [], order, "_gr_rn", max_single_task_rows=0)
     firsts = numbered.groupBy(F.col(order_col).alias("_gr_v")).agg(F.min("_gr_rn").alias(out))
     firsts = broadcast_checked(firsts)
     joined = numbered.join(firsts, F.col(order_col).eqNullSafe(F.col("_gr_v")), "inner")

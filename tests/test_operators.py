@@ -27,7 +27,7 @@ def rows(spark):
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_group_row_number_matches_window(rows, parts):
     order = [F.col("rating").desc(), F.col("review_count").desc(), F.col("product_id").asc()]
-    a = group_row_number(rows, ["main_category"], order, "rn", num_partitions=parts)
+    a = group_row_number(rows, ["main_category"], order, "rn", num_partitions=parts, max_single_task_rows=0)
     b = rows.select("product_id", F.row_number().over(Window.partitionBy("main_category").orderBy(*order)).alias("w"))
     j = a.join(b, "product_id")
     assert j.count() == rows.count()
@@ -37,7 +37,7 @@ def test_group_row_number_matches_window(rows, parts):
 @pytest.mark.parametrize("parts", [2, 7])
 def test_global_ntile_matches_window(rows, parts):
     order = [F.col("price").asc(), F.col("product_id").asc()]
-    a = group_ntile(rows, [], order, 4, "q", num_partitions=parts)
+    a = group_ntile(rows, [], order, 4, "q", num_partitions=parts, max_single_task_rows=0)
     b = rows.select("product_id", F.ntile(4).over(Window.orderBy(*order)).alias("w"))
     assert a.join(b, "product_id").where(F.col("q") != F.col("w")).count() == 0
     sizes = [r["count"] for r in a.groupBy("q").count().collect()]
@@ -96,3 +96,14 @@ def test_global_rank_matches_window_rank(rows, descending, single_task_limit):
     j = a.join(b, "product_id")
     assert j.count() == rows.count()
     assert j.where(F.col("r") != F.col("w")).count() == 0
+
+
+def test_small_frame_path_matches_window(rows):
+    order = [F.col("review_count").desc(), F.col("product_id").asc()]
+    a = group_row_number(rows, ["main_category"], order, "rn", size_col="n")  # 2k rows: plain-window path
+    w = Window.partitionBy("main_category")
+    b = rows.select(
+        "product_id", F.row_number().over(w.orderBy(*order)).alias("w"), F.count(F.lit(1)).over(w).alias("n2")
+    )
+    j = a.join(b, "product_id")
+    assert j.where((F.col("rn") != F.col("w")) | (F.col("n") != F.col("n2"))).count() == 0
