@@ -106,15 +106,17 @@ def duplicate_summary(products: DataFrame, keys: Sequence[str] = EXPLORATION_DUP
     return metrics_long(one, list(zip(DUPLICATE_METRICS, [F.col("g"), F.col("r")])))
 
 
-def category_distribution(products: DataFrame) -> DataFrame:
+def category_distribution(products: DataFrame, approx_distinct: bool = False) -> DataFrame:
     """E5: products per category, share of all rows, distinct sub-categories.
 
     The denominator (all rows, NULL category included) is the sum of the group
-    counts, so the table is scanned once.
+    counts, so the table is scanned once. ``approx_distinct`` counts
+    sub-categories with HyperLogLog++.
     """
+    distinct = F.approx_count_distinct if approx_distinct else F.countDistinct
     groups = products.groupBy("main_category").agg(
         F.count(F.lit(1)).alias("product_count"),
-        F.countDistinct("sub_category").alias("subcategory_count"),
+        distinct("sub_category").alias("subcategory_count"),
     )
     total = one_row(groups.agg(F.sum("product_count").alias("_total")))
     return (
