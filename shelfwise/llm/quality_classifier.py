@@ -33,8 +33,10 @@ from shelfwise.llm.hashing import buffers, shingle_sets, word_hashes
 BUCKETS = 1 << 15
 RANK = 8
 EPOCHS = 6
+#: Few rows are gone over more often, up to this number of steps.
+STEPS = 600
 BATCH = 64
-RATE = 0.05
+RATE = 0.08
 TRAIN_ROWS = 8_000
 
 #: Upper edges of the bins of each statistic.
@@ -120,7 +122,7 @@ class Machine:
         """Adagrad over shuffled mini-batches."""
         rng, seen = np.random.default_rng(11), np.full(_SIZE, 1e-2, np.float32)
         seen_w, seen_v = seen[1 : 1 + N_FEATURES], seen[1 + N_FEATURES :].reshape(N_FEATURES, RANK)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(rows)))):
             order = rng.permutation(len(rows))
             for a in range(0, len(order), BATCH):
                 part = order[a : a + BATCH]
