@@ -1,0 +1,352 @@
+"""Each operator on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from shelfwise.llm import bpe, chat, common, components, fingerprints, hashing, line_dedup, mixing, ngram_join, pii
+from shelfwise.llm import quality_classifier, quality_rules, secret_scan
+from shelfwise.llm.queries import vocabulary_path
+
+from .support import PROSE, fold, frame, rows, shingles, varied, words
+
+
+def every_operator(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (6, None)], "doc_id long, quality int")
+    path = vocabulary_path()
+    return {
+        "op1": lambda d: fingerprints.fingerprint_report(d),
+        "op2": lambda d: mixing.mix_report(d),
+        "op3": lambda d: pii.pii_report(d),
+        "op4": lambda d: line_dedup.line_report(d),
+        "op5": lambda d: ngram_join.jaccard_components(d),
+        "op6": lambda d: quality_rules.quality_report(d),
+        "op7": lambda d: quality_classifier.quality_scores(d, labels),
+        "op8": lambda d: secret_scan.secret_report(d),
+        "op9": lambda d: bpe.token_report(d, path),
+    }
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9"])
+def test_one_row_for_every_row(spark, name):
+    run = every_operator(spark)[name]
+    made = run(frame(spark, varied())).collect()
+    assert sorted(str(r.doc_id) for r in made) == sorted(str(i) for i, _, _ in varied())
+    assert run(frame(spark, [])).count() == 0
+    assert run(frame(spark, [(3, None, None)])).count() == 1
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_keep_the_columns(spark, stage):
+    import corpus_pipeline
+
+    for some in (varied(), []):
+        docs = frame(spark, some)
+        assert corpus_pipeline.STAGES[stage][1](spark, docs, "").schema.names == docs.columns
+        corpus_pipeline.STAGES[stage][1](spark, docs, "").collect()
+
+
+def test_fingerprint_estimates(spark):
+    rng = random.Random(1)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    b = a[:2000] + [f"v{rng.randrange(10**6)}" for _ in range(1000)]
+    left, right, part = fingerprints.sketches([" ".join(a), " ".join(b), " ".join(a[:2000])])
+    assert abs(fingerprints.resemblance(left, right) - 0.5) < 0.15
+    assert abs(fingerprints.containment(part, left) - 1) < 0.2
+    assert abs(fingerprints.distinct(left) / 2996 - 1) < 0.3
+    assert np.array_equal(fingerprints.merge(part, left), left)
+    assert fingerprints.encode(left) == fingerprints.encode(fingerprints.decode(fingerprints.encode(left)))
+
+
+def test_merged_fingerprints(spark):
+    texts = [(k, " ".join(f"{k}{i + j}" for j in range(40))) for k in "ab" for i in range(0, 400, 20)]
+    docs = spark.createDataFrame(texts, "key string, text string").repartition(5)
+    got = {r.key: r.fingerprint for r in fingerprints.merge_fingerprints(fingerprints.fingerprint(docs), ["key"]).collect()}
+    for key in "ab":
+        whole = np.unique(np.concatenate([s for raws in hashing.buffers([t for k, t in texts if k == key]) for s in hashing.shingle_sets(raws, 5)]))
+        assert got[key] == fingerprints.encode(whole[: fingerprints.K])
+
+
+def test_hashes_follow_the_definitions():
+    texts = ["A b c\x0bd  e f", "a B c d e f ", "", " \n", "a b", "a b c d e f", "é x y z", "a  b\n c"]
+    sets = [set(s.tolist()) for raws in hashing.buffers(texts, 10) for s in hashing.shingle_sets(raws, 3)]
+    true = [shingles(t, 3) for t in texts]
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            assert len(sets[i] & sets[j]) == len(true[i] & true[j])
+    lines = [x for raws in hashing.buffers(["", "a\n\n B \nbé", "\n"]) for x in hashing.line_hashes(raws)]
+    assert [len(h) for h, _ in lines] == [1, 4, 2]
+    assert [n.tolist() for _, n in lines] == [[0], [1, 0, 1, 2], [0, 0]]
+    assert (lines[1][0][1] == lines[0][0][0]).all() and not (lines[1][0][2] == lines[1][0][0]).all()
+
+
+def test_mixing_meets_targets(spark):
+    rng = random.Random(2)
+    docs = [(i, "w " * rng.randrange(1, 30), rng.choice("aaaab") if i % 9 else None) for i in range(6000)]
+    got = rows(mixing.mix_report(frame(spark, docs)))
+    by_source = {}
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r["doc_id"]), docs):
+        x = by_source.setdefault(s, [0, 0, r["target"], r["source_size"]])
+        x[0] += r["taken"]
+        x[1] += r["size"]
+        assert r["taken"] <= 2 * r["size"]
+    total = sum(x[1] for x in by_source.values())
+    assert abs(sum(x[2] for x in by_source.values()) - 1.5 * total) < 1e-6 * total
+    for taken, size, target, source_size in by_source.values():
+        assert size == source_size and target <= 2 * size + 1e-9 and abs(taken - target) < 0.1 * target
+    again = rows(mixing.mix_report(frame(spark, docs).repartition(3)))
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    mixed = mixing.mix(frame(spark, docs))
+    assert mixed.groupBy().agg(F.sum(mixing.size_of(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
+def test_line_runs(spark):
+    """Adding batch by batch, with compaction, gives what one bulk load gives; ingest drops what earlier batches hold."""
+    shared = "This line is long enough to be counted and is shared."
+    docs = [(i, f"{shared if i % 2 else shared.upper()}  \nown line number {i} that nobody else has at all\nshort") for i in range(30)]
+    df = spark.createDataFrame(docs, "__id long, __text string")
+    runs = line_dedup.LineRuns(spark, fanout=3)
+    for a in range(0, 30, 6):
+        runs.add(line_dedup.line_keys(df.filter((F.col("__id") >= a) & (F.col("__id") < a + 6))))
+    assert len(runs.levels[1]) == 1 and len(runs.levels[0]) == 2
+    bulk = line_dedup.LineRuns(spark)
+    bulk.add_batches(line_dedup.line_keys(df), 8)
+    assert sorted(runs.current().collect()) == sorted(bulk.current().collect())
+    kept = {r["__id"]: r["__kept"] for r in rows(line_dedup.without_lines(df, runs.stale(line_dedup.line_keys(df)), 40))}
+    assert [i for i, t in kept.items() if shared.lower() in t.lower()] == [29]
+    assert kept[3] == "own line number 3 that nobody else has at all\nshort"
+    streamed = line_dedup.LineRuns(spark, min_docs=1)
+    first = rows(streamed.ingest(df.filter("__id < 3")))
+    second = rows(streamed.ingest(df.filter("__id >= 3")))
+    assert all(r["__dropped"] == 0 for r in first) and all(r["__dropped"] == 1 for r in second)
+
+
+def brute_components(texts, width, num, den):
+    sets = [shingles(t, width) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and den * both >= num * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_ngram_join_near_the_threshold(spark, monkeypatch):
+    """Chains, copies and pairs around the threshold; small groups force several chunks and groups of the matrix."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(20, 120))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(1, 25)):
+            source = rng.choice(texts).split() if rng.random() < 0.3 else base
+            copy = list(source)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    texts += ["", "a b", "A b", "a b c", None]
+    monkeypatch.setattr(ngram_join, "GROUP", 4)
+    monkeypatch.setattr(ngram_join, "QUERIES", 3)
+    wanted = brute_components(texts, 4, 85, 100)
+    for broadcast in (10**6, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", broadcast)
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r for r in ngram_join.jaccard_components(df).collect()}
+        assert [got[i].component_id for i in range(len(texts))] == wanted
+        assert [got[i].n_shingles for i in range(len(texts))] == [len(shingles(t, 4)) for t in texts]
+
+
+def test_matrix_alone_finds_all_links(spark, monkeypatch):
+    """Without the rounds that save work the token-group matrix still gives every component."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 3)):
+            copy[rng.randrange(60)] = f"x{rng.randrange(5000)}"
+        texts.append(" ".join(copy))
+    empty = spark.createDataFrame([], "a binary, b binary")
+    monkeypatch.setattr(ngram_join, "_near_links", lambda *a: empty)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert [got[i] for i in range(40)] == brute_components(texts, 4, 85, 100)
+
+
+def test_components_of_a_chain(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, 99), (100, 98), (50, 50)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.node: r.root for r in components.components(df, common.Scratch(spark, "test")).collect()}
+    assert got == {i: 1 for i in range(2, 41)} | {99: 98, 100: 98}
+
+
+def test_one_of_each_group_stays(spark):
+    docs = [(5, PROSE, "a"), (3, PROSE, "b"), (3, PROSE, "c"), (8, PROSE + " x", "a"), (9, "something else entirely, in other words again", "a"), (10, "", "a"), (11, None, "a")]
+    assert sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, docs)).collect()) == [3, 9, 10, 11]
+
+
+def test_quality_verdicts(spark):
+    other = " ".join(f"Thing{i} of the world is {i}" for i in range(30))
+    cases = {
+        PROSE: True,
+        other: True,
+        "too short": False,
+        " ".join([PROSE] * 3): False,
+        " ".join(w + "***" for w in other.split()): False,
+        other.upper(): False,
+        " ".join(w + "!!" for w in other.split()): False,
+        "": False,
+        "\n".join([PROSE[:50]] * 1 + ["one line of text here"] * 1 + [PROSE[50:]]): True,
+    }
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(cases)])
+    got = {r.doc_id: r for r in quality_rules.quality_report(docs).collect()}
+    assert [got[i].kept for i in range(len(cases))] == list(cases.values())
+    assert sorted(r.doc_id for r in quality_rules.keep_good(docs).collect()) == [i for i, k in enumerate(cases.values()) if k]
+    assert quality_rules.keep_good(docs.limit(1), rules=[("x", "mean_word_length", 100.0, None)]).count() == 0
+
+
+def test_machine_identity():
+    """The linear-time score equals the sum over all pairs."""
+    rng = np.random.default_rng(1)
+    flat = np.zeros(quality_classifier._SIZE, np.float32)
+    flat[:] = rng.normal(0, 0.1, len(flat))
+    m = quality_classifier.Machine(flat)
+    (index, value) = next(quality_classifier.features([PROSE]))
+    pairs = sum(float(m.v[i] @ m.v[j]) * x * y for k, (i, x) in enumerate(zip(index, value)) for j, y in zip(index[k + 1 :], value[k + 1 :]))
+    margin = float(m.bias[0]) + float(m.w[index] @ value) + pairs
+    assert abs(m.scores([(index, value)])[0] - 1 / (1 + np.exp(-margin))) < 1e-4
+    assert len(set(index.tolist())) == len(index)
+
+
+def test_bpe_tree_equals_library(spark):
+    rng = random.Random(6)
+    path = vocabulary_path()
+    v = bpe.Vocabulary.load(path)
+    alphabets = ["ab", "aeinrst", "abcdefghijklmnopqrstuvwxyz", "ÉéÈàñüß", "=-#", "中文字", "aA1!é"]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (1, 7, 64, 500, 3000)]
+    texts += ["banana" * 300 + "<|endoftext|>" + "nan" * 400, "ab " * 300 + "z" * 700 + " end", " \n" * 500, "I'm" * 400, "́" * 300 + " ́a", "<|startoftext|>" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode(df, path, long=40, leaf=16).collect():
+        ids = v.whole.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids
+        assert r.decoded == v.whole.decode(ids, skip_special_tokens=False)
+    back = bpe.decode(bpe.encode(df, path), path, out="again")
+    assert back.filter("again != decoded").count() == 0
+
+
+def test_chat_round_trip(spark):
+    tricky = ["<turn user>", "</turn>\n", "&lt;next>&amp;", "a<next>b", "", "line\nline", "\\### Assistant: </turn> ok", "é\U0001f600"]
+    rng = random.Random(7)
+    made = [(c, t, rng.choice(["user", "assistant", "sys<tem>&", ""]), rng.choice(tricky)) for c in range(40) for t in range(rng.randrange(1, 9))]
+    made += [(None, 0, None, None), (77, None, "assistant", "first"), (77, 1, "assistant", None), (77, 1, "assistant", "z"), (77, 1, "assistant", "z")]
+    turns = spark.createDataFrame(made, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    formatted = chat.format_chats(turns)
+    got = {r.conv_id: r for r in chat.parse_chats(formatted).collect()}
+    masks = {r.conv_id: r for r in formatted.collect()}
+    wanted = {}
+    for c, t, r, x in sorted(made, key=lambda m: (-1 if m[1] is None else m[1], m[2] or "", m[3] or "")):
+        wanted.setdefault(c, []).append((r or "", x or ""))
+    assert got.keys() == wanted.keys()
+    for c, turns_of in wanted.items():
+        assert [(t["role"], t["text"]) for t in got[c].turns] == turns_of
+        assert all(t["fits"] and t["loss"] == (t["role"] == "assistant") for t in got[c].turns)
+        text, at, loss = masks[c].formatted, 0, ""
+        for piece in masks[c].mask:
+            loss += text[at : at + piece["chars"]] if piece["loss"] else ""
+            at += piece["chars"]
+        assert at == len(text)
+        for safe, raw in (("&gt;", ">"), ("&lt;", "<"), ("&amp;", "&")):
+            loss = loss.replace(safe, raw)
+        assert loss == "".join(x for r, x in turns_of if r == "assistant")
+    assert text.count("<turn ") <= len(turns_of)
+    assert chat.chat_report(turns.limit(0)).count() == 0
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_surrogates(spark):
+    cards = ["4539 1488 0343 6467", "4539148803436467", "4539-1488-0343-6467"]
+    docs = [
+        (1, f"write to Anna.Lee42@mail.test or call +1 (212) 555-0142, card {cards[0]}."),
+        (2, f"card {cards[1]} again; ANNA.LEE42@mail.test wrote, host 203.0.113.9 and 10.1.2.3"),
+        (3, f"no card: 1234567890123456, version 1.2.3, {cards[2]}"),
+        (4, "Mrs. Miller met Mr Stone and Г-жа Иванова; Mrs. Miller left"),
+        (5, "nothing to see"),
+        (None, None),
+        (1, "same id, other text: 203.0.113.9"),
+    ]
+    got = rows(pii.replace_pii(spark.createDataFrame(docs, "doc_id long, text string").withColumn("value", F.lit(1)).withColumn("entity", F.lit(2))))
+    text = {(r["doc_id"], r["text"] is not None and r["text"].startswith("same")): r["text"] for r in got}
+    one, two, three, four = (text[i, False] for i in (1, 2, 3, 4))
+    for original in ("Lee42", "LEE42", "555-0142", "4539148803436467", "4539 1488", "203.0.113.9", "Miller", "Stone", "Иванова"):
+        assert not any(original in (t or "") for t in text.values())
+    assert text[5, False] == "nothing to see" and text[None, False] is None and "1234567890123456" in three and "1.2.3" in three
+    a, b, c = re.search(r"card ([\d ]+)\.", one)[1], re.search(r"card (\d+) again", two)[1], re.search(r"[\d-]{19}$", three)[0]
+    assert a.replace(" ", "") == b == c.replace("-", "") and luhn(b) and b[0] == "4" and [len(x) for x in a.split()] == [4] * 4
+    mails = [re.search(r"\S+@\S+", t)[0] for t in (one, two)]
+    assert mails[0] == mails[1] and re.fullmatch(r"[a-z]{4}\.[a-z]{3}\d\d@[a-z]+\.example", mails[0])
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4},", one)
+    assert re.search(r"and 10\.\d+\.\d+\.\d+$", two) and re.search(r"host (\S+)", two)[1] in text[1, True]
+    m = re.fullmatch(r"Mrs\. (\w+) met Mr (\w+) and Г-жа (\w+); Mrs\. (\w+) left", four)
+    assert m[1] == m[4] != m[2] and re.fullmatch(r"[а-яё]+", m[3].lower())
+    assert pii.replace_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """A surrogate space of 512 values for 300 entities: collisions happen and are resolved."""
+    monkeypatch.setattr(pii, "_CONSONANTS", {"latin": "bbbbbbbbcccccccc", "cyrillic": "бббббббббббббббб"})
+    monkeypatch.setattr(pii, "_VOWELS", {"latin": "a" * 16, "cyrillic": "а" * 16})
+    some = spark.createDataFrame([("name", f"f:Name{i}") for i in range(60)] + [("ip", f"9.9.9.{i}") for i in range(200)], "kind string, entity string")
+    made = rows(pii.surrogate_table(some))
+    assert len(made) == 260 and len({(r["kind"], r["made"]) for r in made}) == 260
+    assert not {(r["kind"], r["made"]) for r in made} & {(r["kind"], r["entity"]) for r in made}
+    assert sorted(map(str, made)) == sorted(map(str, rows(pii.surrogate_table(some.repartition(3)))))
+
+
+def test_pipeline_equals_brute_force(spark):
+    """run() against a plain version of all five stages on the small table."""
+    import corpus_pipeline
+    import duckdb
+
+    from shelfwise.llm.oracle import ORACLE_SQL
+
+    from .support import sha
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE documents AS SELECT * FROM '{sf}/documents.parquet'")
+    good = {i for i, k in con.execute(f"SELECT doc_id, kept FROM ({ORACLE_SQL['op6_quality_rules']})").fetchall() if k}
+    docs = {i: (t, s) for i, t, s in con.execute("SELECT doc_id, text, source FROM documents").fetchall() if i in good}
+    holders = {}
+    strip = " \t\n\x0b\x0c\r"
+    for i, (t, _) in docs.items():
+        for line in set(fold(x.strip(strip)) for x in t.split("\n")):
+            holders.setdefault(line, []).append(i)
+    gone = {k: max(v) for k, v in holders.items() if len(k) >= 40 and len(v) >= 5}
+    docs = {i: ("\n".join(x for x in t.split("\n") if gone.get(fold(x.strip(strip)), i) == i), s) for i, (t, s) in docs.items()}
+    order = sorted(docs)
+    groups = brute_components([docs[i][0] for i in order], 5, 80, 100)
+    docs = {i: docs[i] for n, i in enumerate(order) if groups[n] == n}
+    con.execute("DROP TABLE documents")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, s) for i, (t, s) in docs.items()])
+    taken = con.execute(f"SELECT doc_id, CAST(taken / greatest(size, 1) AS INT), size FROM ({ORACLE_SQL['op2_mixing']})").fetchall()
+    copies = {i: n for i, n, size in taken if size}
+    whole = bpe.Vocabulary.load(vocabulary_path()).whole
+    wanted = sorted((i, sha(" ".join(map(str, whole.encode(docs[i][0], add_special_tokens=False).ids)))) for i, n in copies.items() for _ in range(n))
+    got = sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect())
+    sizes = {i: size for i, _, size in taken}
+    assert [x for x in got if sizes[x[0]]] == wanted
+    assert words(PROSE)
