@@ -7,17 +7,18 @@ locally at any scale).
 import pytest
 
 import __spark_entry__ as entry
+from shelfwise import registry
 from tools.parity import rows
 
 from .conftest import SF_SMALL
 
-ORACLE = entry.oracle_sql()
+ORACLE = registry.oracle_sql()
 NAMES = sorted(ORACLE)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    s = entry.queries()[name](spark, SF_SMALL).toPandas()
+    s = registry.queries()[name](spark, SF_SMALL).toPandas()
     o = duck.execute(ORACLE[name]).df()
     sc, sr = rows(s)
     oc, orr = rows(o)
@@ -34,12 +35,12 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_oracle_or_is_a_model():
     models = {"p4_rating_model", "p5_success_model", "p6_cluster_summary", "p7d_feature_importance"}
-    assert set(entry.queries()) - set(ORACLE) == models
+    assert set(registry.queries()) - set(ORACLE) == models
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_output_types_are_portable(spark, name):
     """Outputs use only STRING / DOUBLE / BIGINT / INT / BOOLEAN (no DECIMAL), as the oracle does."""
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = registry.queries()[name](spark, SF_SMALL)
     kinds = {f.dataType.typeName() for f in df.schema.fields}
     assert kinds <= {"string", "double", "long", "integer", "boolean"}, (name, kinds)
