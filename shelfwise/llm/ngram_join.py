@@ -9,7 +9,8 @@ connected components of these links, exactly, without emitting the pairs inside
    components so far become the groups of the matrix, in chunks of about ``GROUP`` nodes.
 3. The matrix (shingle x group) is kept as the rows of its prefix shingles: with one order of all shingles, rare ones
    first, two linked sets share a shingle among the first ``n - ceil(n * num / den) + 1`` of each. A query node meets
-   the groups of *other* components that hold one of its prefix shingles, when the sizes allow a link.
+   the groups of *other* components that hold one of its prefix shingles, when the sizes and what follows the shingle
+   on both sides allow a link.
 4. For every such group the task holds the union of its members' shingles; ``|query and union| >= num/den * |query|``
    bounds the overlap with any member. Only qualifying groups are opened, member by member, up to the first link: as
    all members are connected, one link joins the components, whichever member it is.
@@ -42,7 +43,7 @@ from shelfwise.llm.hashing import buffers, mix, overlap, shingle_sets
 GROUP = 64
 QUERIES = 256
 ROUNDS = 3
-KNOWN = 1 << 18
+KNOWN = 1 << 16
 SLICE = 4_000_000
 BROADCAST_ROWS = 1_000_000
 _SEEDS = mix(np.arange(101, 101 + 2 * ROUNDS, dtype=np.uint64))
@@ -206,19 +207,21 @@ def _far_links(docs, nodes: DataFrame, scratch, width, num, den) -> DataFrame:
     info = nodes.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int"))
     info = scratch.store(info.select("id", "node", "n", "comp", "size", "chunk", "prefix"))
     # The matrix by shingle: only shingles that cross components can lead to a link.
-    cells = info.select(F.explode("prefix").alias("token"), F.xxhash64("node").alias("h"), F.xxhash64("comp").alias("c"))
+    cells = info.select(F.posexplode("prefix").alias("pos", "token"), F.xxhash64("node").alias("h"), F.xxhash64("comp").alias("c"))
     cells = cells.repartition("token")
     crossing = cells.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("token")
-    cells = scratch.store(cells.join(crossing, "token").select("token", "h"))
+    cells = scratch.store(cells.join(crossing, "token").select("token", "pos", "h"))
     slim = info.select(F.xxhash64("node").alias("h"), "node", "id", "n", "comp", "size", "chunk")
     cells = cells.join(slim, "h")
     columns = cells.groupBy("token", F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk"), F.col("size").alias("g_size"))
-    columns = columns.agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    queries = cells.select("token", "node", "id", "n", "comp", "size")
+    columns = columns.agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("left_hi"))
+    queries = cells.select("token", "pos", "node", "id", "n", "comp", "size")
     # The smaller component asks the larger one.
     asks = F.struct("size", "comp") < F.struct(F.col("g_size").alias("size"), F.col("g_comp").alias("comp"))
     fits = (F.col("n") * den >= F.col("n_lo") * num) & (F.col("n_hi") * den >= F.col("n") * num)
-    asked = queries.join(columns, "token").filter(asks & fits).select("g_comp", "g_chunk", "node", "id", "comp").distinct()
+    # If this is the first shared shingle of a link, what follows it on both sides has to hold the whole overlap.
+    reaches = (num + den) * F.least(F.col("n") - F.col("pos"), F.col("left_hi")) >= num * (F.col("n") + F.col("n_lo"))
+    asked = queries.join(columns, "token").filter(asks & fits & reaches).select("g_comp", "g_chunk", "node", "id", "comp").distinct()
     asked = scratch.store(asked)
     load = asked.groupBy("g_comp", "g_chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
