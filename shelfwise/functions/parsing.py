@@ -93,7 +93,8 @@ def parse_rating(col: str | Column = "ratings", profile: str = "sql") -> Column:
     if profile == "strict":
         return F.when(c.rlike(RATING_PATTERNS["strict"]), c.try_cast("double"))
     if profile == "coerce":
-        return F.trim(c).try_cast("double")
+        # try_cast alone also reads 'NaN', 'Infinity', '4.5f' and '12d'.
+        return F.when(F.trim(c).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(c).try_cast("double"))
     raise ValueError(f"unknown rating profile {profile!r}")
 
 

@@ -35,7 +35,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from shelfwise.operators.joins import broadcast_checked
 from shelfwise.session import materialize
@@ -43,8 +42,6 @@ from shelfwise.session import materialize
 _MASK33 = (1 << 33) - 1
 # Broadcast bound for the per-(partition, group) count table.
 MAX_COUNT_TABLE_ROWS = 2_000_000
-# Largest frame ranked by a plain single-task window (proven by a count).
-MAX_SINGLE_TASK_ROWS = 100_000
 
 
 def _null_safe_on(left: str, right: str, keys: Sequence[str], right_names: Sequence[str]) -> Column:
@@ -71,19 +68,7 @@ def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], num_par
     return ranged
 
 
-def _numbered(df, keys, order, num_partitions, max_single_task_rows=None):
-    limit = MAX_SINGLE_TASK_ROWS if max_single_task_rows is None else max_single_task_rows
-    if limit > 0:
-        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-        if kept.count() <= limit:
-            # Proven small frame: the plain window is bounded by the count.
-            by_key = Window.partitionBy(*keys)
-            return kept.select(
-                "*",
-                F.row_number().over(by_key.orderBy(*order)).cast("bigint").alias("_sw_rn"),
-                F.count(F.lit(1)).over(by_key).alias("_sw_size"),
-            )
-        df = kept
+def _numbered(df, keys, order, num_partitions):
     # The numbered rows are materialised once: the count table and the rows it
     # is joined back to must see the same range bounds and the same local order.
     # (Column pruning would otherwise plan two different range exchanges whose
@@ -123,17 +108,14 @@ def group_row_number(
     out: str = "row_number",
     num_partitions: int | None = None,
     size_col: str | None = None,
-    max_single_task_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``ROW_NUMBER() OVER (PARTITION BY keys ORDER BY order)`` at scale.
 
     NULL keys form one group, as in a window. ``size_col`` optionally keeps the
-    group size (``COUNT(*) OVER (PARTITION BY keys)``). A frame that a count
-    proves to hold at most ``max_single_task_rows`` rows (default
-    ``MAX_SINGLE_TASK_ROWS``; 0 forces the distributed path) takes the plain
-    window; larger frames are range-partitioned.
+    group size (``COUNT(*) OVER (PARTITION BY keys)``). Frames of any size are
+    range-partitioned.
     """
-    out_df = _numbered(df, keys, order, num_partitions, max_single_task_rows).withColumnRenamed("_sw_rn", out)
+    out_df = _numbered(df, keys, order, num_partitions).withColumnRenamed("_sw_rn", out)
     out_df = out_df.withColumn(out, F.col(out).cast("bigint"))
     if size_col:
         return out_df.withColumnRenamed("_sw_size", size_col)
@@ -162,10 +144,9 @@ def group_ntile(
     n: int,
     out: str = "ntile",
     num_partitions: int | None = None,
-    max_single_task_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``NTILE(n) OVER (PARTITION BY keys ORDER BY order)``; ``keys=[]`` is global."""
-    numbered = _numbered(df, keys, order, num_partitions, max_single_task_rows)
+    numbered = _numbered(df, keys, order, num_partitions)
     return numbered.withColumn(out, ntile_of(F.col("_sw_rn"), F.col("_sw_size"), n)).drop("_sw_rn", "_sw_size")
 
 
@@ -240,23 +221,17 @@ def global_rank(
     descending: bool = True,
     tie_col: str | None = None,
     out: str = "rank",
-    max_single_task_rows: int = MAX_SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Exact ``RANK() OVER (ORDER BY order_col)`` that never puts an unbounded frame in one task.
 
-    The frame is persisted and counted. At most ``max_single_task_rows`` rows
-    (a proven bound, e.g. one row per category) take the plain window in one
-    task. Larger frames are numbered by the distributed row number (ties
-    broken by ``tie_col``) and the rank of a value is the first row number of
-    its tie group (``min`` per value), joined back. NULLs sort last when
-    descending, first when ascending, as Spark orders them.
+    Rows are numbered by the distributed row number (ties broken by
+    ``tie_col``) and the rank of a value is the first row number of its tie
+    group (``min`` per value), joined back. NULLs sort last when descending,
+    first when ascending, as Spark orders them.
     """
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.count() <= max_single_task_rows:
-        return kept.withColumn(out, F.rank().over(Window.orderBy(o)).cast("bigint"))
     order = [o] + ([F.col(tie_col).asc()] if tie_col else [])
-    numbered = group_row_number(kept, [], order, "_gr_rn", max_single_task_rows=0)
+    numbered = group_row_number(df, [], order, "_gr_rn")
     firsts = numbered.groupBy(F.col(order_col).alias("_gr_v")).agg(F.min("_gr_rn").alias(out))
     firsts = broadcast_checked(firsts)
     joined = numbered.join(firsts, F.col(order_col).eqNullSafe(F.col("_gr_v")), "inner")

@@ -243,16 +243,19 @@ FROM c
 """)
 
 _MEASURES = ("ratings_clean", "discount_price_clean", "no_of_ratings_clean", "quality_score")
-D8 = q(DASH + """
-, f AS (SELECT * FROM dash WHERE discount_price_clean BETWEEN 500.0 AND 5000.0)
+_CORRELATIONS = """
+, f AS (SELECT * FROM dash WHERE {where})
 {unions}
-""".format(
-    unions="\nUNION ALL\n".join(
+"""
+_D8_UNIONS = ("\nUNION ALL\n".join(
         f"SELECT '{a}' AS x, '{b}' AS y, {rnd(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))', 6)} AS corr FROM f"
         for a in _MEASURES
         for b in _MEASURES
     )
-))
+)
+D8 = q(DASH + _CORRELATIONS.format(where="TRUE", unions=_D8_UNIONS))
+D8_FILTERED = q(DASH + _CORRELATIONS.format(
+    where="discount_price_clean BETWEEN 500.0 AND 5000.0 AND main_category IN ('Category 0', 'Category 1')", unions=_D8_UNIONS))
 
 D9 = q(DASH + f"""
 SELECT main_category, COUNT(*) AS products, {rnd("AVG(ratings_clean)", 6)} AS avg_rating,

@@ -129,7 +129,11 @@ REGISTRY.update(
         "d7a_key_metrics": (_dash(db.key_metrics), od.D7A),
         "d7b_top5_quality_categories": (_dash(lambda d: db.top_quality_categories(d, 5)), od.D7B),
         "d7c_strategic_insights": (_dash(db.strategic_insights), od.D7C),
-        "d8_correlation_matrix": (_dash(lambda d: db.correlation_matrix(d, price_range=(500.0, 5000.0))), od.D8),
+        "d8_correlation_matrix": (_dash(lambda d: db.correlation_matrix(d)), od.D8),
+        "d8_filtered_correlation": (
+            _dash(lambda d: db.correlation_matrix(d, category_filter=('Category 0', 'Category 1'), price_range=(500.0, 5000.0))),
+            od.D8_FILTERED,
+        ),
         "d9_category_drilldown": (_dash(db.category_drilldown), od.D9),
         "d9_category_rating_histogram": (_dash(db.category_rating_histogram), od.D9_HIST),
     }

@@ -27,7 +27,7 @@ def rows(spark):
 @pytest.mark.parametrize("parts", [1, 3, 16])
 def test_group_row_number_matches_window(rows, parts):
     order = [F.col("rating").desc(), F.col("review_count").desc(), F.col("product_id").asc()]
-    a = group_row_number(rows, ["main_category"], order, "rn", num_partitions=parts, max_single_task_rows=0)
+    a = group_row_number(rows, ["main_category"], order, "rn", num_partitions=parts)
     b = rows.select("product_id", F.row_number().over(Window.partitionBy("main_category").orderBy(*order)).alias("w"))
     j = a.join(b, "product_id")
     assert j.count() == rows.count()
@@ -37,7 +37,7 @@ def test_group_row_number_matches_window(rows, parts):
 @pytest.mark.parametrize("parts", [2, 7])
 def test_global_ntile_matches_window(rows, parts):
     order = [F.col("price").asc(), F.col("product_id").asc()]
-    a = group_ntile(rows, [], order, 4, "q", num_partitions=parts, max_single_task_rows=0)
+    a = group_ntile(rows, [], order, 4, "q", num_partitions=parts)
     b = rows.select("product_id", F.ntile(4).over(Window.orderBy(*order)).alias("w"))
     assert a.join(b, "product_id").where(F.col("q") != F.col("w")).count() == 0
     sizes = [r["count"] for r in a.groupBy("q").count().collect()]
@@ -84,13 +84,12 @@ def test_hash_sample_is_stable(rows):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("single_task_limit", [0, 100_000])  # distributed path, small-frame path
-def test_global_rank_matches_window_rank(rows, descending, single_task_limit):
+def test_global_rank_matches_window_rank(rows, descending):
     from shelfwise.operators import global_rank
 
     o = F.col("rating").desc() if descending else F.col("rating").asc()
     a = global_rank(
-        rows, "rating", descending=descending, tie_col="product_id", out="r", max_single_task_rows=single_task_limit
+        rows, "rating", descending=descending, tie_col="product_id", out="r"
     )
     b = rows.select("product_id", F.rank().over(Window.orderBy(o)).alias("w"))
     j = a.join(b, "product_id")
@@ -100,7 +99,7 @@ def test_global_rank_matches_window_rank(rows, descending, single_task_limit):
 
 def test_small_frame_path_matches_window(rows):
     order = [F.col("review_count").desc(), F.col("product_id").asc()]
-    a = group_row_number(rows, ["main_category"], order, "rn", size_col="n")  # 2k rows: plain-window path
+    a = group_row_number(rows, ["main_category"], order, "rn", size_col="n")
     w = Window.partitionBy("main_category")
     b = rows.select(
         "product_id", F.row_number().over(w.orderBy(*order)).alias("w"), F.count(F.lit(1)).over(w).alias("n2")

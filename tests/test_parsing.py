@@ -121,3 +121,11 @@ def test_rounding_and_format(spark):
     assert r.bf == "1,235"
     assert r.cf == "3"
     assert r.pct == "45.0"
+
+
+def test_coerce_drops_what_is_not_a_plain_number(spark):
+    from shelfwise.functions.parsing import parse_rating
+
+    texts = ["4.5", " 4 ", "NaN", "Infinity", "4.5f", "12d", "1e1", "", None, "Get"]
+    rows = spark.createDataFrame([(t,) for t in texts], "ratings string").select(parse_rating("ratings", "coerce").alias("r")).collect()
+    assert [r.r for r in rows] == [4.5, 4.0, None, None, None, None, 10.0, None, None, None]
