@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from shelfwise.llm.common import Scratch, read
+from shelfwise.llm.common import Scratch, read, ship
 from shelfwise.llm.queries import vocabulary_path
 
 
@@ -21,11 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long lines of five or more documents stay in the one with the largest doc_id; texts and n_chars change."""
+    ship(spark)
     return line_dedup.drop_repeated_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with five-word shingles 0.8 alike or more, the least doc_id stays."""
+    ship(spark)
     return ngram_join.keep_one(docs, width=5, num=80, den=100)
 
 
@@ -36,6 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's tokens, and digest of the decoded text."""
+    ship(spark)
     return bpe.token_report(docs, vocabulary_path())
 
 
