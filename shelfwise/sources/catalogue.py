@@ -36,23 +36,22 @@ def _conform(df: DataFrame) -> DataFrame:
 def read_catalogue_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Read CSV file(s) / a directory / a glob with a header line.
 
-    The schema is explicit and all-text: no inference job, and a clean file
-    cannot be typed differently from a dirty one. Files are expected to share
-    the column order of ``RAW_COLUMNS``; use :func:`read_catalogue_csv_by_name`
-    for files whose headers differ.
+    Columns are taken by their header names and read as text: no inference
+    job, and a clean file cannot be typed differently from a dirty one. Raw
+    columns that the header lacks are NULL; other columns are ignored. Input
+    without a header, or whose header names no raw column, raises
+    ``ValueError``. All files need one header: each file's is checked when it
+    is read and another one fails the job. Use
+    :func:`read_catalogue_csv_by_name` for files whose headers differ.
     """
     paths = [path] if isinstance(path, str) else list(path)
     try:
-        df = (
-            spark.read.schema(RAW_SCHEMA)
-            .option("header", True)
-            .option("mode", "PERMISSIVE")
-            .option("multiLine", False)
-            .csv(paths)
-        )
-    except AnalysisException as exc:  # PATH_NOT_FOUND and friends
+        df = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).csv(paths)
+    except AnalysisException as exc:  # PATH_NOT_FOUND, no file to read a header from
         raise ValueError(f"no CSV input found at {paths}") from exc
-    return with_product_id(df)
+    if not set(df.columns) & set(RAW_COLUMNS):
+        raise ValueError(f"the header at {paths} names no catalogue column: {df.columns}")
+    return _conform(df)
 
 
 def read_catalogue_csv_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -66,6 +66,36 @@ def test_missing_input_raises(spark):
         read_catalogue_parquet(spark, "/tmp/does-not-exist-shelfwise")
 
 
+def test_empty_folder_and_unknown_header_raise(spark):
+    empty, other = _tmp(), _tmp()
+    with pytest.raises(ValueError):
+        read_catalogue_csv(spark, empty)
+    with open(os.path.join(other, "x.csv"), "w") as f:
+        f.write("alpha,beta\n1,2\n")
+    with pytest.raises(ValueError):
+        read_catalogue_csv(spark, other)
+
+
+def test_csv_columns_follow_the_header(spark):
+    d = _tmp()
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("ratings,extra,name,discount_price\n4.2,z,a,₹10\n")
+    row = read_catalogue_csv(spark, d).first()
+    assert (row.ratings, row.name, row.discount_price, row.main_category) == ("4.2", "a", "₹10", None)
+    assert "extra" not in row.asDict()
+    with open(os.path.join(d, "y.csv"), "w") as f:
+        f.write("name,ratings,extra,discount_price\nb,3.9,z,₹11\n")
+    with pytest.raises(Exception):  # a second header is an error, never a silent shift of columns
+        read_catalogue_csv(spark, d).collect()
+
+
+def test_stream_row_numbers_are_dense_over_many_partitions(spark):
+    from shelfwise.streaming.ingest import _with_row_number
+
+    got = _with_row_number(spark.range(0, 5000, 1, 700)).agg(F.count("_row"), F.countDistinct("_row"), F.min("_row"), F.max("_row")).first()
+    assert tuple(got) == (5000, 5000, 0, 4999)
+
+
 def test_sink_partitions_by_category(spark):
     feats = fe.features(fe.clean(load_products(spark, SF_SMALL)), with_ranks=False)
     out = sinks.save_results(feats, _tmp())
