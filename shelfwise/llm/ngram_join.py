@@ -8,9 +8,10 @@ connected components of these links, exactly, without emitting the pairs inside
    such partitions). Each chunk links its own nodes in one task, skipping pairs that are connected already. The
    components so far become the groups of the matrix, in chunks of about ``GROUP`` nodes.
 3. The matrix (shingle x group) is kept as the rows of its prefix shingles: with one order of all shingles, rare ones
-   first, two linked sets share a shingle among the first ``n - ceil(n * num / den) + 1`` of each. A query node meets
-   the groups of *other* components that hold one of its prefix shingles, when the sizes and what follows the shingle
-   on both sides allow a link.
+   first, two linked sets share ``k`` shingles among the first ``n - ceil(n * num / den) + k`` of each; ``k`` grows with
+   the smaller set (one more each ``STEP`` shingles), so a chance phrase or one common passage makes no candidate of two
+   long texts. A query node meets the groups of *other* components that hold ``k`` of its prefix shingles, counting those
+   where the sizes and what follows the shingle on both sides allow a link.
 4. For every such group the task holds the union of its members' shingles; ``|query and union| >= num/den * |query|``
    bounds the overlap with any member. Only qualifying groups are opened, member by member, up to the first link: as
    all members are connected, one link joins the components, whichever member it is.
@@ -42,6 +43,7 @@ from shelfwise.llm.hashing import buffers, mix, overlap, shingle_sets
 
 GROUP = 64
 QUERIES = 256
+STEP = 32
 ROUNDS = 3
 KNOWN = 1 << 16
 SLICE = 4_000_000
@@ -88,6 +90,11 @@ def _required(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def _shared(n: int, num: int, den: int) -> int:
+    """``k`` of a set of n: so many shingles of its prefix it shares with any partner that is not smaller."""
+    return min(1 + n // STEP, _required(n, num, den))
+
+
 def _nodes(docs: DataFrame, known, width: int, num: int, den: int) -> DataFrame:
     """Per row: ``id``, ``n`` shingles, ``node``, its prefix shingles and min-hashes."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("prefix", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64()))])
@@ -114,7 +121,7 @@ def _nodes(docs: DataFrame, known, width: int, num: int, den: int) -> DataFrame:
                         rank = np.where(values[at] == tokens, ranks[at], 0)
                         prefix = tokens[np.argsort(rank, kind="stable")]
                     rows["node"].append(_digest(tokens))
-                    rows["prefix"].append(prefix[: n - _required(n, num, den) + 1].view(np.int64))
+                    rows["prefix"].append(prefix[: n - _required(n, num, den) + _shared(n, num, den)].view(np.int64))
                     rows["mins"].append([int(mix(tokens ^ s).min().view(np.int64)) for s in _SEEDS])
             yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
@@ -219,10 +226,19 @@ def _far_links(docs, nodes: DataFrame, scratch, width, num, den) -> DataFrame:
     # The smaller component asks the larger one.
     asks = F.struct("size", "comp") < F.struct(F.col("g_size").alias("size"), F.col("g_comp").alias("comp"))
     fits = (F.col("n") * den >= F.col("n_lo") * num) & (F.col("n_hi") * den >= F.col("n") * num)
-    # If this is the first shared shingle of a link, what follows it on both sides has to hold the whole overlap.
-    reaches = (num + den) * F.least(F.col("n") - F.col("pos"), F.col("left_hi")) >= num * (F.col("n") + F.col("n_lo"))
-    asked = queries.join(columns, "token").filter(asks & fits & reaches).select("g_comp", "g_chunk", "node", "id", "comp").distinct()
-    asked = scratch.store(asked)
+
+    def shared(n):
+        return F.least(1 + F.floor(n / STEP), F.ceil(n * num / den))
+
+    # If this is one of the first k shared shingles of a link, what follows it on both sides and the k - 1 before it
+    # have to hold the whole overlap.
+    follows = F.least(F.col("n") - F.col("pos"), F.col("left_hi")) + shared(F.col("n")) - 1
+    reaches = (num + den) * follows >= num * (F.col("n") + F.col("n_lo"))
+    met = queries.join(columns, "token").filter(asks & fits & reaches)
+    asked = met.groupBy("g_comp", "g_chunk", "node", "id", "comp").agg(
+        F.count(F.lit(1)).alias("met"), F.min(shared(F.least("n", "n_lo"))).alias("k")
+    )
+    asked = scratch.store(asked.filter("met >= k").drop("met", "k"))
     load = asked.groupBy("g_comp", "g_chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
     group = ["g_comp", "g_chunk", "part"]
