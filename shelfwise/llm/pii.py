@@ -7,6 +7,8 @@ two capitalised words after a title).
 - *Type consistency*: digits are replaced in place, so separators, brackets and country codes stay; a card keeps its
   first digit and length and gets a valid check digit; private and public addresses stay so; an e-mail keeps the shape
   of its local part, its digits and its script; a name keeps its title, gender (by the title), word count and script.
+- *Card candidates* (any 13-19 digits) that fail the check hide nothing: their text is read again with the valid cards of
+  the usual groupings in their place. Numbers with a plus sign are phones in any grouping of 8 to 15 digits.
 - *Keyed*: letters and digits come from SHA-256 over (key, kind, canonical form, attempt).
 - *Distinctness*: the table of distinct entities is checked for collisions: surrogates that another entity has too, or
   that are some entity's original. Of such a set the least entity keeps its surrogate, the others get the next attempt,
@@ -45,12 +47,18 @@ _WORD = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}(?![\w])",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}|\+[1-9](?:[ .()-]{0,2}\d){7,14})(?![\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)",
     "name": rf"(?<!\p{{L}})(?:{_TITLE})\.? {_WORD}(?: {_WORD})?",
 }
-ENTITY = "|".join(PATTERNS[k] for k in ("email", "ip", "ssn", "card", "phone", "name"))
+_ORDER = ("email", "ip", "ssn", "card", "phone", "name")
+ENTITY = "|".join(PATTERNS[k] for k in _ORDER)
+#: The usual groupings of card numbers, looked for inside candidates that fail the check.
+CARD_GROUPS = (r"\d{13,19}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{4}(?:[ -]\d{4}){2}[ -]\d{1,3}", r"\d{4}[ -]\d{6}[ -]\d{4,5}")
+_CARD_LEFT, _CARD_RIGHT = r"(?<![\w.+])(?<!\D-)", r"(?!\w|\.\d)"
+#: Country codes of one, two and three digits.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 _CONSONANTS = {"latin": "bcdfghjklmnprstv", "cyrillic": "бвгджзклмнпрстфх"}
 _VOWELS = {"latin": "aeiouaeiouaeioua", "cyrillic": "аеиоуаеиоуаеиоуа"}
@@ -90,10 +98,37 @@ def canonical(kind: Column, value: Column) -> Column:
         F.when(kind == "name", F.concat_ws(":", gender, bare))
         .when(kind == "email", F.lower(value))
         .when(kind == "ip", value)
+        .when((kind == "phone") & value.startswith("+"), F.concat(F.lit("+"), digits))
         .otherwise(digits)
     )
 
 
+def is_card(value: Column) -> Column:
+    """Whether a found string is a card number."""
+    return value.rlike(rf"^(?:{PATTERNS['card']})$") & luhn_ok(F.regexp_replace(value, r"\D", ""))
+
+
+def _any_of(strings: Column) -> Column:
+    """An alternation of strings without special characters, the longer ones first."""
+    by_length = F.array_sort(F.transform(F.array_distinct(strings), lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v"))))
+    return F.concat(F.lit("(?:"), F.array_join(F.transform(by_length, lambda x: x["v"]), "|"), F.lit(")"))
+
+
+def second_pattern(text: Column, found: Column) -> Column:
+    """The pattern of a text whose first reading took a card candidate that fails the check, else NULL.
+
+    Such a candidate may cover other entities. The pattern has the valid cards of the text in the place of candidates.
+    """
+    failed = F.exists(found, lambda v: v.rlike(rf"^(?:{PATTERNS['card']})$") & ~is_card(v))
+    inner = F.concat(*[F.regexp_extract_all(text, F.lit(f"{_CARD_LEFT}(?=({g}){_CARD_RIGHT})"), F.lit(1)) for g in CARD_GROUPS])
+    inner = F.filter(inner, lambda v: luhn_ok(F.regexp_replace(v, r"\D", "")))
+    cards = F.concat(F.filter(found, is_card), inner)
+    card = F.when(F.size(cards) > 0, F.concat(F.lit(_CARD_LEFT), _any_of(cards), F.lit(f"{_CARD_RIGHT}|"))).otherwise("")
+    at = _ORDER.index("card")
+    before, after = ("|".join(PATTERNS[k] for k in some) for some in (_ORDER[:at], _ORDER[at + 1 :]))
+    return F.when(failed, F.concat(F.lit(f"{before}|"), card, F.lit(after)))
+
+
 def _letters(hexes: Column, alphabet: str) -> Column:
     return F.translate(hexes, _HEX, alphabet)
 
@@ -111,8 +146,8 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     s = _stream(key, kind, entity, attempt)
     n = F.length(entity)
     digits = F.concat(F.translate(s, "abcdef", "036914"), F.translate(_stream(key, kind, entity, attempt, "more"), "abcdef", "258147"))
-    # Telephone numbers keep what comes before their last ten digits (the country code).
-    keep = F.greatest(n - 10, F.lit(0))
+    # Telephone numbers keep the country code, or without a plus sign what comes before their last ten digits.
+    keep = F.when(entity.startswith("+"), F.length(F.regexp_extract(entity, _COUNTRY, 0))).otherwise(F.greatest(n - 10, F.lit(0)))
     first = (2 + _number(s, 1, 8)).cast("string")
     phone = F.concat(F.substring(entity, F.lit(1), keep), first, F.substr(digits, F.lit(9), n - keep - 1))
     # Cards: first digit, keyed digits, check digit.
@@ -153,8 +188,9 @@ def written(kind: Column, value: Column, made: Column) -> Column:
     """A canonical surrogate in the notation of a found string."""
     count = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"\D", ""))
     char = lambda i: F.substring(value, i, 1)
+    digits = F.regexp_replace(made, r"\D", "")
     in_place = F.array_join(
-        F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(char(i).rlike(r"\d"), F.substring(made, count(i), 1)).otherwise(char(i))), ""
+        F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(char(i).rlike(r"\d"), F.substring(digits, count(i), 1)).otherwise(char(i))), ""
     )
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
     return F.when(kind == "name", F.concat(title, F.substring_index(made, ":", -1))).when(kind.isin("email", "ip"), made).otherwise(in_place)
@@ -185,18 +221,23 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def replace_pii(docs: DataFrame, id_col="doc_id", text_col="text", key: str = KEY) -> DataFrame:
     """All rows and columns, with surrogates in the text column, and ``__n_entities``."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(f"({ENTITY})"), F.lit(1))
-    marked = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    rows = marked.filter(F.size("__found") > 0).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct("__found")).alias("value"))
+    scratch = Scratch(docs.sparkSession, "pii")
+    found = lambda pattern: F.regexp_extract_all(F.col(text_col), F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
+    # The texts are scanned once; what follows reads the stored rows.
+    marked = scratch.store(docs.withColumn("__found", F.coalesce(found(F.lit(ENTITY)), F.array().cast("array<string>"))))
+    some = marked.filter(F.size("__found") > 0).withColumn("__again", second_pattern(F.col(text_col), F.col("__found")))
+    some = some.withColumn("__found", F.when(F.col("__again").isNull(), F.col("__found")).otherwise(found(F.col("__again"))))
+    some = scratch.store(some)
+    rows = some.filter(F.size("__found") > 0).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct("__found")).alias("value"))
     rows = rows.withColumn("kind", kind_of(F.col("value"))).filter(F.col("kind").isNotNull())
     rows = rows.withColumn("entity", canonical(F.col("kind"), F.col("value")))
     table = surrogate_table(rows, key)
     given = rows.join(table, ["kind", "entity"]).select("__id", "value", written(F.col("kind"), F.col("value"), F.col("made")).alias("as"))
     per_doc = given.groupBy(F.col("__id").alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("value", "as"))).alias("__map"))
-    some = marked.filter(F.size("__found") > 0).join(per_doc, F.col(id_col).eqNullSafe(F.col("__of")), "left").drop("__of")
+    some = some.join(per_doc, F.col(id_col).eqNullSafe(F.col("__of")), "left").drop("__of")
     # Between the found strings lie the gaps that split() gives; both are in order.
     swapped = F.transform("__found", lambda v: F.coalesce(F.element_at(F.col("__map"), v), v))
-    gaps = F.split(F.col(text_col), ENTITY, -1)
+    gaps = F.split(F.col(text_col), F.coalesce("__again", F.lit(ENTITY)), -1)
     rebuilt = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(swapped, i), F.lit(""))))), "")
     count = F.size(F.filter("__found", lambda v: F.coalesce(F.element_at(F.col("__map"), v).isNotNull(), F.lit(False)))).cast("long")
     some = some.withColumn("__n_entities", count).withColumn("__new", F.when(count > 0, rebuilt).otherwise(F.col(text_col)))

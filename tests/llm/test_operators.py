@@ -350,3 +350,26 @@ def test_pipeline_equals_brute_force(spark):
     sizes = {i: size for i, _, size in taken}
     assert [x for x in got if sizes[x[0]]] == wanted
     assert words(PROSE)
+
+
+def test_failed_cards_hide_no_entity(spark):
+    phones = ["212-555-0199", "415-555-0123", "212 555 0199", "+44 20 7946 0958", "+49 30 901820", "+33 1 42 68 53 00"]
+    card = "4539 1488 0343 6467"
+    cases = [
+        ("on 2024-05-01 212-555-0199 rang", ["212-555-0199"]),
+        ("94105 415-555-0123", ["415-555-0123"]),
+        ("12345 123-45-6789 end", ["123-45-6789"]),
+        ("2024-05-01 94105 212 555 0199", ["212 555 0199"]),
+        (f"415-555-0123 {card} and {card}", ["415-555-0123", card]),
+        ("123 4539148803436467.", ["4539148803436467"]),
+        *[(f"call {p}, please", [p]) for p in phones[3:]],
+        ("1234567890123456 is no card", []),
+    ]
+    got = {r["doc_id"]: r for r in rows(pii.replace_pii(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")))}
+    for i, (text, hidden) in enumerate(cases):
+        made = got[i]["text"]
+        assert not any(h in made for h in hidden)
+        assert re.sub(r"\d", "0", made) == re.sub(r"\d", "0", text)
+        assert got[i]["__n_entities"] == sum(text.count(h) for h in hidden)
+    assert got[0]["text"].startswith("on 2024-05-01 ") and got[1]["text"].startswith("94105 ") and got[9]["text"] == cases[9][0]
+    assert all(got[i]["text"].startswith(f"call {p.split()[0]} ") for i, p in enumerate(phones[3:], 6))
