@@ -1,8 +1,10 @@
 """Secret scans: patterns, and character Markov models compared by log-likelihood ratio.
 
 Base kinds (leftmost, non-overlapping per kind, failing matches dropped): ``assign``, ``access`` and ``hex``. The kind
-``markov`` adds runs of at least ``MIN_RUN`` token characters that overlap no base span and whose mean log-likelihood
-ratio between a model of random strings and a model of ordinary identifiers reaches ``MIN_RATIO`` a character.
+``markov`` adds stretches of at least ``MIN_RUN`` token characters outside base spans whose mean log-likelihood ratio
+between a model of random strings and a model of ordinary identifiers reaches ``MIN_RATIO`` a character. A run of token
+characters may glue paths, keys and values: base spans are cut out, and of a rest that as a whole is below the bound the
+maximal stretches above it count, widened to the next separators where they stay above it.
 
 Both models are first-order Markov chains over 69 character classes, trained by counting pairs in labelled samples
 (``train``; the counts are a Spark aggregate of at most 2 * 69 * 69 rows). ``labelled_samples`` makes samples from a
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,7 @@ MIN_RUN = 20
 MIN_RATIO = 0.8
 TRAIN_DOCS = 4_000
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
+_SEPARATORS = "+/_=-"
 _CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 _N = len(_CLASSES) + 1  # the last one: start of a string, and any other character
 _CODE = np.full(128, _N - 1, np.int64)
@@ -143,14 +147,70 @@ def _identifiers(words: tuple[str, ...]) -> Iterator[str]:
     yield "".join(words).upper()
 
 
+def _stretches(scores: list[float]) -> list[tuple[int, int]]:
+    """The disjoint stretches of maximal sum (Ruzzo and Tompa), in linear time."""
+    done, open_, total = [], [], 0.0  # open_: (start, end, sum before, sum after)
+    for i, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start, low = i, before
+        while True:
+            while open_ and open_[-1][2] >= low:
+                done.append(open_.pop()[:2])
+            if not open_ or open_[-1][3] >= total:
+                break
+            start, _, low, _ = open_.pop()
+        open_.append((start, i + 1, low, total))
+    found: list[tuple[int, int]] = []
+    for a, b in sorted(done + [s[:2] for s in open_], key=lambda s: (s[0], -s[1])):
+        if not found or a >= found[-1][1]:  # else it is part of the one before
+            found.append((a, b))
+    return found
+
+
+def random_stretches(model: np.ndarray, token: str, min_ratio: float = MIN_RATIO) -> list[tuple[int, int]]:
+    """The stretches of a string that are likelier random, at least ``MIN_RUN`` long, in order."""
+    if len(token) < MIN_RUN:
+        return []
+    above = model[_pairs(token)] - min_ratio
+    if above.mean() >= 0:
+        return [(0, len(token))]
+    sums = np.concatenate(([0.0], np.cumsum(above)))
+    edges = [-1, *(i for i, c in enumerate(token) if c in _SEPARATORS), len(token)]
+    found: list[tuple[int, int]] = []
+    for a, b in _stretches(above.tolist()):
+        if found and b <= found[-1][1]:
+            continue
+        # The parts between separators that its ends lie in.
+        left = edges[bisect_right(edges, a) - 1] + 1
+        right = edges[bisect_left(edges, b - 1)]
+        wide = (max(min(left, a), found[-1][1] if found else 0), max(right, b))
+        for x, y in (wide, (max(a, wide[0]), b)):
+            if y - x >= MIN_RUN and sums[y] >= sums[x]:
+                found.append((x, y))
+                break
+    return found
+
+
+def _outside(a: int, b: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans in order leave of a stretch."""
+    for _, x, y in base:
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def scan_text(text: str, model: np.ndarray, min_ratio: float = MIN_RATIO) -> tuple[list, list]:
     """(base spans, all spans) of a text, in order."""
     base = in_order(base_spans(text))
     spans = list(base)
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        if not any(x < b and a < y for _, x, y in base) and ratio(model, m[0]) >= min_ratio:
-            spans.append(("markov", a, b))
+        for a, b in _outside(*m.span(), base):
+            spans += [("markov", a + x, a + y) for x, y in random_stretches(model, text[a:b], min_ratio)]
     return base, in_order(spans)
 
 
