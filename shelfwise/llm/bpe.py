@@ -137,8 +137,8 @@ def _halves(symbols: str, leaf: int) -> Iterator[str]:
 
 
 def pieces(vocabulary: Vocabulary, text: str, long: int = LONG, leaf: int = LEAF) -> Iterator[tuple[int, bool, str]]:
-    """(unit, last leaf of the unit?, text) in order; unit -1: a segment of text, -2: a special token."""
-    unit, held, size = 0, [], 0
+    """(unit, last leaf of the unit?, text) in order; unit -1: a segment of text, -2: a special token. One piece at least."""
+    unit, held, size, none = 0, [], 0, True
     for m in _WORD.finditer(text):
         word = m.group()
         if len(word) <= long:
@@ -148,9 +148,10 @@ def pieces(vocabulary: Vocabulary, text: str, long: int = LONG, leaf: int = LEAF
                 continue
         if held:
             yield -1, True, " ".join(held)
-            held, size = [], 0
+            held, size, none = [], 0, False
         if len(word) > long:
             for special, symbols in vocabulary.units(word):
+                none = False
                 if special:
                     yield -2, True, symbols
                     continue
@@ -158,7 +159,7 @@ def pieces(vocabulary: Vocabulary, text: str, long: int = LONG, leaf: int = LEAF
                 for i, part in enumerate(leaves):
                     yield unit, i == len(leaves) - 1, part
                 unit += 1
-    if held or not text.strip(" \t\n\x0b\x0c\r"):
+    if held or none:
         yield -1, True, " ".join(held)
 
 

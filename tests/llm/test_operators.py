@@ -375,6 +375,16 @@ def test_failed_cards_hide_no_entity(spark):
     assert all(got[i]["text"].startswith(f"call {p.split()[0]} ") for i, p in enumerate(phones[3:], 6))
 
 
+def test_bpe_of_long_blank_texts(spark):
+    """Long runs of white space outside ASCII have no unit and still give a row."""
+    path = vocabulary_path()
+    whole = bpe.Vocabulary.load(path).whole
+    texts = [" " * 50, "　" * 50, " " + " " * 50 + "\n", " " * 50 + " a", " " * 50]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, long=40, leaf=16).collect()}
+    assert got == {i: whole.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert got[0] == [] and got[3]
+
+
 def test_secrets_in_long_runs(spark):
     """A secret is found whatever is glued to it; ordinary paths are not."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
