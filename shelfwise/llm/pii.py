@@ -4,6 +4,8 @@ Kinds: ``email``, ``card`` (13-19 digits that pass the Luhn check), ``phone``, `
 two capitalised words after a title).
 
 - *Coreference*: an entity's canonical form (lower case, or digits only) has one surrogate in all texts and notations.
+  Names are replaced word by word: a family name has one surrogate with every title and given name, a given name one by
+  its gender. The words of a name that a title shows are replaced without a title too, in the same text.
 - *Type consistency*: digits are replaced in place, so separators, brackets and country codes stay; a card keeps its
   first digit and length and gets a valid check digit; private and public addresses stay so; an e-mail keeps the shape
   of its local part, its digits and its script; a name keeps its title, gender (by the title), word count and script.
@@ -16,7 +18,7 @@ two capitalised words after a title).
 
 The table has a row per distinct entity; only rows (id, entity) and texts with an entity are shuffled, and an entity
 that a third of all texts mention is one row of the table. Texts without entities, NULL and empty texts come back as
-they are. Rows with one doc_id share their surrogates anyway; a NULL doc_id is handled like any other.
+they are. A name is only looked for in the row that has its title; ids play no part.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ NAMES = {
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(TITLES.values())
 _WORD = r"\p{Lu}[\p{L}'’-]+"
+#: What may end a word of a name without being part of it, and what may not stand beside an untitled mention.
+_TAIL = r"(?:['’]s|['’-]+)"
+_MENTION_LEFT, _MENTION_RIGHT = r"(?<![\p{L}\p{N}-])", r"(?![\p{L}\p{N}]|-\p{L})"
 #: One alternation finds all kinds, leftmost first.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -92,10 +97,8 @@ def luhn_ok(digits: Column) -> Column:
 def canonical(kind: Column, value: Column) -> Column:
     """The form that notations of one entity share."""
     digits = F.regexp_replace(value, r"\D", "")
-    bare = F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", "")
-    gender = F.when(value.rlike(rf"^(?:{TITLES['f']})\.? "), "f").otherwise("m")
     return (
-        F.when(kind == "name", F.concat_ws(":", gender, bare))
+        F.when(kind == "name", F.concat(F.lit(":"), F.element_at(name_words(value), -1)))
         .when(kind == "email", F.lower(value))
         .when(kind == "ip", value)
         .when((kind == "phone") & value.startswith("+"), F.concat(F.lit("+"), digits))
@@ -103,6 +106,23 @@ def canonical(kind: Column, value: Column) -> Column:
     )
 
 
+def name_words(value: Column) -> Column:
+    """The words of a name after its title, without possessive endings."""
+    bare = F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", "")
+    return F.split(F.regexp_replace(bare, rf"{_TAIL}(?= |$)", ""), " ")
+
+
+def given_name(value: Column) -> Column:
+    """``gender:word`` of the given name of a name of two words after its title, else NULL."""
+    gender = F.when(value.rlike(rf"^(?:{TITLES['f']})\.? "), "f").otherwise("m")
+    return F.when(F.size(name_words(value)) > 1, F.concat_ws(":", gender, F.get(name_words(value), F.lit(0))))
+
+
+def is_name(value: Column) -> Column:
+    """Whether a found string is a name after a title."""
+    return value.rlike(rf"^(?:{PATTERNS['name']})$")
+
+
 def is_card(value: Column) -> Column:
     """Whether a found string is a card number."""
     return value.rlike(rf"^(?:{PATTERNS['card']})$") & luhn_ok(F.regexp_replace(value, r"\D", ""))
@@ -115,9 +135,10 @@ def _any_of(strings: Column) -> Column:
 
 
 def second_pattern(text: Column, found: Column) -> Column:
-    """The pattern of a text whose first reading took a card candidate that fails the check, else NULL.
+    """The pattern of a text whose first reading took a card candidate that fails the check or found a name, else NULL.
 
-    Such a candidate may cover other entities. The pattern has the valid cards of the text in the place of candidates.
+    Such a candidate may cover other entities: the pattern has the valid cards of the text in the place of candidates.
+    Names get the mentions without a title: both words, the family name or the given name.
     """
     failed = F.exists(found, lambda v: v.rlike(rf"^(?:{PATTERNS['card']})$") & ~is_card(v))
     inner = F.concat(*[F.regexp_extract_all(text, F.lit(f"{_CARD_LEFT}(?=({g}){_CARD_RIGHT})"), F.lit(1)) for g in CARD_GROUPS])
@@ -126,7 +147,26 @@ def second_pattern(text: Column, found: Column) -> Column:
     card = F.when(F.size(cards) > 0, F.concat(F.lit(_CARD_LEFT), _any_of(cards), F.lit(f"{_CARD_RIGHT}|"))).otherwise("")
     at = _ORDER.index("card")
     before, after = ("|".join(PATTERNS[k] for k in some) for some in (_ORDER[:at], _ORDER[at + 1 :]))
-    return F.when(failed, F.concat(F.lit(f"{before}|"), card, F.lit(after)))
+    entities = F.when(failed, F.concat(F.lit(f"{before}|"), card, F.lit(after))).otherwise(F.lit(ENTITY))
+    names = F.transform(F.filter(found, is_name), name_words)
+    mentions = F.concat(F.transform(names, lambda w: F.array_join(w, " ")), F.flatten(names))
+    mention = F.when(F.size(names) > 0, F.concat(F.lit(f"|{_MENTION_LEFT}"), _any_of(mentions), F.lit(_MENTION_RIGHT))).otherwise("")
+    return F.when(failed | (F.size(names) > 0), F.concat(entities, mention))
+
+
+def mentions_of(names: DataFrame) -> DataFrame:
+    """(``__row``, ``value``, ``kind``, ``entity``, ``given``) of the untitled mentions of names (``__row``, ``value``)."""
+    words, given = name_words(F.col("value")), given_name(F.col("value"))
+    family, none = canonical(F.lit("name"), F.col("value")), F.lit(None).cast("string")
+    as_struct = lambda v, rank, kind, entity, given: F.struct(v.alias("value"), F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), entity.alias("entity"), given.alias("given")).alias("is"))
+    each = F.array(
+        as_struct(F.array_join(words, " "), 0, "name", family, given),
+        as_struct(F.element_at(words, -1), 1, "name", family, none),
+        as_struct(F.get(words, F.lit(0)), 2, "given", F.coalesce(given, family), none),
+    )
+    # A word that is a family name is one, whatever else it is.
+    one = names.select("__row", F.inline(F.filter(each, lambda x: (x["is"]["rank"] < 2) | given.isNotNull())))
+    return one.groupBy("__row", "value").agg(F.min("is").alias("is")).select("__row", "value", "is.kind", "is.entity", "is.given")
 
 
 def _letters(hexes: Column, alphabet: str) -> Column:
@@ -172,20 +212,22 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     pick = lambda alphabet: F.when(cyrillic, _letters(s, alphabet["cyrillic"])).otherwise(_letters(s, alphabet["latin"]))
     host = F.concat(_letters(F.substr(s, F.lit(33), F.least(F.lit(6) + F.floor(attempt / 4).cast("int"), F.lit(24))), _CONSONANTS["latin"]), F.lit(".example"))
     email = F.concat(fill(pick(_CONSONANTS)), F.lit("@"), host)
-    # Names: gender:words, given name by gender and script, family name of syllables.
-    gender, words = F.substring_index(entity, ":", 1), F.split(F.substring_index(entity, ":", -1), " ")
+    # Names: gender:word; given name by gender and script, from the second attempt on with syllables; family name of syllables.
+    gender = F.substring_index(entity, ":", 1)
     list_of = lambda g: F.when(cyrillic, F.lit(" ".join(NAMES["cyrillic", g]))).otherwise(F.lit(" ".join(NAMES["latin", g])))
     given = F.get(F.split(F.when(gender == "f", list_of("f")).otherwise(list_of("m")), " "), _number(s, 1, 16).cast("int"))
+    more = F.sequence(F.lit(0), F.floor((attempt - 1) / 2).cast("int"))
     pairs = F.sequence(F.lit(0), F.lit(2) + F.floor(attempt / 4).cast("int"))
     syllable = lambda i: F.concat(F.substring(pick(_CONSONANTS), 9 + 2 * i, 1), F.substring(pick(_VOWELS), 10 + 2 * i, 1))
     family = F.initcap(F.array_join(F.transform(pairs, syllable), ""))
-    name = F.concat(gender, F.lit(":"), F.when(F.size(words) > 1, F.concat_ws(" ", given, family)).otherwise(family))
+    name = F.concat(gender, F.lit(":"), family)
+    given = F.concat(gender, F.lit(":"), given, F.when(attempt > 0, F.array_join(F.transform(more, syllable), "")).otherwise(""))
     ssn = F.concat(F.lit("9"), F.substring(digits, 1, 8))
-    return F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "name", name).otherwise(ssn)
+    return F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip).when(kind == "email", email).when(kind == "name", name).when(kind == "given", given).otherwise(ssn)
 
 
-def written(kind: Column, value: Column, made: Column) -> Column:
-    """A canonical surrogate in the notation of a found string."""
+def written(kind: Column, value: Column, made: Column, given: Column) -> Column:
+    """A canonical surrogate, with that of a given name (NULL: none), in the notation of a found string."""
     count = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"\D", ""))
     char = lambda i: F.substring(value, i, 1)
     digits = F.regexp_replace(made, r"\D", "")
@@ -193,7 +235,9 @@ def written(kind: Column, value: Column, made: Column) -> Column:
         F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(char(i).rlike(r"\d"), F.substring(digits, count(i), 1)).otherwise(char(i))), ""
     )
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.? ", 0)
-    return F.when(kind == "name", F.concat(title, F.substring_index(made, ":", -1))).when(kind.isin("email", "ip"), made).otherwise(in_place)
+    first = F.concat(F.substring_index(given, ":", -1), F.regexp_extract(value, rf"({_TAIL}) {_WORD}$", 1), F.lit(" "))
+    name = F.concat(title, F.coalesce(first, F.lit("")), F.substring_index(made, ":", -1), F.regexp_extract(value, rf"{_TAIL}$", 0))
+    return F.when(kind.isin("name", "given"), name).when(kind.isin("email", "ip"), made).otherwise(in_place)
 
 
 def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -219,22 +263,29 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("no distinct surrogates: a kind has more entities than its format allows")
 
 
-def replace_pii(docs: DataFrame, id_col="doc_id", text_col="text", key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, text_col="text", key: str = KEY) -> DataFrame:
     """All rows and columns, with surrogates in the text column, and ``__n_entities``."""
     scratch = Scratch(docs.sparkSession, "pii")
     found = lambda pattern: F.regexp_extract_all(F.col(text_col), F.concat(F.lit("("), pattern, F.lit(")")), F.lit(1))
     # The texts are scanned once; what follows reads the stored rows.
-    marked = scratch.store(docs.withColumn("__found", F.coalesce(found(F.lit(ENTITY)), F.array().cast("array<string>"))))
+    marked = docs.withColumn("__found", F.coalesce(found(F.lit(ENTITY)), F.array().cast("array<string>")))
+    marked = scratch.store(marked.withColumn("__row", F.monotonically_increasing_id()))
     some = marked.filter(F.size("__found") > 0).withColumn("__again", second_pattern(F.col(text_col), F.col("__found")))
     some = some.withColumn("__found", F.when(F.col("__again").isNull(), F.col("__found")).otherwise(found(F.col("__again"))))
     some = scratch.store(some)
-    rows = some.filter(F.size("__found") > 0).select(F.col(id_col).alias("__id"), F.explode(F.array_distinct("__found")).alias("value"))
-    rows = rows.withColumn("kind", kind_of(F.col("value"))).filter(F.col("kind").isNotNull())
+    rows = some.select("__row", F.explode(F.array_distinct("__found")).alias("value")).withColumn("kind", kind_of(F.col("value")))
     rows = rows.withColumn("entity", canonical(F.col("kind"), F.col("value")))
-    table = surrogate_table(rows, key)
-    given = rows.join(table, ["kind", "entity"]).select("__id", "value", written(F.col("kind"), F.col("value"), F.col("made")).alias("as"))
-    per_doc = given.groupBy(F.col("__id").alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("value", "as"))).alias("__map"))
-    some = some.join(per_doc, F.col(id_col).eqNullSafe(F.col("__of")), "left").drop("__of")
+    rows = scratch.store(rows.withColumn("given", F.when(F.col("kind") == "name", given_name(F.col("value")))))
+    mentions = rows.filter("kind IS NULL").select("__row", "value").join(mentions_of(rows.filter("kind = 'name'")), ["__row", "value"])
+    rows = scratch.store(rows.filter("kind IS NOT NULL").unionByName(mentions))
+    full = rows.filter("given IS NOT NULL")
+    table = surrogate_table(rows.select("kind", "entity").unionByName(full.select(F.lit("given").alias("kind"), F.col("given").alias("entity"))), key)
+    givens = table.filter("kind = 'given'").select(F.col("entity").alias("given"), F.col("made").alias("made_given"))
+    rows = rows.filter("given IS NULL").withColumn("made_given", F.lit(None).cast("string")).unionByName(full.join(givens, "given"))
+    as_written = written(F.col("kind"), F.col("value"), F.col("made"), F.col("made_given"))
+    given = rows.join(table, ["kind", "entity"]).select("__row", "value", as_written.alias("as"))
+    per_doc = given.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("value", "as"))).alias("__map"))
+    some = some.join(per_doc, F.col("__row") == F.col("__of"), "left").drop("__of")
     # Between the found strings lie the gaps that split() gives; both are in order.
     swapped = F.transform("__found", lambda v: F.coalesce(F.element_at(F.col("__map"), v), v))
     gaps = F.split(F.col(text_col), F.coalesce("__again", F.lit(ENTITY)), -1)

@@ -404,3 +404,21 @@ def test_secrets_in_long_runs(spark):
         made = secret_scan._stretches(scores)
         assert best <= 0 and not made or max(sum(scores[a:b]) for a, b in made) == best
         assert all(x[1] <= y[0] for x, y in zip(made, made[1:]))
+
+
+def test_untitled_mentions_share_the_surrogate(spark):
+    docs = [
+        (1, "Mrs. Alice Miller came. Alice Miller spoke, Miller's words; Alice left. Mr Miller and Millers stayed"),
+        (1, "Mr John Stone and Mr Stone's dog, Mr Paul Stone too: John, Paul (Stone). Rolling-Stone Stoneage"),
+        (2, "Alice Miller without a title"),
+        (None, "Frau Miller, 2024-05-01 212-555-0199, Miller"),
+    ]
+    got = {r["text"].split()[0]: r for r in rows(pii.replace_pii(spark.createDataFrame(docs, "doc_id long, text string")))}
+    one = re.fullmatch(r"Mrs\. (\w+) (\w+) came\. (\w+) (\w+) spoke, (\w+)'s words; (\w+) left\. Mr (\w+) and Millers stayed", got["Mrs."]["text"])
+    alice, miller = one[1], one[2]
+    assert one.groups() == (alice, miller, alice, miller, miller, alice, miller) and not {"Alice", "Miller"} & {alice, miller}
+    two = re.fullmatch(r"Mr (\w+) (\w+) and Mr (\w+)'s dog, Mr (\w+) (\w+) too: (\w+), (\w+) \((\w+)\)\. Rolling-Stone Stoneage", got["Mr"]["text"])
+    john, stone, paul = two[1], two[2], two[4]
+    assert two.groups() == (john, stone, stone, paul, stone, john, paul, stone) and len({john, stone, paul, miller}) == 4
+    assert got["Alice"]["text"] == docs[2][1]
+    assert re.fullmatch(rf"Frau {miller}, 2024-05-01 (?!212-555-0199)[\d-]+, {miller}", got["Frau"]["text"]) and got["Frau"]["__n_entities"] == 3
