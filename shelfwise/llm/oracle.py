@@ -129,10 +129,107 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM placed GROUP BY conv_id
 """
 
+OP11 = f"""
+WITH RECURSIVE damaged AS (
+  SELECT *, list_reduce([4294967295::BIGINT] || [ord(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')],
+    lambda crc, x: list_reduce([xor(crc, x)] || [0::BIGINT FOR i IN range(8)], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations)
+), chosen AS (
+  SELECT *, xor(crc, 4294967295) % 20 AS k FROM damaged
+), kept AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [1, 2] ELSE [1] END) AS again
+  FROM chosen WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER o AS place, lag(role[1]) OVER o || role[1] AS pair, trim(text, {_SPACE}) AS bare
+  FROM kept WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))
+), rows AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN place > min(place) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN bare[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault
+  FROM placed
+), counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows GROUP BY conv_id
+), moves(state, initial, reached) AS (
+  VALUES ('', 's', 's'), ('', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')
+), missing(state, reached, role) AS (
+  VALUES ('', 'u', 'user'), ('s', 'u', 'user'), ('u', 'a', 'assistant'), ('a', 'u', 'user')
+), inserted AS (
+  -- What any number of insertions makes of a state, up to three: more lead back to a state that fewer reach.
+  SELECT state, state AS reached, 0 AS cost, '' AS edits, '' AS made FROM missing
+  UNION ALL SELECT state, reached, 3, 'I', chr(10) || role || ':' FROM missing
+  UNION ALL SELECT a.state, b.reached, 6, 'II', chr(10) || a.role || ':' || chr(10) || b.role || ':' FROM missing a JOIN missing b ON b.state = a.reached
+), edits AS (
+  SELECT conv_id, place, state, state AS reached, 4 AS cost, 'D' AS edit, '' AS made FROM rows, missing
+  UNION ALL SELECT conv_id, place, state, reached, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'K', chr(10) || role || ':' || text
+    FROM rows JOIN moves ON initial = role[1] WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, place, state, reached, CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'R', chr(10) || m.role || ':' || text
+    FROM rows, missing m WHERE fault IN ('', 'truncated')
+), options AS (
+  SELECT e.conv_id, e.place, i.state, e.reached, i.cost + e.cost AS cost, i.edits || e.edit AS edits, i.made || e.made AS made
+  FROM inserted i JOIN edits e ON e.state = i.reached
+), paths(conv_id, place, state, best) AS (
+  SELECT conv_id, 0::BIGINT, '', struct_pack(cost := 0::BIGINT, audit := '', made := '') FROM counted
+  UNION ALL
+  SELECT p.conv_id, o.place, o.reached, min(struct_pack(cost := p.best.cost + o.cost, audit := p.best.audit || o.edits, made := p.best.made || o.made))
+  FROM paths p JOIN options o ON o.conv_id IS NOT DISTINCT FROM p.conv_id AND o.place = p.place + 1 AND o.state = p.state
+  GROUP BY p.conv_id, o.place, o.reached
+), ended AS (
+  SELECT p.conv_id, min(struct_pack(cost := best.cost + i.cost, audit := best.audit || i.edits, made := best.made || i.made)) AS best
+  FROM paths p JOIN counted c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.place JOIN inserted i ON i.state = p.state
+  WHERE i.reached IN ('', 'a') GROUP BY p.conv_id
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit,
+       sha256(coalesce(substr(best.made, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+OP12 = f"""
+WITH words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents
+), failing AS (
+  SELECT doc_id, part, (len(w) < 50)::INT AS a, (100 * len(list_distinct(w)) < 65 * len(w))::INT AS b,
+         (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS e
+  FROM words
+), known AS (
+  SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), masks AS (
+  SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n,
+         count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM failing f LEFT JOIN known k ON k.doc_id = f.doc_id GROUP BY ALL
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+         list_sum([0] || [1 << (ascii(filter_order[i]) - 65) FOR i IN range(1, step)])::INT AS earlier
+  FROM orders, range(1, 6) s(step)
+), counted AS (
+  SELECT part, filter_order, step, own, sum(n) FILTER (mask & (own | earlier) = 0) AS kept, sum(n) FILTER (mask & own > 0 AND mask & earlier = 0) AS removed,
+         sum(n) FILTER (mask & own > 0 AND mask & earlier > 0) AS redundant, sum(n) FILTER (mask = own) AS unique_fails,
+         sum(good) FILTER (mask & own > 0 AND mask & earlier = 0) AS good_lost, sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0) AS toxic_lost
+  FROM masks, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLE_SQL = {
     "op2_mixing": OP2,
     "op4_line_dedup": OP4,
     "op5_ngram_join": OP5,
     "op6_quality_rules": OP6,
     "op10_chat": OP10,
+    "op11_structure_repair": OP11,
+    "op12_filter_audit": OP12,
 }

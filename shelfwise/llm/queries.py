@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, chat, fingerprints, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan
+from shelfwise.llm import bpe, chat, filter_audit, fingerprints, line_dedup, mixing, ngram_join, pii, quality_classifier, quality_rules, secret_scan, structure_repair, toxicity
 from shelfwise.llm.common import read
 from shelfwise.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -74,6 +74,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(turns.unionByName(quoting))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a hash of conversation and turn, and repaired at the least cost."""
+    turns = read(spark, sf_dir, "conversations")
+    return structure_repair.repair_report(structure_repair.damage(turns), turns)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in every order of the filters."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -81,4 +97,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_pii_surrogates, op4_line_dedup, op5_ngram_join, op6_quality_rules, op7_quality_classifier, op8_secret_scan, op9_bpe, op10_chat, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_mixing, op3_pii_surrogates, op4_line_dedup, op5_ngram_join, op6_quality_rules, op7_quality_classifier, op8_secret_scan, op9_bpe, op10_chat, op11_structure_repair, op12_filter_audit, op13_toxicity, pipeline)}
