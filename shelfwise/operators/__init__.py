@@ -7,17 +7,19 @@ from shelfwise.operators.aggregates import (
     metrics_long,
     minmax_normalise,
     nps,
-    percentile_of,
     top_k_concentration,
     top_k_sum,
     weighted_avg,
     with_share,
 )
-from shelfwise.operators.joins import broadcast_checked, join_group_stats, one_row
+from shelfwise.operators.joins import join_group_stats, one_row, sized
+from shelfwise.operators.quantiles import group_percentiles, order_statistics, percentiles, value_counts, with_percentiles
 from shelfwise.operators.ranking import (
-    global_rank,
+    global_ranks,
     group_ntile,
     group_row_number,
+    moving_frame,
+    ntile_by_cuts,
     ntile_of,
     positions_in_group,
     top_n_per_group,
@@ -27,9 +29,9 @@ from shelfwise.operators.sampling import hash_key, hash_sample, hash_split
 __all__ = [
     "avg_cmp",
     "box_stats",
-    "broadcast_checked",
-    "global_rank",
+    "global_ranks",
     "group_ntile",
+    "group_percentiles",
     "group_row_number",
     "hash_key",
     "hash_sample",
@@ -38,14 +40,20 @@ __all__ = [
     "join_group_stats",
     "metrics_long",
     "minmax_normalise",
+    "moving_frame",
     "nps",
+    "ntile_by_cuts",
     "ntile_of",
     "one_row",
-    "percentile_of",
+    "order_statistics",
+    "percentiles",
     "positions_in_group",
+    "sized",
     "top_k_concentration",
     "top_k_sum",
     "top_n_per_group",
+    "value_counts",
     "weighted_avg",
+    "with_percentiles",
     "with_share",
 ]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators.joins import one_row
+from shelfwise.operators.quantiles import with_percentiles
 
 
 def metrics_long(
@@ -57,17 +58,6 @@ def avg_cmp(col: Column, op: str, threshold: float) -> Column:
     }[op]
 
 
-def percentile_of(col: Column, p, exact: bool = True) -> Column:
-    """Continuous percentile (linear interpolation) or, with ``exact=False``, the
-    approximate percentile (bounded-memory sketch) for very high-cardinality groups.
-
-    The exact form keeps a value -> count map per group (combined map-side), so
-    its memory grows with the distinct values of a group, not with its rows.
-    """
-    c = col.cast("double")
-    return F.percentile(c, p) if exact else F.percentile_approx(c, p)
-
-
 def bin_index(v: Column, lo: float, hi: float, bins: int) -> Column:
     """Fixed-width bin 1..bins over [lo, hi] (``hi`` in the last bin); 0 below, bins+1 above."""
     inner = F.floor(F.lit(float(bins)) * (v - F.lit(float(lo))) / F.lit(float(hi - lo))).cast("bigint") + F.lit(1)
@@ -99,19 +89,13 @@ def histogram(df: DataFrame, col: str, lo: float, hi: float, bins: int, keys: Se
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], col: str) -> DataFrame:
-    """Five-number summary and Tukey fences per group (exact percentiles)."""
-    q = F.percentile(F.col(col).cast("double"), F.array(*[F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    agg = df.groupBy(*keys).agg(q.alias("_q"), F.count(F.col(col)).alias("count"))
+    """Five-number summary and Tukey fences per group (exact quartiles by distributed selection)."""
+    v = F.col(col).cast("double")
+    agg = df.groupBy(*keys).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"))
+    agg = with_percentiles(agg, df, keys, {"q1": (v, 0.25), "median": (v, 0.5), "q3": (v, 0.75)})
+    spread = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     return agg.select(
-        *keys,
-        "count",
-        F.col("_q")[0].alias("min"),
-        F.col("_q")[1].alias("q1"),
-        F.col("_q")[2].alias("median"),
-        F.col("_q")[3].alias("q3"),
-        F.col("_q")[4].alias("max"),
-        (F.col("_q")[1] - F.lit(1.5) * (F.col("_q")[3] - F.col("_q")[1])).alias("lower_fence"),
-        (F.col("_q")[3] + F.lit(1.5) * (F.col("_q")[3] - F.col("_q")[1])).alias("upper_fence"),
+        *keys, "count", "min", "q1", "median", "q3", "max", (F.col("q1") - spread).alias("lower_fence"), (F.col("q3") + spread).alias("upper_fence")
     )
 
 

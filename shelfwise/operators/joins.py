@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and group statistics joined back to rows."""
+"""Join helpers: sides of known size and group statistics joined back to rows."""
 
 from __future__ import annotations
 
@@ -9,22 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-# Default bound for broadcasting a checked side (rows). A broadcast side is
-# always narrow here (keys + a few statistics), so this stays well below the
-# executor memory a broadcast needs.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df`` with its size in bytes known to the planner.
 
-def broadcast_checked(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven to be at most ``max_rows``.
-
-    The side is persisted (memory and disk, recomputable from lineage) and
-    counted; only the count reaches the driver. Above the bound the plain
-    frame is returned and Spark plans a shuffle join (AQE splits skewed keys).
+    The frame is persisted (memory and disk, recomputable from lineage) and filled by one pass. Spark then plans with the
+    bytes it holds: a join broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles beyond, where AQE splits
+    skewed keys. Only a count reaches the driver, and there is no bound in rows.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if kept.count() <= max_rows:
-        return F.broadcast(kept)
+    kept.count()
     return kept
 
 
@@ -44,16 +38,15 @@ def join_group_stats(
     keys: Sequence[str],
     how: str = "inner",
     null_keys_match: bool = False,
-    max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
 ) -> DataFrame:
-    """Attach per-group statistics to every row (``groupBy`` + size-checked broadcast join).
+    """Attach per-group statistics to every row (``groupBy`` + a join that Spark plans by the bytes of the statistics).
 
     Replaces ``agg().over(Window.partitionBy(keys))``, which would put each
     group in one task. ``null_keys_match=True`` reproduces window semantics
     (the NULL key is a group); otherwise NULL keys never match, as in SQL
     equality joins and correlated subqueries.
     """
-    side = broadcast_checked(stats, max_rows=max_rows)
+    side = sized(stats)
     if not null_keys_match:
         return rows.join(side, list(keys), how)
     renamed = side.select(*[F.col(k).alias(f"_gs_{k}") for k in keys], *[c for c in side.columns if c not in keys])

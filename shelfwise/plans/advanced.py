@@ -15,12 +15,12 @@ from shelfwise import fixed
 from shelfwise.functions import first_match, pct, round_dec, round_to, threshold_labels
 from shelfwise.operators import (
     avg_cmp,
-    group_ntile,
-    group_row_number,
     join_group_stats,
     ntile_of,
-    percentile_of,
-    global_rank,
+    percentiles,
+    global_ranks,
+    moving_frame,
+    ntile_by_cuts,
     positions_in_group,
     top_n_per_group,
     weighted_avg,
@@ -34,11 +34,12 @@ def _discount_pct():
     return (F.col("original_price") - F.col("price")).cast("double") * F.lit(100.0) / d("original_price")
 
 
-def top_products(products: DataFrame, n: int = 5) -> DataFrame:
+def top_products(products: DataFrame, n: int = 5, all_ranks: bool = False) -> DataFrame:
     """A1: top-``n`` products per category by (rating, reviews) among discounted products.
 
     Adds popularity rank (by reviews), the rating quartile (NTILE(4) by rating
-    within the category) and a composite score.
+    within the category) and a composite score. ``all_ranks=True`` adds the price
+    rank and the popularity quartile, which the report leaves out.
     """
     base = (
         valid(parsed(products), "price", "rating", "count")
@@ -54,6 +55,7 @@ def top_products(products: DataFrame, n: int = 5) -> DataFrame:
         {
             "popularity_rank": [("review_count", "desc"), ("product_id", "asc")],
             "_rating_pos": [("rating", "asc"), ("product_id", "asc")],
+            **({"price_rank": [("price", "asc"), ("product_id", "asc")], "_review_pos": [("review_count", "asc"), ("product_id", "asc")]} if all_ranks else {}),
         },
         "product_id",
         size_col="_n",
@@ -77,11 +79,15 @@ def top_products(products: DataFrame, n: int = 5) -> DataFrame:
         "rating_rank",
         F.col("popularity_rank").cast("bigint").alias("popularity_rank"),
         tier.alias("rating_tier"),
+        *([F.col("price_rank").cast("bigint").alias("price_rank"), ntile_of(F.col("_review_pos"), F.col("_n"), 4).alias("popularity_quartile")] if all_ranks else []),
     ).orderBy("main_category", "rating_rank")
 
 
-def category_scoreboard(products: DataFrame) -> DataFrame:
-    """A2: per-category counts, averages and reviews with global ranks and a status label."""
+def category_scoreboard(products: DataFrame, all_ranks: bool = False) -> DataFrame:
+    """A2: per-category counts, averages and reviews with global ranks and a status label.
+
+    ``all_ranks=True`` adds the rank by number of products, which the report leaves out.
+    """
     rows = valid(parsed(products), "price", "rating", "count")
     cats = rows.groupBy("main_category").agg(
         F.count(F.lit(1)).alias("total_products"),
@@ -90,9 +96,9 @@ def category_scoreboard(products: DataFrame) -> DataFrame:
         round_dec(F.avg("price"), 2).alias("avg_price"),
         F.sum("review_count").cast("bigint").alias("total_reviews"),
     )
-    # Global ranks without a single-task window (distributed row number, first row per tie).
-    ranked = global_rank(cats, "avg_rating", tie_col="main_category", out="rating_rank")
-    ranked = global_rank(ranked, "total_reviews", tie_col="main_category", out="review_volume_rank")
+    # All ranks from one distributed numbering (no single-task window).
+    orders = {"rating_rank": "avg_rating", "review_volume_rank": "total_reviews"}
+    ranked = global_ranks(cats, "main_category", orders | ({"product_count_rank": "total_products"} if all_ranks else {}))
     rr, vr = F.col("rating_rank"), F.col("review_volume_rank")
     status = first_match(
         [(rr <= 3) & (vr <= 5), (rr <= 5) | (vr <= 5), (rr <= 10) & (vr <= 10)], fixed.CATEGORY_STATUSES
@@ -111,6 +117,7 @@ def category_scoreboard(products: DataFrame) -> DataFrame:
         rr.cast("bigint").alias("rating_rank"),
         vr.cast("bigint").alias("review_volume_rank"),
         status.alias("category_status"),
+        *(["product_count_rank"] if all_ranks else []),
     ).orderBy("rating_rank", "main_category")
 
 
@@ -118,45 +125,23 @@ def price_positions(products: DataFrame, window_rows: int = 2, exact: bool = Tru
     """A3 row level: category percentiles, centred moving average of price by rating,
     pricing recommendation, deviation and position (one row per product).
 
-    The moving average over ``2 * window_rows + 1`` rows uses a distributed row
-    number; each row is sent to its ``2 * window_rows + 1`` neighbour slots and
-    averaged by ``groupBy`` (bounded fan-out, no whole-category task).
+    The moving average over ``2 * window_rows + 1`` rows is a frame with a halo:
+    range partitions of (category, rating), each with the few rows beside it
+    from its neighbours (no whole-category task).
     Threshold tests on the average are exact (``price * n`` vs ``sum * f``).
     """
     rows = valid(parsed(products), "price", "rating").select(
         "product_id", "main_category", "sub_category", "name", "price", "rating", "review_count"
     )
-    stats = rows.groupBy("main_category").agg(
-        percentile_of(F.col("price"), F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]), exact).alias("_pq"),
-        percentile_of(F.col("rating"), F.array(F.lit(0.5), F.lit(0.75)), exact).alias("_rq"),
-    )
-    stats = stats.select(
-        "main_category",
-        F.col("_pq")[0].alias("price_p25"),
-        F.col("_pq")[1].alias("price_median"),
-        F.col("_pq")[2].alias("price_p75"),
-        F.col("_rq")[0].alias("rating_median"),
-        F.col("_rq")[1].alias("rating_p75"),
-    )
+    price, rating = F.col("price"), F.col("rating")
+    wanted = {"price_p25": (price, 0.25), "price_median": (price, 0.5), "price_p75": (price, 0.75), "rating_median": (rating, 0.5), "rating_p75": (rating, 0.75)}
+    stats = percentiles(rows, ["main_category"], wanted, exact)
     with_stats = join_group_stats(rows, stats, ["main_category"], null_keys_match=True)
 
-    numbered = group_row_number(
-        with_stats, ["main_category"], [F.col("rating").asc(), F.col("product_id").asc()], "_rn"
+    frames = {"_win_sum": F.sum("price"), "_win_n": F.count("price")}
+    joined = moving_frame(
+        with_stats, ["main_category"], [F.col("rating").asc(), F.col("product_id").asc()], window_rows, window_rows, frames
     )
-    offsets = F.explode(F.sequence(F.lit(-window_rows), F.lit(window_rows))).alias("_off")
-    spread = numbered.select("main_category", "_rn", "price", offsets).select(
-        "main_category", (F.col("_rn") + F.col("_off")).alias("_slot"), "price"
-    )
-    sums = spread.groupBy("main_category", "_slot").agg(
-        F.sum("price").alias("_win_sum"), F.count("price").alias("_win_n")
-    )
-    # Window semantics: the NULL category is one group, so match keys null-safely.
-    s = sums.select(F.col("main_category").alias("_mc"), "_slot", "_win_sum", "_win_n")
-    joined = numbered.join(
-        s, F.col("main_category").eqNullSafe(F.col("_mc")) & (F.col("_rn") == F.col("_slot")), "inner"
-    ).drop("_mc", "_slot")
-
-    price, rating = F.col("price"), F.col("rating")
     pdbl, rdbl = d("price"), d("rating")
     p25, p75 = F.col("price_p25"), F.col("price_p75")
     r50, r75 = F.col("rating_median"), F.col("rating_p75")
@@ -289,15 +274,12 @@ def _segment_label():
 def performance_cohorts(products: DataFrame) -> DataFrame:
     """A5: global quartiles (NTILE(4)) of rating, reviews and price -> 64 cells -> 7 segments.
 
-    Each global NTILE is computed by range partitioning (no single-task sort).
+    The rows at the nine bucket starts are selected by counting; no row is sorted.
     """
     rows = valid(parsed(products), "price", "rating", "count").select(
         "product_id", "rating", "review_count", "price"
     )
-    pid = F.col("product_id").asc()
-    rows = group_ntile(rows, [], [F.col("rating").asc(), pid], 4, "rating_cohort")
-    rows = group_ntile(rows, [], [F.col("review_count").asc(), pid], 4, "volume_cohort")
-    rows = group_ntile(rows, [], [F.col("price").asc(), pid], 4, "price_cohort")
+    rows = ntile_by_cuts(rows, "product_id", {"rating_cohort": "rating", "volume_cohort": "review_count", "price_cohort": "price"}, 4)
     cells = rows.groupBy("rating_cohort", "volume_cohort", "price_cohort").agg(
         F.count(F.lit(1)).alias("product_count"),
         round_dec(F.avg("rating"), 2).alias("avg_rating"),
@@ -320,8 +302,11 @@ def performance_cohorts(products: DataFrame) -> DataFrame:
 
 
 
-def strategic_positions(products: DataFrame) -> DataFrame:
-    """Per-category business summary, revenue/engagement ranks, position and advice."""
+def strategic_positions(products: DataFrame, all_ranks: bool = False) -> DataFrame:
+    """Per-category business summary, position and advice.
+
+    ``all_ranks=True`` adds the revenue and engagement ranks, which the report leaves out.
+    """
     rows = valid(parsed(products), "price", "rating", "count")
     rc = F.col("review_count")
     cats = rows.groupBy("main_category").agg(
@@ -346,6 +331,9 @@ def strategic_positions(products: DataFrame) -> DataFrame:
     advice = first_match(
         [F.col("strategic_position") == p for p in fixed.STRATEGIC_POSITIONS[:-1]], fixed.STRATEGY_ADVICE
     )
+    helpers = {"revenue_rank": "revenue_potential_index", "engagement_rank": "total_customer_engagement"} if all_ranks else {}
+    if helpers:
+        cats = global_ranks(cats, "main_category", helpers)
     return (
         cats.select("*", position.alias("strategic_position"))
         .select(
@@ -358,6 +346,7 @@ def strategic_positions(products: DataFrame) -> DataFrame:
             rev.cast("double").alias("revenue_potential_index"),
             "strategic_position",
             advice.alias("strategic_recommendation"),
+            *helpers,
         )
         .orderBy(F.col("revenue_potential_index").desc(), "main_category")
     )

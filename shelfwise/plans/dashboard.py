@@ -20,6 +20,7 @@ from shelfwise.fixed import KEY_METRICS
 from shelfwise.functions import bucketize, ordinal, pct, round_to
 from shelfwise.operators import (
     box_stats,
+    group_percentiles,
     hash_sample,
     histogram,
     join_group_stats,
@@ -190,9 +191,7 @@ def price_density(d: DataFrame, n: int = 3, bins: int = 20) -> DataFrame:
 
 def underpriced_products(d: DataFrame, n: int = 10) -> DataFrame:
     """D4e: rating >= 4.5 priced at or below the category median, most reviewed first."""
-    med = _has_category(d).groupBy("main_category").agg(
-        F.percentile("discount_price_clean", 0.5).alias("_median")
-    )
+    med = group_percentiles(_has_category(d), ["main_category"], {"_median": (F.col("discount_price_clean"), 0.5)})
     rows = join_group_stats(d, med, ["main_category"])
     return (
         rows.where((F.col("ratings_clean") >= 4.5) & (F.col("discount_price_clean") <= F.col("_median")))
@@ -206,8 +205,8 @@ def underpriced_products(d: DataFrame, n: int = 10) -> DataFrame:
 
 def success_flags(d: DataFrame, rating_threshold: float = 4.0, review_quantile: float = 0.7) -> DataFrame:
     """``is_successful`` = rating >= 4 and reviews >= the exact 70th percentile."""
-    thr = one_row(d.agg(F.percentile("no_of_ratings_clean", review_quantile).alias("_review_threshold")))
-    flagged = d.crossJoin(thr)
+    thr = group_percentiles(d, [], {"_review_threshold": (F.col("no_of_ratings_clean"), review_quantile)})
+    flagged = d.join(one_row(thr), F.lit(True), "left")  # one row, none without products
     ok = (F.col("ratings_clean") >= rating_threshold) & (F.col("no_of_ratings_clean") >= F.col("_review_threshold"))
     return flagged.withColumn("is_successful", F.coalesce(ok, F.lit(False))).drop("_review_threshold")
 
@@ -299,8 +298,8 @@ def key_metrics(d: DataFrame) -> DataFrame:
 
 def strategic_insights(d: DataFrame) -> DataFrame:
     """High-quality low-price products (vs the global median price), 4+ ratings, premium (> 2000)."""
-    med = one_row(d.agg(F.percentile("discount_price_clean", 0.5).alias("_median")))
-    rows = d.crossJoin(med)
+    med = one_row(group_percentiles(d, [], {"_median": (F.col("discount_price_clean"), 0.5)}))
+    rows = d.join(med, F.lit(True), "left")  # one row, none without products
     hq = (F.col("ratings_clean") >= 4.5) & (F.col("discount_price_clean") <= F.col("_median"))
     one = rows.agg(
         F.count(F.lit(1)).alias("products"),

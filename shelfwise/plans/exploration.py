@@ -25,7 +25,7 @@ from shelfwise.functions import (
     round_to,
 )
 from shelfwise.fixed import DUPLICATE_METRICS, OVERVIEW_METRICS, QUALITY_CARD_PREFIXES, QUALITY_CARD_SECTION
-from shelfwise.operators import metrics_long, one_row, percentile_of, with_share
+from shelfwise.operators import metrics_long, one_row, with_percentiles, with_share
 from shelfwise.plans.common import parsed, valid
 from shelfwise.schema import EXPLORATION_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_SQL
 
@@ -139,17 +139,20 @@ def price_by_category(products: DataFrame, min_products: int = 10, exact: bool =
     """
     rows = parsed(products).where(is_present("discount_price") & F.col("v_price"))
     price = F.col("price")
-    return (
+    cats = (
         rows.groupBy("main_category")
         .agg(
             F.count(F.lit(1)).alias("product_count"),
             F.min(price).cast("double").alias("min_price"),
             F.max(price).cast("double").alias("max_price"),
             round_to(F.avg(price), 2).alias("avg_price"),
-            round_to(percentile_of(price, 0.5, exact), 2).alias("median_price"),
             round_to(F.stddev_samp(price.cast("double")), 2).alias("price_stddev"),
         )
         .where(F.col("product_count") >= min_products)
+    )
+    return (
+        with_percentiles(cats, rows, ["main_category"], {"_median": (price, 0.5)}, exact)
+        .select("main_category", "product_count", "min_price", "max_price", "avg_price", round_to("_median", 2).alias("median_price"), "price_stddev")
         .orderBy(F.col("avg_price").desc(), "main_category")
     )
 
@@ -158,18 +161,22 @@ def rating_by_category(products: DataFrame, min_products: int = 10, exact: bool
     """Rating statistics per category; review count need only be non-empty."""
     rows = parsed(products).where(is_present("ratings") & F.col("v_rating") & is_present("no_of_ratings"))
     r = F.col("rating")
-    return (
+    cats = (
         rows.groupBy("main_category")
         .agg(
             F.count(F.lit(1)).alias("rated_products"),
             F.min(r).cast("double").alias("min_rating"),
             F.max(r).cast("double").alias("max_rating"),
             round_to(F.avg(r), 2).alias("avg_rating"),
-            round_to(percentile_of(r, 0.5, exact), 2).alias("median_rating"),
             F.sum("review_count").cast("bigint").alias("total_reviews"),
             round_to(F.avg("review_count"), 0).alias("avg_reviews_per_product"),
         )
         .where(F.col("rated_products") >= min_products)
+    )
+    shown = ("main_category", "rated_products", "min_rating", "max_rating", "avg_rating")
+    return (
+        with_percentiles(cats, rows, ["main_category"], {"_median": (r, 0.5)}, exact)
+        .select(*shown, round_to("_median", 2).alias("median_rating"), "total_reviews", "avg_reviews_per_product")
         .orderBy(F.col("avg_rating").desc(), "main_category")
     )
 

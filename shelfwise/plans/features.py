@@ -25,7 +25,7 @@ from shelfwise.functions import (
     round_to,
     threshold_labels,
 )
-from shelfwise.operators import group_row_number, join_group_stats, one_row, top_n_per_group
+from shelfwise.operators import group_percentiles, group_row_number, join_group_stats, one_row, top_n_per_group
 from shelfwise.schema import PIPELINE_DUPLICATE_KEYS, PRICE_BUCKET_EDGES, PRICE_BUCKET_LABELS_PIPELINE, PRODUCT_ID
 from shelfwise.session import materialize
 
@@ -93,18 +93,12 @@ def features(cleaned: DataFrame, with_ranks: bool = True) -> DataFrame:
     cleaned = materialize(cleaned)
     dp, ap = F.col("discount_price_clean"), F.col("actual_price_clean")
     r, n = F.col("ratings_clean"), F.col("no_of_ratings_clean")
-    thresholds = one_row(
-        cleaned.agg(
-            F.percentile_approx(dp, 0.33).alias("_price_p33"),
-            F.percentile_approx(dp, 0.66).alias("_price_p66"),
-            F.percentile_approx(n, 0.5).alias("_reviews_median"),
-            F.percentile_approx(n, 0.8).alias("_reviews_p80"),
-        )
-    )
+    wanted = {"_price_p33": (dp, 0.33), "_price_p66": (dp, 0.66), "_reviews_median": (n.cast("double"), 0.5), "_reviews_p80": (n.cast("double"), 0.8)}
+    thresholds = one_row(group_percentiles(cleaned, [], wanted, discrete=True))
     cats = cleaned.groupBy("main_category").agg(
         mean_fixed(r).alias("category_avg_rating"), mean_fixed(dp).alias("category_avg_price")
     )
-    base = join_group_stats(cleaned.crossJoin(thresholds), cats, ["main_category"])
+    base = join_group_stats(cleaned.join(thresholds, F.lit(True), "left"), cats, ["main_category"])
     out = base.select(
         *cleaned.columns,
         F.when(ap.isNotNull() & (ap > dp), (ap - dp) / ap * F.lit(100.0)).otherwise(F.lit(0.0)).alias(
@@ -127,12 +121,16 @@ def features(cleaned: DataFrame, with_ranks: bool = True) -> DataFrame:
         ),
         quality_score(r, n).alias("quality_score"),
     ).withColumn("value_score", F.col("quality_score") / (dp / F.lit(1000.0)))
-    if not with_ranks:
-        return out
+    return add_ranks(out) if with_ranks else out
+
+
+def add_ranks(feats: DataFrame) -> DataFrame:
+    """P3g: ranks by reviews and by rating within the category; only ids and measures are sorted."""
     pid = F.col(PRODUCT_ID).asc()
-    out = group_row_number(out, ["main_category"], [n.desc(), pid], "popularity_rank")
-    out = group_row_number(out, ["main_category"], [r.desc(), pid], "rating_rank")
-    return out
+    narrow = feats.select("main_category", PRODUCT_ID, "no_of_ratings_clean", "ratings_clean")
+    narrow = group_row_number(narrow, ["main_category"], [F.col("no_of_ratings_clean").desc(), pid], "popularity_rank")
+    narrow = group_row_number(narrow, ["main_category"], [F.col("ratings_clean").desc(), pid], "rating_rank")
+    return feats.join(narrow.select(PRODUCT_ID, "popularity_rank", "rating_rank"), PRODUCT_ID)
 
 
 def report(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -16,13 +16,13 @@ from shelfwise import fixed
 from shelfwise.functions import first_match, ordinal, pct, round_dec, round_text, round_to, thousands, threshold_labels
 from shelfwise.operators import (
     avg_cmp,
-    broadcast_checked,
-    global_rank,
+    global_ranks,
     nps,
     one_row,
-    percentile_of,
+    sized,
     top_k_concentration,
     weighted_avg,
+    with_percentiles,
 )
 from shelfwise.plans.common import d, parsed, valid
 
@@ -128,8 +128,11 @@ def trending_summary(products: DataFrame) -> DataFrame:
     )
 
 
-def category_performance(products: DataFrame, min_products: int = 10) -> DataFrame:
-    """K3: revenue index, performance score, ranks and BCG label per category."""
+def category_performance(products: DataFrame, min_products: int = 10, all_ranks: bool = False) -> DataFrame:
+    """K3: revenue index, performance score, ranks and BCG label per category.
+
+    ``all_ranks=True`` adds the ranks that the report leaves out.
+    """
     rows = valid(parsed(products), "rating", "count", "price")
     rc = F.col("review_count")
     n = F.count(F.lit(1))
@@ -160,9 +163,9 @@ def category_performance(products: DataFrame, min_products: int = 10) -> DataFra
         ],
         fixed.BCG_LABELS,
     )
-    ranked = global_rank(cats, "performance_score", tie_col="main_category", out="performance_rank").select(
-        "*", bcg.alias("bcg_matrix")
-    )
+    orders = {"performance_rank": "performance_score"}
+    helpers = {"revenue_rank": "revenue_index", "engagement_rank": "total_reviews"} if all_ranks else {}
+    ranked = global_ranks(cats, "main_category", orders | helpers).select("*", bcg.alias("bcg_matrix"))
     advice = first_match([F.col("bcg_matrix") == b for b in fixed.BCG_LABELS[:-1]], fixed.BCG_ADVICE)
     return ranked.select(
         "main_category",
@@ -176,11 +179,15 @@ def category_performance(products: DataFrame, min_products: int = 10) -> DataFra
         "performance_rank",
         "bcg_matrix",
         advice.alias("strategic_recommendation"),
+        *helpers,
     ).orderBy("performance_rank", "main_category")
 
 
-def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: bool = True) -> DataFrame:
-    """K4: price distribution, budget/premium shares, market position and strategy per category."""
+def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: bool = True, spread: bool = False) -> DataFrame:
+    """K4: price distribution, budget/premium shares, market position and strategy per category.
+
+    ``spread=True`` adds the median price and its sample deviation, which the report leaves out.
+    """
     rows = valid(parsed(products), "rating", "price")
     price = F.col("price")
     cats = (
@@ -190,14 +197,16 @@ def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: boo
             F.min(price).alias("min_price"),
             F.max(price).alias("max_price"),
             round_dec(F.avg(price), 2).alias("avg_price"),
-            round_to(percentile_of(price, 0.5, exact), 2).alias("median_price"),
-            round_to(F.stddev_samp(price.cast("double")), 2).alias("price_stddev"),
             round_dec(F.avg("rating"), 2).alias("avg_rating"),
             F.count_if(price < 500).alias("budget_products"),
             F.count_if(price >= 2000).alias("premium_products"),
+            *([round_to(F.stddev_samp(price.cast("double")), 2).alias("price_stddev")] if spread else []),
         )
         .where(F.col("products") >= min_products)
     )
+    if spread:
+        cats = with_percentiles(cats, rows, ["main_category"], {"_median": (price, 0.5)}, exact)
+        cats = cats.withColumn("median_price", round_to("_median", 2))
     ap, ar = F.col("avg_price"), F.col("avg_rating")
     position = threshold_labels(ap, fixed.MARKET_POSITIONS, fixed.MARKET_POSITION_DEFAULT)
     strategy = first_match(
@@ -221,6 +230,7 @@ def pricing_intelligence(products: DataFrame, min_products: int = 15, exact: boo
             _cat(round_text(pct(F.col("premium_products"), F.col("products")), 1), "%").alias("premium_share"),
             "positioning_strategy",
             advice.alias("pricing_recommendation"),
+            *(["median_price", "price_stddev"] if spread else []),
         )
     )
 
@@ -269,8 +279,11 @@ def satisfaction_nps(products: DataFrame, min_products: int = 10) -> DataFrame:
     )
 
 
-def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
-    """K6: revenue proxy, value ratio, ranks, share of the grand total and segment per category."""
+def revenue_impact(products: DataFrame, min_products: int = 15, all_ranks: bool = False) -> DataFrame:
+    """K6: revenue proxy, value ratio, ranks, share of the grand total and segment per category.
+
+    ``all_ranks=True`` adds the ranks that the report leaves out.
+    """
     rows = valid(parsed(products), "rating", "count", "price")
     rc, price = F.col("review_count"), F.col("price")
     value = F.try_divide(d("rating"), d("price") / F.lit(1000.0))
@@ -297,7 +310,9 @@ def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
     )
     total = one_row(cats.agg(F.sum(rev.cast("double")).alias("_rev_total")))
     share = round_text(pct(rev.cast("double"), F.col("_rev_total")), 2)
-    ranked = global_rank(cats, "revenue_proxy", tie_col="main_category", out="revenue_rank").crossJoin(total).select(
+    orders = {"revenue_rank": "revenue_proxy"}
+    helpers = {"customer_rank": "customer_base_proxy", "value_rank": "value_ratio"} if all_ranks else {}
+    ranked = global_ranks(cats, "main_category", orders | helpers).crossJoin(total).select(
         "*",
         share.alias("_share"),
         segment.alias("business_segment"),
@@ -315,6 +330,7 @@ def revenue_impact(products: DataFrame, min_products: int = 15) -> DataFrame:
         val.alias("value_ratio"),
         "revenue_rank",
         advice.alias("investment_strategy"),
+        *helpers,
     )
 
 
@@ -391,7 +407,7 @@ def action_priorities(products: DataFrame) -> DataFrame:
     stats = p.groupBy("main_category").agg(
         F.sum("price").alias("_cat_sum"), F.count("price").alias("_cat_n")
     ).where(F.col("main_category").isNotNull())
-    side = broadcast_checked(stats)
+    side = sized(stats)
     rows = p.join(side, "main_category", "left")
     r, rc, price = F.col("rating"), F.col("review_count"), F.col("price")
     below_mean = price * F.col("_cat_n") < F.col("_cat_sum")

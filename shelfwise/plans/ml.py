@@ -11,6 +11,7 @@ cross join), not on the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -18,12 +19,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
+from pyspark.util import inheritable_thread_target
 
-from shelfwise.operators import hash_split, one_row
+from shelfwise.operators import group_percentiles, hash_split, one_row
 from shelfwise.schema import (
     CV_FOLDS,
     KMEANS_K,
@@ -107,8 +110,8 @@ def feature_importances(model: PipelineModel, feats: DataFrame) -> DataFrame:
 
 
 def success_label(feats: DataFrame, rating_threshold: float = 4.0, review_quantile: float = 0.7) -> DataFrame:
-    """Label ``is_successful``: rating >= 4 and reviews >= approximate 70th percentile."""
-    thr = one_row(feats.agg(F.percentile_approx("no_of_ratings_clean", review_quantile).alias("_rthr")))
+    """Label ``is_successful``: rating >= 4 and reviews >= the discrete 70th percentile."""
+    thr = one_row(group_percentiles(feats, [], {"_rthr": (F.col("no_of_ratings_clean"), review_quantile)}, discrete=True))
     ok = (F.col("ratings_clean") >= rating_threshold) & (F.col("no_of_ratings_clean") >= F.col("_rthr"))
     return feats.crossJoin(thr).withColumn("is_successful", ok.cast("int")).drop("_rthr")
 
@@ -119,6 +122,7 @@ class SuccessModel:
     auc: float
     best_reg_param: float
     best_elastic_net: float
+    metrics: list[float]
 
 
 def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int | None = None) -> SuccessModel:
@@ -133,7 +137,7 @@ def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int | No
     # any partitioning of the input.
     train = train.withColumn("_fold", F.pmod(F.xxhash64(F.col("product_id"), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
     lr = LogisticRegression(featuresCol="scaled_features", labelCol="is_successful", maxIter=LR_MAX_ITER)
-    pipeline = Pipeline(
+    preparation = Pipeline(
         stages=[
             StringIndexer(inputCol="main_category", outputCol="category_index", handleInvalid="keep"),
             StringIndexer(inputCol="price_segment", outputCol="price_segment_index", handleInvalid="keep"),
@@ -141,7 +145,6 @@ def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int | No
             OneHotEncoder(inputCol="price_segment_index", outputCol="price_segment_encoded"),
             VectorAssembler(inputCols=list(SUCCESS_FEATURES), outputCol="features"),
             StandardScaler(inputCol="features", outputCol="scaled_features"),
-            lr,
         ]
     )
     grid = (
@@ -151,24 +154,45 @@ def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int | No
         .build()
     )
     evaluator = BinaryClassificationEvaluator(labelCol="is_successful")
-    cv = CrossValidator(
-        estimator=pipeline,
-        estimatorParamMaps=grid,
-        evaluator=evaluator,
-        numFolds=folds,
-        foldCol="_fold",
-        seed=SEED,
-        parallelism=parallelism or len(grid),
-    )
-    model = cv.fit(train)
+    metrics = cross_validate(preparation, lr, grid, evaluator, train, "_fold", folds, parallelism or len(grid))
+    best = grid[max(range(len(grid)), key=lambda i: (metrics[i], -i))]
+    prepared = preparation.fit(train)
+    fitted = lr.fit(_vectors(prepared, train), best)
+    model = PipelineModel([*prepared.stages, fitted])
     auc = evaluator.evaluate(model.transform(test))
-    best = model.bestModel.stages[-1]
-    return SuccessModel(model, auc, float(best.getRegParam()), float(best.getElasticNetParam()))
+    return SuccessModel(model, auc, float(fitted.getRegParam()), float(fitted.getElasticNetParam()), metrics)
+
+
+def _vectors(prepared: PipelineModel, rows: DataFrame) -> DataFrame:
+    return prepared.transform(rows).select("scaled_features", "is_successful")
+
+
+def cross_validate(preparation: Pipeline, estimator, grid, evaluator, train: DataFrame, fold_col: str, folds: int, parallelism: int) -> list[float]:
+    """Mean metric of every parameter map over the folds; the preparation is fitted once per fold.
+
+    Indexers, encoders and the scaler have no parameters in the grid, so each fold fits them once on its training rows and keeps the
+    prepared vectors (two narrow columns); only the estimator is fitted per parameter map, ``parallelism`` fits at once.
+    """
+    totals = [0.0] * len(grid)
+    for fold in range(folds):
+        inside, outside = train.where(F.col(fold_col) != fold), train.where(F.col(fold_col) == fold)
+        prepared = preparation.fit(inside)
+        learn, check = (_vectors(prepared, rows).persist(StorageLevel.MEMORY_AND_DISK) for rows in (inside, outside))
+
+        def metric(i: int, learn: DataFrame = learn, check: DataFrame = check) -> float:
+            return evaluator.evaluate(estimator.fit(learn, grid[i]).transform(check))
+
+        with ThreadPool(processes=max(1, min(parallelism, len(grid)))) as pool:
+            for i, value in enumerate(pool.map(inheritable_thread_target(train.sparkSession)(metric), range(len(grid)))):
+                totals[i] += value / folds
+        learn.unpersist()
+        check.unpersist()
+    return totals
 
 
 def clusters(feats: DataFrame, k: int = KMEANS_K) -> DataFrame:
     """KMeans on 5 scaled features; returns rows with their ``prediction``."""
-    data = materialize(feats)
+    data = materialize(feats.select("product_id", "name", "main_category", *CLUSTER_FEATURES))
     assembled = VectorAssembler(inputCols=list(CLUSTER_FEATURES), outputCol="features").transform(data)
     scaled = StandardScaler(inputCol="features", outputCol="scaled_features").fit(assembled).transform(assembled)
     model = KMeans(featuresCol="scaled_features", k=k, seed=SEED).fit(scaled)

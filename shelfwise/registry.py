@@ -21,6 +21,7 @@ from shelfwise.plans import exploration as ex
 from shelfwise.plans import features as fe
 from shelfwise.plans import kpi
 from shelfwise.plans import ml
+from shelfwise.plans.feature_store import store_of
 from shelfwise.sources import load_products
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -47,35 +48,47 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
     "e9_price_rating_buckets": (_on_products(ex.price_rating_buckets), ox.E9),
     "e10_quality_card": (_on_products(ex.quality_card), ox.E10),
     "a1_top_products": (_on_products(ad.top_products), oa.A1),
+    "a1_all_ranks": (_on_products(lambda p: ad.top_products(p, all_ranks=True)), oa.A1_RANKS),
     "a2_category_scoreboard": (_on_products(ad.category_scoreboard), oa.A2),
+    "a2_all_ranks": (_on_products(lambda p: ad.category_scoreboard(p, all_ranks=True)), oa.A2_RANKS),
     "a3_price_positions": (_on_products(ad.price_positions), oa.A3_ROWS),
     "a3_price_recommendations": (_on_products(ad.price_recommendations), oa.A3),
     "a4_satisfaction_segments": (_on_products(ad.satisfaction_segments), oa.A4),
     "a5_performance_cohorts": (_on_products(ad.performance_cohorts), oa.A5),
     "a6_strategic_positions": (_on_products(ad.strategic_positions), oa.A6),
+    "a6_all_ranks": (_on_products(lambda p: ad.strategic_positions(p, all_ranks=True)), oa.A6_RANKS),
     "a7_market_opportunities": (_on_products(ad.market_opportunities), oa.A7),
     "k1_executive_card": (_on_products(kpi.executive_card), ok.K1),
     "k2_performance_trends": (_on_products(kpi.performance_trends), ok.K2_TRENDS),
     "k2_trending_summary": (_on_products(kpi.trending_summary), ok.K2),
     "k3_category_performance": (_on_products(kpi.category_performance), ok.K3),
+    "k3_all_ranks": (_on_products(lambda p: kpi.category_performance(p, all_ranks=True)), ok.K3_RANKS),
     "k4_pricing_intelligence": (_on_products(kpi.pricing_intelligence), ok.K4),
+    "k4_price_spread": (_on_products(lambda p: kpi.pricing_intelligence(p, spread=True)), ok.K4_SPREAD),
     "k5_satisfaction_nps": (_on_products(kpi.satisfaction_nps), ok.K5),
     "k6_revenue_impact": (_on_products(kpi.revenue_impact), ok.K6),
+    "k6_all_ranks": (_on_products(lambda p: kpi.revenue_impact(p, all_ranks=True)), ok.K6_RANKS),
     "k7_competition": (_on_products(kpi.competition), ok.K7),
     "k8_action_priorities": (_on_products(kpi.action_priorities), ok.K8),
     "k9_success_tracking": (_on_products(kpi.success_tracking), ok.K9),
 }
 
 
-def _feats(products, with_ranks: bool = False):
-    return fe.features(fe.clean(products), with_ranks=with_ranks)
+def _feats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature table of the catalogue, made once per application."""
+    products = load_products(spark, sf_dir)
+    store = store_of(spark)
+    return store.open(store.key(sf_dir, products, fe.features), lambda: fe.features(fe.clean(products), with_ranks=False))
 
 
 def _feature_step(step) -> QueryFn:
     """Pipeline step over the feature table, reported to 6 decimals."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fe.report(step(load_products(spark, sf_dir)))
+        feats = _feats(spark, sf_dir)
+        out = fe.report(step(feats))
+        out._reads = feats  # the table stays open as long as the result
+        return out
 
     run.__name__ = getattr(step, "__name__", "feature_step")
     return run
@@ -83,14 +96,14 @@ def _feature_step(step) -> QueryFn:
 
 REGISTRY.update(
     {
-        "p2_clean": (_feature_step(fe.clean), of.P2),
-        "p3_features": (_feature_step(lambda p: _feats(p, with_ranks=True)), of.P3),
-        "p7a_category_performance": (_feature_step(lambda p: fe.category_performance(_feats(p))), of.P7A),
-        "p7b_price_elasticity": (_feature_step(lambda p: fe.price_elasticity(_feats(p))), of.P7B),
-        "p7c_market_opportunity_top": (_feature_step(lambda p: fe.market_opportunity_top(_feats(p))), of.P7C),
-        "p8a_top_categories": (_feature_step(lambda p: fe.top_categories(_feats(p))), of.P8A),
-        "p8b_improvement_opportunities": (_feature_step(lambda p: fe.improvement_opportunities(_feats(p))), of.P8B),
-        "p8c_underpriced_quality": (_feature_step(lambda p: fe.underpriced_quality(_feats(p))), of.P8C),
+        "p2_clean": (lambda spark, sf_dir: fe.report(fe.clean(load_products(spark, sf_dir))), of.P2),
+        "p3_features": (_feature_step(fe.add_ranks), of.P3),
+        "p7a_category_performance": (_feature_step(fe.category_performance), of.P7A),
+        "p7b_price_elasticity": (_feature_step(fe.price_elasticity), of.P7B),
+        "p7c_market_opportunity_top": (_feature_step(fe.market_opportunity_top), of.P7C),
+        "p8a_top_categories": (_feature_step(fe.top_categories), of.P8A),
+        "p8b_improvement_opportunities": (_feature_step(fe.improvement_opportunities), of.P8B),
+        "p8c_underpriced_quality": (_feature_step(fe.underpriced_quality), of.P8C),
     }
 )
 
@@ -145,7 +158,7 @@ _MODELS: dict[tuple[str, str], ml.RatingModel] = {}
 
 def _fit_rating_model(spark: SparkSession, sf_dir: str) -> ml.RatingModel:
     """Train the rating model and keep it for this application (as the pipeline keeps its models)."""
-    m = ml.rating_model(_feats(load_products(spark, sf_dir)))
+    m = ml.rating_model(_feats(spark, sf_dir))
     _MODELS[(spark.sparkContext.applicationId, sf_dir)] = m
     return m
 
@@ -164,7 +177,7 @@ def _rating_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _success_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: cross-validated logistic regression, hold-out AUC and chosen parameters."""
-    m = ml.success_model(_feats(load_products(spark, sf_dir)))
+    m = ml.success_model(_feats(spark, sf_dir))
     return ml.model_report(
         spark, [("auc", m.auc), ("best_reg_param", m.best_reg_param), ("best_elastic_net", m.best_elastic_net)]
     )
@@ -172,12 +185,12 @@ def _success_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KMeans cluster sizes and means."""
-    return fe.report(ml.cluster_summary(ml.clusters(_feats(load_products(spark, sf_dir)))))
+    return fe.report(ml.cluster_summary(ml.clusters(_feats(spark, sf_dir))))
 
 
 def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7d: importance of every feature of the rating model."""
-    feats = _feats(load_products(spark, sf_dir))
+    feats = _feats(spark, sf_dir)
     return fe.report(ml.feature_importances(_fitted_rating_model(spark, sf_dir).model, feats))
 
 

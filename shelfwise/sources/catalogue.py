@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -54,22 +56,34 @@ def read_catalogue_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFr
     return _conform(df)
 
 
+def header_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``file`` and ``header`` (first line) of every CSV file, from one distributed job; empty files have no row.
+
+    Lines are read as text; each task keeps the first line of the files it opens, so one row per file is shuffled.
+    """
+    lines = spark.read.text(list(paths))
+    first = lines.where(F.col("_metadata.file_block_start") == 0).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    return first.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
 def read_catalogue_csv_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Union CSV files by column name, allowing missing columns (one read per file).
+    """Union CSV files by column name, allowing missing columns: one read per distinct header.
 
-    Each file's header names its columns; every column is read as text.
-    Meant for a modest number of heterogeneous files (the plan grows per file).
+    The headers of all files come from one job (:func:`header_lines`); files with the same header are read together, so the
+    plan grows with the headers, not with the files. Every column is read as text.
     """
     if not paths:
         raise ValueError("no CSV files given")
+    groups = header_lines(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     frames = [
-        _conform(spark.read.option("header", True).option("inferSchema", False).csv(p))
-        for p in paths
+        _conform(spark.read.option("header", True).option("inferSchema", False).csv([unquote(f) for f in g.files]))
+        for g in groups.orderBy("header").collect()  # the driver lists the files anyway
     ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    if not frames:
+        raise ValueError(f"no CSV input found at {list(paths)}")
+    return reduce(lambda a, x: a.unionByName(x, allowMissingColumns=True), frames)
 
 
 def read_catalogue_parquet(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

@@ -5,12 +5,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfwise.operators import (
+    box_stats,
+    global_ranks,
     group_ntile,
+    group_percentiles,
     group_row_number,
     hash_sample,
+    moving_frame,
+    ntile_by_cuts,
     ntile_of,
+    order_statistics,
     positions_in_group,
     top_n_per_group,
+    value_counts,
 )
 from shelfwise.plans.common import parsed
 from shelfwise.sources import load_products
@@ -84,17 +91,105 @@ def test_hash_sample_is_stable(rows):
 
 
 @pytest.mark.parametrize("descending", [True, False])
-def test_global_rank_matches_window_rank(rows, descending):
-    from shelfwise.operators import global_rank
+def test_global_ranks_match_window_rank(rows, descending):
+    many = rows.withColumn("odd", F.when(F.col("product_id") % 3 != 0, F.col("price").cast("double") / 7))
+    orders = {"r": "rating", "v": "review_count", "p": "price", "o": "odd"}
+    a = global_ranks(many, "product_id", orders, descending=descending)
+    w = {o: F.rank().over(Window.orderBy(F.col(c).desc() if descending else F.col(c).asc())).alias(f"w_{o}") for o, c in orders.items()}
+    j = a.join(many.select("product_id", *w.values()), "product_id")
+    assert j.count() == rows.count()
+    for o in orders:
+        assert j.where(F.col(o) != F.col(f"w_{o}")).count() == 0
 
-    o = F.col("rating").desc() if descending else F.col("rating").asc()
-    a = global_rank(
-        rows, "rating", descending=descending, tie_col="product_id", out="r"
-    )
-    b = rows.select("product_id", F.rank().over(Window.orderBy(o)).alias("w"))
+
+def test_global_ranks_keep_a_null_id(spark):
+    df = spark.createDataFrame([("a", 1), (None, 3), ("b", 3), ("c", None)], "k string, n int")
+    got = {r.k: r.rank for r in global_ranks(df, "k", {"rank": "n"}).collect()}
+    assert got == {None: 1, "b": 1, "a": 3, "c": 4}
+
+
+@pytest.mark.parametrize("parts, before, after", [(1, 2, 2), (5, 2, 2), (40, 2, 2), (64, 3, 0), (64, 0, 4)])
+def test_moving_frame_matches_window(rows, parts, before, after):
+    """Many partitions make chunks of one row, whose neighbours' neighbours are needed."""
+    order = [F.col("rating").asc(), F.col("product_id").asc()]
+    few = rows.where(F.col("product_id") % 9 == 0) if parts > 8 else rows
+    a = moving_frame(few, ["main_category"], order, before, after, {"s": F.sum("price"), "n": F.count("price")}, num_partitions=parts)
+    w = Window.partitionBy("main_category").orderBy(*order).rowsBetween(-before, after)
+    b = few.select("product_id", F.sum("price").over(w).alias("ws"), F.count("price").over(w).alias("wn"))
     j = a.join(b, "product_id")
-    assert j.count() == rows.count()
-    assert j.where(F.col("r") != F.col("w")).count() == 0
+    assert j.count() == few.count() and a.columns == [*few.columns, "s", "n"]
+    assert j.where(~F.col("s").eqNullSafe(F.col("ws")) | (F.col("n") != F.col("wn"))).count() == 0
+
+
+@pytest.mark.parametrize("n, size", [(4, 1000), (4, 3), (7, 20), (4, 1), (4, 0)])
+def test_ntile_by_cuts_matches_window(spark, n, size):
+    """One value is shared by half of all rows; bucket starts fall inside its ties."""
+    df = spark.range(size).select(
+        ((F.col("id") * 7919) % 10007).alias("i"),
+        F.when(F.col("id") % 2 == 0, 5).otherwise(F.col("id") % 11).alias("a"),
+        (F.col("id") % 13).cast("decimal(6,2)").alias("b"),
+        F.sqrt(F.col("id")).alias("c"),
+    )
+    got = ntile_by_cuts(df, "i", {"qa": "a", "qb": "b", "qc": "c"}, n)
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    for q, c in (("qa", "a"), ("qb", "b"), ("qc", "c")):
+        w = df.select(F.col("i").alias("j"), F.ntile(n).over(Window.orderBy(c, "i")).alias("w"))
+        assert got.join(w, F.col("i") == F.col("j")).where(F.col(q) != F.col("w")).count() == 0
+    assert got.count() == size
+
+
+def test_ntile_by_cuts_narrows_large_ties(spark, monkeypatch):
+    from functools import partial
+
+    from shelfwise.operators import quantiles, ranking
+
+    monkeypatch.setattr(ranking, "order_statistics", partial(quantiles.order_statistics, limit=20, bins=16))
+    df = spark.range(5000).select(F.col("id"), F.when(F.col("id") % 2 == 0, 1.5).otherwise(F.col("id") / 10).alias("v"))
+    got = ntile_by_cuts(df, "id", {"q": "v"}, 4)
+    w = df.select(F.col("id").alias("j"), F.ntile(4).over(Window.orderBy("v", "id")).alias("w"))
+    assert got.join(w, F.col("id") == F.col("j")).where(F.col("q") != F.col("w")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    """One group with a third of all rows, one with a single row, one of NULL values, a NULL key; values over many magnitudes."""
+    df = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, (F.col("id") % 4).cast("string")).alias("k"),
+        F.exp(F.pmod(F.xxhash64("id"), F.lit(1000)) / 60.0).alias("x"),
+        F.when(F.col("id") % 5 != 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)).cast("decimal(4,1)") / 10).alias("y"),
+    )
+    return df.unionByName(spark.createDataFrame([("one", -2.5, None), ("none", None, None)], "k string, x double, y decimal(10,6)")).cache()
+
+
+@pytest.mark.parametrize("limit, bins", [(1 << 14, 1 << 11), (30, 8), (2, 5)])
+def test_group_percentiles_match_percentile(spread, limit, bins):
+    ps = (0.0, 0.25, 0.5, 0.7, 1.0)
+    wanted = {f"{c}{i}": (F.col(c), p) for c in "xy" for i, p in enumerate(ps)}
+    for keys in (["k"], []):
+        got = group_percentiles(spread, keys, wanted, limit=limit, bins=bins)
+        assert "percentile" not in got._jdf.queryExecution().toString()
+        true = spread.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), p).alias(f"{c}{i}") for c in "xy" for i, p in enumerate(ps)])
+        a = {tuple(r) for r in got.collect()}
+        b = {tuple(r) for r in true.collect() if any(v is not None for v in tuple(r)[len(keys) :])}
+        assert a == b
+
+
+def test_one_group_of_a_million_distinct_values(spark):
+    df = spark.range(1_000_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("v"))
+    counted = value_counts(df, [], {"v": F.col("v")}).persist()
+    got = order_statistics(counted, ["_q_measure"], lambda n: F.array(F.lit(0), F.ceil(n * 0.33) - 1, F.ceil(n * 0.8) - 1, n - 1)).collect()
+    values = sorted(r.v for r in df.collect())
+    assert {r["rank"]: r["value"] for r in got} == {i: values[i] for i in (0, 329_999, 799_999, 999_999)}
+    discrete = group_percentiles(df, [], {"a": (F.col("v"), 0.33), "b": (F.col("v"), 0.8)}, discrete=True).first()
+    assert tuple(discrete) == (values[329_999], values[799_999])
+    counted.unpersist()
+
+
+def test_percentiles_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, x double")
+    assert group_percentiles(empty, ["k"], {"m": (F.col("x"), 0.5)}).count() == 0
+    assert [r.m for r in group_percentiles(empty, [], {"m": (F.col("x"), 0.5)}).collect()] == [None]
+    assert box_stats(empty, ["k"], "x").count() == 0
 
 
 def test_small_frame_path_matches_window(rows):

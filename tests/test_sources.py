@@ -132,3 +132,15 @@ def test_sql_over_registered_views(spark):
         "WHERE v_price AND v_rating AND v_count GROUP BY main_category"
     )
     assert valid.agg(F.sum("c")).first()[0] > 0
+
+
+def test_files_of_one_header_are_one_read(spark, tmp_path):
+    heads = ["name,ratings", "ratings,name,extra", "name,main_category"]
+    for i in range(60):
+        (tmp_path / f"f {i:02}.csv").write_text(heads[i % 3] + f"\nn{i},4.{i % 10}\n")
+    (tmp_path / "empty.csv").write_text("")
+    out = read_catalogue_csv_by_name(spark, [str(tmp_path)])
+    got = {(r.name, r.ratings, r.main_category) for r in out.collect()}
+    wanted = [(f"n{i}", f"4.{i % 10}", None) if i % 3 == 0 else (f"4.{i % 10}", f"n{i}", None) if i % 3 == 1 else (f"n{i}", None, f"4.{i % 10}") for i in range(60)]
+    assert got == set(wanted)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
