@@ -1,28 +1,27 @@
 """Vectorised word and shingle hashing for the tasks of the Python operators.
 
-A batch of texts is laid out as one byte buffer; word hashes come from prefix
-sums of a keyed polynomial over that buffer, so the cost is a few numpy passes
-and no Python work per word.
+A batch of texts is laid out as one byte buffer; the hash of a word is a sum of
+keyed bytes, each weighted by an unrelated number for its place in the word, so
+the cost is a few numpy passes and no Python work per word. (A polynomial in
+one base would collide for every base modulo 2**64, on Thue-Morse words.) Lines
+are few and get a 128-bit BLAKE2b digest of their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+_FOLD_BYTES, _LINE_SPACE = _FOLD.tobytes(), b" \t\n\x0b\x0c\r"
 #: Bytes of text that are hashed at once; a longer text is a buffer of its own.
 BUFFER_BYTES = 1 << 21
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection), so that close inputs get unrelated values."""
     x = x ^ (x >> np.uint64(30))
@@ -33,15 +32,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_KEY = mix(np.arange(1, 257, dtype=np.uint64))
-_BYTE_KEY_2 = mix(np.arange(1001, 1257, dtype=np.uint64))
+#: Weights of the first bytes of a word; those of later bytes are made as needed.
+_WEIGHTS = mix(np.arange(5001, 5001 + 4096, dtype=np.uint64)) | np.uint64(1)
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        step = np.full(max(n, BUFFER_BYTES + 4096), _BASE if which == "up" else _BASE_INV, np.uint64)
-        step[0] = 1
-        _powers[which] = np.cumprod(step, dtype=np.uint64)
-    return _powers[which][:n]
+def _weights(place: np.ndarray) -> np.ndarray:
+    """The weight of each place within a word: unrelated odd numbers, not powers of one base."""
+    if not len(place) or place.max() < len(_WEIGHTS):
+        return _WEIGHTS[place]
+    return mix(place.astype(np.uint64) + np.uint64(5001)) | np.uint64(1)
 
 
 def buffers(texts: Iterable[str | None], limit: int = BUFFER_BYTES) -> Iterator[list[bytes]]:
@@ -69,10 +68,16 @@ def word_hashes(raws: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.nd
     before[1:] = blank[:-1]
     starts = np.flatnonzero(before & ~blank)
     ends = np.flatnonzero(blank & ~before)
+    place = np.arange(len(data), dtype=np.int64)
+    first = np.zeros(len(data), np.int64)
+    first[starts] = starts
+    np.maximum.accumulate(first, out=first)
+    place -= first
+    place[blank] = 0
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.cumsum(_BYTE_KEY[data] * _power("up", len(data)), out=sums[1:], dtype=np.uint64)
-    h = mix((sums[ends] - sums[starts]) * _power("down", len(data))[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_BYTE_KEY[data] * _weights(place), out=sums[1:], dtype=np.uint64)
+    h = mix(sums[ends] - sums[starts] + (ends - starts).astype(np.uint64))
     lengths = np.fromiter((len(r) + 1 for r in raws), np.int64, len(raws))
     edges = np.concatenate(([0], np.cumsum(lengths)))
     return h, np.searchsorted(starts, edges)
@@ -83,29 +88,11 @@ def line_hashes(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     A key is a line without white space at both ends and with A-Z folded; a text without line feeds is one line.
     """
-    data = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
-    ends = np.flatnonzero(data == 10)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    solid = np.flatnonzero(~_SPACE[data])
-    padded = np.concatenate((solid, [len(data)]))
-    first = padded[np.searchsorted(solid, starts)]
-    full = first < ends
-    a = np.where(full, first, starts)
-    last = np.concatenate(([0], solid))[np.searchsorted(solid, ends)]
-    b = np.where(full, last + 1, starts)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    folded, hashes = _FOLD[data], np.empty((len(ends), 2), np.uint64)
-    for j, key in enumerate((_BYTE_KEY, _BYTE_KEY_2)):
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(key[folded] * _power("up", len(data)), out=sums[1:], dtype=np.uint64)
-        hashes[:, j] = mix((sums[b] - sums[a]) * _power("down", len(data))[a] + (b - a).astype(np.uint64))
-    lengths = points[b] - points[a]
-    at = 0
     for raw in raws:
-        n = raw.count(b"\n") + 1
-        yield hashes[at : at + n], lengths[at : at + n]
-        at += n
+        keys = [line.strip(_LINE_SPACE) for line in raw.translate(_FOLD_BYTES).split(b"\n")]
+        digests = b"".join([blake2b(key, digest_size=16).digest() for key in keys])
+        lengths = [len(key) if key.isascii() else len(key.decode("utf-8", "surrogatepass")) for key in keys]
+        yield np.frombuffer(digests, np.uint64).reshape(-1, 2), np.array(lengths, np.int64)
 
 
 def shingle_sets(raws: list[bytes], width: int, fold: bool = True) -> Iterator[np.ndarray]:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import Scratch, text_of
+from shelfwise.llm.common import SPACE_CHARS, Scratch, text_of
 from shelfwise.llm.components import components
 from shelfwise.llm.hashing import buffers, mix, overlap, shingle_sets
 
@@ -301,15 +301,33 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", width:
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component stays: the row with the least doc_id, columns unchanged.
+    """One row of each component stays: the one with the least doc_id, columns unchanged.
 
-    Of repeated rows with that doc_id the first by text stays. Rows with a NULL doc_id can't be named and stay.
+    The components are of rows, not of ids. A row whose doc_id is NULL or that other rows have too gets a key of its own from id
+    and text, above all ids, so a text without a near copy stays whatever its id. Equal texts under such an id are one row, the
+    first by all columns. Rows without words are linked with nothing and stay.
     """
-    found = jaccard_components(docs, width=width, num=num, den=den)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    named = docs.filter(F.col("doc_id").isNotNull())
-    named = named.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
+    named = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__again"))
+    worded = F.btrim(text_of(), F.lit(SPACE_CHARS)) != ""
+    own = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("doc_id").isNull(), "text"), F.lit(1 << 61))
+    rows = docs.filter(worded)
+    unique = named.isEmpty()
+    if unique:
+        rows = rows.withColumn("__key", F.col("doc_id").cast("long"))
+    else:
+        again = F.col("doc_id").eqNullSafe(F.col("__again"))
+        renamed = rows.join(named, again, "left_semi").withColumn("__key", own)
+        rows = renamed.unionByName(rows.join(named, again, "left_anti").withColumn("__key", F.col("doc_id").cast("long")))
+    found = jaccard_components(rows, "__key", "text", width=width, num=num, den=den).withColumnRenamed("doc_id", "key")
+    if unique:
+        keep = found.filter("key = component_id").select(F.col("key").alias("__keep")).distinct()
+    else:
+        ids = renamed.select(F.col("__key").alias("key"), F.col("doc_id").cast("long").alias("id"), F.lit(True).alias("own")).distinct()
+        found = found.join(ids, "key", "left").withColumn("id", F.when(F.col("own"), F.col("id")).otherwise(F.col("key")))
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+        keep = found.groupBy("component_id").agg(least.alias("least")).select(F.col("least.key").alias("__keep"))
+    kept = rows.join(keep, F.col("__key") == F.col("__keep"), "left_semi")
     whole_row = F.xxhash64(*[f.name for f in docs.schema if f.dataType.typeName() != "map"])
-    first = Window.partitionBy("doc_id").orderBy("text", whole_row)
-    named = named.withColumn("__row", F.row_number().over(first)).filter("__row = 1").drop("__row")
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = Window.partitionBy("__key").orderBy(whole_row)
+    kept = kept.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(docs.columns)
+    return kept.unionByName(docs.filter(~worded))

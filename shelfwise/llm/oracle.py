@@ -91,12 +91,13 @@ WITH words AS (
 ), repeats AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM windows, range(5) r(k) WHERE times > 1 GROUP BY doc_id
 ), lines AS (
-  SELECT doc_id, count(*) AS n, count(DISTINCT line) AS distinct_n
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, {_WORD}) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n, count(DISTINCT line) AS distinct_n, sum(length(line)) AS chars, sum(length(line)) FILTER (nth > 1) AS dup_chars
+  FROM (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) AS nth
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words)) WHERE regexp_matches(line, {_WORD}) GROUP BY doc_id
 ), counted AS (
   SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(l.n - l.distinct_n, 0) AS BIGINT) AS n_dup_lines, coalesce(l.n, 0) AS n_lines,
+         CAST(coalesce(l.n - l.distinct_n, 0) AS BIGINT) AS n_dup_lines, coalesce(l.chars, 0) AS line_chars, coalesce(l.dup_chars, 0) AS dup_chars,
          CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(text, '[^!]', '', 'g')) AS exclamations,
          len([x FOR x IN w IF x IN ({_STOPS})]) AS stops
@@ -107,7 +108,7 @@ WITH words AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 12.0 AND n_symbols / n_words <= 0.10
          AND capitals / word_chars <= 0.40 AND exclamations / n_words <= 0.25
-         AND (n_words < 50 OR stops / n_words >= 0.02) AND (n_lines = 0 OR n_dup_lines / n_lines <= 0.30) AS kept
+         AND (n_words < 50 OR stops / n_words >= 0.02) AND (line_chars = 0 OR dup_chars / line_chars <= 0.30) AS kept
 FROM based
 """
 

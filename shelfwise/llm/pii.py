@@ -50,7 +50,8 @@ _TAIL = r"(?:['’]s|['’-]+)"
 _MENTION_LEFT, _MENTION_RIGHT = r"(?<![\p{L}\p{N}-])", r"(?![\p{L}\p{N}]|-\p{L})"
 #: One alternation finds all kinds, leftmost first.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    # A local part is tried from the start of its run only, and a domain has at most 127 labels: linear time, bounded stack.
+    "email": r"(?:(?<![\p{L}\p{N}._%+-])|\G)[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++){0,125}\.\p{L}{2,}+",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)",
     "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3,4}[ .-]\d{4}|\+[1-9](?:[ .()-]{0,2}\d){7,14})(?![\w])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -287,10 +288,13 @@ def replace_pii(docs: DataFrame, text_col="text", key: str = KEY) -> DataFrame:
     per_doc = given.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("value", "as"))).alias("__map"))
     some = some.join(per_doc, F.col("__row") == F.col("__of"), "left").drop("__of")
     # Between the found strings lie the gaps that split() gives; both are in order.
+    # (swapped is an argument of arrays_zip: inside a lambda it would be made again for every gap.)
     swapped = F.transform("__found", lambda v: F.coalesce(F.element_at(F.col("__map"), v), v))
     gaps = F.split(F.col(text_col), F.coalesce("__again", F.lit(ENTITY)), -1)
-    rebuilt = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get(swapped, i), F.lit(""))))), "")
-    count = F.size(F.filter("__found", lambda v: F.coalesce(F.element_at(F.col("__map"), v).isNotNull(), F.lit(False)))).cast("long")
+    pieces = F.arrays_zip(gaps.alias("gap"), swapped.alias("new"))
+    rebuilt = F.array_join(F.transform(pieces, lambda p: F.concat(F.coalesce(p["gap"], F.lit("")), F.coalesce(p["new"], F.lit("")))), "")
+    count = F.size(F.filter(F.transform("__found", lambda v: F.element_at(F.col("__map"), v)), lambda x: x.isNotNull()))
+    count = F.greatest(count, F.lit(0)).cast("long")
     some = some.withColumn("__n_entities", count).withColumn("__new", F.when(count > 0, rebuilt).otherwise(F.col(text_col)))
     some = some.withColumn(text_col, F.col("__new")).select(*docs.columns, "__n_entities")
     none = marked.filter(F.size("__found") == 0).withColumn("__n_entities", F.lit(0).cast("long")).select(*docs.columns, "__n_entities")

@@ -9,7 +9,8 @@ Measures of a text (NULL counts as the empty text):
 - ``n_words``, ``word_chars`` (code points in words), ``n_symbols`` (characters of ``[#*$%&|<>]``),
 - ``n_dup_lines`` (lines with a word that equal an earlier line of the text),
 - ``n_repeat_words`` (words covered by five-word windows found twice or more),
-- the ratios of the table: symbols, capitals, exclamation marks, stop words and repeated lines.
+- the ratios of the table: symbols, capitals, exclamation marks, stop words and the share of the text in repeated lines
+  (of its characters, so that a short header that comes twice beside a long body is no fault).
 
 An empty text has no words and fails the base rules. Rows are judged one by
 one: ties, repeated rows and extra columns have no influence.
@@ -38,7 +39,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("capital_share", "capital_share", None, 0.40),
     ("exclamations_per_word", "exclamations_per_word", None, 0.25),
     ("stop_words_if_long", "stop_words_if_long", 0.02, None),
-    ("dup_line_share", "dup_line_share", None, 0.30),
+    ("dup_char_share", "dup_char_share", None, 0.30),
 )
 
 _WINDOW = 5
@@ -53,6 +54,8 @@ def measures(text: Column, words: Column) -> dict[str, Column]:
         "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+        "line_chars": F.length(F.array_join(lines, "")).cast("long"),
+        "dup_chars": (F.length(F.array_join(lines, "")) - F.length(F.array_join(F.array_distinct(lines), ""))).cast("long"),
         "n_capitals": F.regexp_count(text, F.lit("[A-Z]")).cast("long"),
         "n_exclamations": (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long"),
         "n_stop_words": F.size(F.filter(words, lambda w: w.isin(STOP_WORDS))).cast("long"),
@@ -93,7 +96,7 @@ def ratios(m: dict[str, Column]) -> dict[str, Column]:
         "capital_share": per(m["n_capitals"], m["word_chars"]),
         "exclamations_per_word": per(m["n_exclamations"], m["n_words"]),
         "stop_words_if_long": F.when(m["n_words"] < 50, F.lit(1.0)).otherwise(per(m["n_stop_words"], m["n_words"])),
-        "dup_line_share": per(m["n_dup_lines"], m["n_lines"]),
+        "dup_char_share": per(m["dup_chars"], m["line_chars"]),
     }
 
 

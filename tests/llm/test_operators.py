@@ -195,6 +195,57 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in ngram_join.keep_one(frame(spark, docs)).collect()) == [3, 9, 10, 11]
 
 
+def test_unlike_texts_under_one_id_stay(spark):
+    a, b, c = PROSE, "something else entirely, in other words, that nobody has written down before today", PROSE.replace("old", "new") + " and more of it follows here"
+    docs = [(10, a, "s"), (10, b, "s"), (None, a, "s"), (None, a, "s"), (None, c, "s"), (None, None, "s"), (12, b, "s"), (10, b, "t"), (7, "", "s"), (7, "", "s")]
+    got = sorted((str(r.doc_id), r.text or "") for r in ngram_join.keep_one(frame(spark, docs)).collect())
+    assert got == sorted([("10", a), ("10", b), ("None", c), ("None", ""), ("7", ""), ("7", "")])
+
+
+def thue_morse(n=1024):
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return t, t.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_words_apart(spark):
+    t, u = thue_morse()
+    both = [t.encode(), u.encode()]
+    assert len(np.unique(hashing.word_hashes(both)[0])) == 2
+    lines = [h for h, _ in hashing.line_hashes(both)]
+    assert (lines[0] != lines[1]).all()
+    assert len({tuple(x) for x in hashing.shingle_sets(both, 4)}) == 2
+    long = [x * 40 for x in thue_morse(256)]  # longer than the table of weights
+    assert len(np.unique(hashing.word_hashes([x.encode() for x in long])[0])) == 2
+    docs = frame(spark, [(i, t, "a") for i in range(4)] + [(4, u, "a")])
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_report(docs).collect()} == {i: 0 for i in range(5)}
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+    near = {r.doc_id: r.near_next for r in fingerprints.fingerprint_report(docs).collect()}
+    assert near[4] == 0 and near[0] == 0 and near[3] == 1  # the next of 4 is 3, the next of 0 is 4
+
+
+def test_pii_of_hostile_texts(spark):
+    """Many labels, long runs and many entities take linear time and little stack."""
+    import time
+
+    many = " ".join(f"user{i}@host{i % 7}.example.org" for i in range(3000))
+    texts = ["a@" + "b." * 50_000 + "com", "a" * 500_000, "a." * 200_000 + "@", "1-" * 100_000, many, "x@" * 50_000, "see a.b@c.de. And d@e.co1@f.org"]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.pii_report(frame(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert time.time() - began < 90
+    assert [got[i].n_entities for i in (1, 2, 3, 5)] == [0, 0, 0, 0] and all(got[i].text == texts[i] for i in (1, 2, 3, 5))
+    assert got[4].n_entities == 3000 and len(set(got[4].text.split())) == 3000 and not set(got[4].text.split()) & set(many.split())
+    assert got[6].n_entities == 3 and "a.b@c.de" not in got[6].text and got[6].text.startswith("see ") and ". And " in got[6].text
+
+
+def test_repeated_lines_weigh_by_text(spark):
+    body = " ".join(f"word{i} of the text" for i in range(40))
+    cases = {0: f"A header line\nA header line\n{body}", 1: "\n".join([body] * 2), 2: f"{body}\n{body[:90]}\n{body[:90]}"}
+    docs = frame(spark, [(i, t, "a") for i, t in cases.items()])
+    shares = quality_rules.judge(docs).select("doc_id", (F.col("__m.dup_chars") / F.col("__m.line_chars")).alias("s"), "__m.n_dup_lines").collect()
+    assert {r.doc_id: r.n_dup_lines for r in shares} == {0: 1, 1: 1, 2: 1}
+    assert {r.doc_id: r.s > 0.3 for r in shares} == {0: False, 1: True, 2: False}
+
+
 def test_quality_verdicts(spark):
     other = " ".join(f"Thing{i} of the world is {i}" for i in range(30))
     cases = {
