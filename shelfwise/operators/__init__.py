@@ -13,6 +13,7 @@ from shelfwise.operators.aggregates import (
     with_share,
 )
 from shelfwise.operators.joins import join_group_stats, one_row, sized
+from shelfwise.operators.metrics import rank_auc
 from shelfwise.operators.quantiles import group_percentiles, order_statistics, percentiles, value_counts, with_percentiles
 from shelfwise.operators.ranking import (
     global_ranks,
@@ -24,11 +25,12 @@ from shelfwise.operators.ranking import (
     positions_in_group,
     top_n_per_group,
 )
-from shelfwise.operators.sampling import hash_key, hash_sample, hash_split
+from shelfwise.operators.sampling import fold_of, hash_key, hash_sample, hash_split, in_train
 
 __all__ = [
     "avg_cmp",
     "box_stats",
+    "fold_of",
     "global_ranks",
     "group_ntile",
     "group_percentiles",
@@ -37,6 +39,7 @@ __all__ = [
     "hash_sample",
     "hash_split",
     "histogram",
+    "in_train",
     "join_group_stats",
     "metrics_long",
     "minmax_normalise",
@@ -48,6 +51,7 @@ __all__ = [
     "order_statistics",
     "percentiles",
     "positions_in_group",
+    "rank_auc",
     "sized",
     "top_k_concentration",
     "top_k_sum",

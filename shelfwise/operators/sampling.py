@@ -14,15 +14,24 @@ _MINSTD_A = 48271
 _MINSTD_M = 2147483647
 
 
-def hash_key(id_col: str = PRODUCT_ID, seed: int = SEED) -> Column:
-    """A fixed pseudo-random key per row: ``((id mod M) * A + seed) mod M`` (MINSTD)."""
-    c = F.col(id_col).cast("bigint")
-    return ((c % F.lit(_MINSTD_M)) * F.lit(_MINSTD_A) + F.lit(seed)) % F.lit(_MINSTD_M)
+# Steps of the keys of splits and folds: one step leaves small ids in order, three spread them over the whole range.
+_SPLIT_STEPS, _FOLD_STEPS = 3, 4
 
 
-def hash_key_sql(id_col: str = PRODUCT_ID, seed: int = SEED) -> str:
+def hash_key(id_col: str = PRODUCT_ID, seed: int = SEED, steps: int = 1) -> Column:
+    """A fixed pseudo-random key per row: ``((id mod M) * A + seed) mod M`` (MINSTD), ``steps`` times."""
+    c = F.col(id_col).cast("bigint") % F.lit(_MINSTD_M)
+    for _ in range(steps):
+        c = (c * F.lit(_MINSTD_A) + F.lit(seed)) % F.lit(_MINSTD_M)
+    return c
+
+
+def hash_key_sql(id_col: str = PRODUCT_ID, seed: int = SEED, steps: int = 1) -> str:
     """The same key as SQL text (for an oracle)."""
-    return f"((CAST({id_col} AS BIGINT) % {_MINSTD_M}) * {_MINSTD_A} + {seed}) % {_MINSTD_M}"
+    c = f"CAST({id_col} AS BIGINT) % {_MINSTD_M}"
+    for _ in range(steps):
+        c = f"(({c}) * {_MINSTD_A} + {seed}) % {_MINSTD_M}"
+    return c
 
 
 def hash_sample(df: DataFrame, n: int, id_col: str = PRODUCT_ID, seed: int = SEED) -> DataFrame:
@@ -37,9 +46,26 @@ def hash_sample(df: DataFrame, n: int, id_col: str = PRODUCT_ID, seed: int = SEE
 def hash_split(
     df: DataFrame, fraction: float, id_col: str = PRODUCT_ID, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """Deterministic train/test split by hashed id (same rows for any partitioning)."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    flagged = df.withColumn("_split_u", u)
-    train = flagged.where(F.col("_split_u") < F.lit(fraction)).drop("_split_u")
-    test = flagged.where(F.col("_split_u") >= F.lit(fraction)).drop("_split_u")
-    return train, test
+    """Deterministic train/test split by the portable key of the id (same rows for any partitioning and any engine)."""
+    first = in_train(fraction, id_col, seed)
+    return df.where(first), df.where(~first)
+
+
+def in_train(fraction: float, id_col: str = PRODUCT_ID, seed: int = SEED) -> Column:
+    """Whether a row is in the training part."""
+    return hash_key(id_col, seed, _SPLIT_STEPS) < F.lit(int(fraction * _MINSTD_M))
+
+
+def in_train_sql(fraction: float, id_col: str = PRODUCT_ID, seed: int = SEED) -> str:
+    """The same test as SQL text (for an oracle)."""
+    return f"({hash_key_sql(id_col, seed, _SPLIT_STEPS)}) < {int(fraction * _MINSTD_M)}"
+
+
+def fold_of(folds: int, id_col: str = PRODUCT_ID, seed: int = SEED) -> Column:
+    """The row's cross-validation fold."""
+    return (hash_key(id_col, seed, _FOLD_STEPS) % F.lit(folds)).cast("int")
+
+
+def fold_sql(folds: int, id_col: str = PRODUCT_ID, seed: int = SEED) -> str:
+    """The same fold as SQL text (for an oracle)."""
+    return f"CAST(({hash_key_sql(id_col, seed, _FOLD_STEPS)}) % {folds} AS INTEGER)"

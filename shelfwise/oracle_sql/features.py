@@ -1,6 +1,8 @@
 """Oracle SQL (DuckDB) for the feature pipeline (P2, P3, P7a-c, P8a-c)."""
 
+from shelfwise.operators.sampling import fold_sql, in_train_sql
 from shelfwise.oracle_sql.common import q, rnd
+from shelfwise.schema import CV_FOLDS, TRAIN_FRACTION
 
 CLEANED = r"""
 , dedup AS (
@@ -151,3 +153,37 @@ FROM features WHERE ratings_clean >= 4.5 AND price_vs_category_avg < -20
 ORDER BY price_vs_category_avg, product_id LIMIT 10
 """
 )
+
+# --- checks of the models: split, folds, index and metrics -------------------
+
+_TRAIN = in_train_sql(TRAIN_FRACTION)
+_MARKED = FEATS + f"""
+, limits AS (
+    SELECT quantile_disc(no_of_ratings_clean, 0.7) AS many FROM cleaned
+), marked AS (
+    SELECT f.*, {_TRAIN} AS learns, CAST(ratings_clean >= 4.0 AND no_of_ratings_clean >= many AS INTEGER) AS is_successful
+    FROM feats f, limits
+)"""
+P4_INDEX = q(_MARKED + """
+SELECT main_category, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, main_category) - 1 AS INTEGER) AS category_index, COUNT(*) AS train_rows
+FROM marked WHERE learns GROUP BY main_category
+""")
+P4_RMSE = q(_MARKED + f"""
+, guesses AS (SELECT main_category, {_fixed_mean("ratings_clean")} AS guess FROM marked WHERE learns GROUP BY main_category)
+SELECT COUNT(*) AS test_rows, {rnd("SQRT(AVG((ratings_clean - guess) * (ratings_clean - guess)))", 6)} AS rmse
+FROM marked JOIN guesses USING (main_category) WHERE NOT learns
+""")
+P5_SPLIT = q(_MARKED + f"""
+SELECT IF(learns, 'train', 'test') AS part, IF(learns, {fold_sql(CV_FOLDS)}, NULL) AS fold, is_successful, COUNT(*) AS n
+FROM marked GROUP BY ALL
+""")
+_FACTORS = ("discount_percentage", "price_vs_category_avg", "quality_score", "no_of_ratings_clean")
+_SCORED = " UNION ALL ".join(f"SELECT '{f}' AS factor, {rnd(f, 6)} AS score, is_successful AS y FROM marked WHERE NOT learns" for f in _FACTORS)
+P5_AUC = q(_MARKED + f"""
+, scored AS ({_SCORED}),
+beaten AS (
+    SELECT a.factor, COUNT(*) FILTER (b.score < a.score) + 0.5 * COUNT(*) FILTER (b.score = a.score) AS won, COUNT(*) AS met
+    FROM scored a JOIN scored b ON a.factor = b.factor AND a.y = 1 AND b.y = 0 GROUP BY a.factor
+)
+SELECT factor, {rnd("CAST(won AS DOUBLE) / met", 6)} AS auc FROM beaten
+""")

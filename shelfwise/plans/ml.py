@@ -10,6 +10,7 @@ cross join), not on the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 from pyspark.util import inheritable_thread_target
 
-from shelfwise.operators import group_percentiles, hash_split, one_row
+from shelfwise.functions import round_to
+from shelfwise.operators import fold_of, group_percentiles, hash_split, in_train, join_group_stats, one_row, rank_auc
+from shelfwise.plans.features import mean_fixed
 from shelfwise.schema import (
     CV_FOLDS,
     KMEANS_K,
@@ -133,9 +136,8 @@ def success_model(feats: DataFrame, folds: int = CV_FOLDS, parallelism: int | No
     """
     data = materialize(success_label(_model_input(feats, SUCCESS_FEATURES)))
     train, test = hash_split(data, TRAIN_FRACTION)
-    # Folds from the hashed id (not a seeded random split): the same folds for
-    # any partitioning of the input.
-    train = train.withColumn("_fold", F.pmod(F.xxhash64(F.col("product_id"), F.lit(SEED + 1)), F.lit(folds)).cast("int"))
+    # Folds from the id's key (not a seeded random split): the same folds for any partitioning of the input.
+    train = train.withColumn("_fold", fold_of(folds))
     lr = LogisticRegression(featuresCol="scaled_features", labelCol="is_successful", maxIter=LR_MAX_ITER)
     preparation = Pipeline(
         stages=[
@@ -190,6 +192,39 @@ def cross_validate(preparation: Pipeline, estimator, grid, evaluator, train: Dat
     return totals
 
 
+def split_counts(feats: DataFrame, folds: int = CV_FOLDS) -> DataFrame:
+    """Rows per part, fold (training part only) and label of the success model."""
+    part = F.when(in_train(TRAIN_FRACTION), F.lit("train")).otherwise(F.lit("test"))
+    labelled = success_label(feats.select("product_id", "ratings_clean", "no_of_ratings_clean")).withColumn("part", part)
+    fold = F.when(F.col("part") == "train", fold_of(folds))
+    return labelled.groupBy("part", fold.alias("fold"), "is_successful").agg(F.count(F.lit(1)).alias("n"))
+
+
+def factor_auc(feats: DataFrame, factors: Sequence[str] = ("discount_percentage", "price_vs_category_avg", "quality_score", "no_of_ratings_clean")) -> DataFrame:
+    """AUC of single factors as predictors of success on the test rows: what the success model has to beat."""
+    labelled = success_label(feats.select("product_id", "ratings_clean", *dict.fromkeys([*factors, "no_of_ratings_clean"])))
+    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), round_to(F.col(f).cast("double"), 6).alias("score")) for f in factors])
+    long = labelled.where(~in_train(TRAIN_FRACTION)).select("product_id", "is_successful", F.inline(pairs))
+    return rank_auc(long, "score", "is_successful", "product_id", ["factor"])
+
+
+def category_index(feats: DataFrame) -> DataFrame:
+    """The category index of the models: most frequent first among the training rows, then by name."""
+    train, _ = hash_split(feats.select("product_id", "main_category"), TRAIN_FRACTION)
+    labels = StringIndexer(inputCol="main_category", outputCol="category_index", handleInvalid="keep").fit(train).labels
+    index = feats.sparkSession.createDataFrame(list(enumerate(labels)), "category_index int, main_category string")
+    return index.join(train.groupBy("main_category").agg(F.count(F.lit(1)).alias("train_rows")), "main_category")
+
+
+def baseline_rmse(feats: DataFrame) -> DataFrame:
+    """RMSE on the test rows of the mean rating of the category's training rows: what the rating model has to beat."""
+    train, test = hash_split(feats.select("product_id", "main_category", "ratings_clean"), TRAIN_FRACTION)
+    means = train.groupBy("main_category").agg(mean_fixed("ratings_clean").alias("prediction"))
+    guessed = join_group_stats(test, means, ["main_category"])
+    rmse = RegressionEvaluator(labelCol="ratings_clean", predictionCol="prediction", metricName="rmse").evaluate(guessed)
+    return guessed.agg(F.count(F.lit(1)).alias("test_rows")).withColumn("rmse", F.lit(float(rmse)))
+
+
 def clusters(feats: DataFrame, k: int = KMEANS_K) -> DataFrame:
     """KMeans on 5 scaled features; returns rows with their ``prediction``."""
     data = materialize(feats.select("product_id", "name", "main_category", *CLUSTER_FEATURES))

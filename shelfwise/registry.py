@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.oracle_sql import advanced as oa
@@ -22,6 +25,7 @@ from shelfwise.plans import features as fe
 from shelfwise.plans import kpi
 from shelfwise.plans import ml
 from shelfwise.plans.feature_store import store_of
+from shelfwise.session import ensure_checkpoint_dir
 from shelfwise.sources import load_products
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -153,20 +157,29 @@ REGISTRY.update(
 )
 
 
-_MODELS: dict[tuple[str, str], ml.RatingModel] = {}
+def _rating_path(spark: SparkSession, sf_dir: str) -> str | None:
+    """Where P4 leaves its fitted model for P7d: the shared folder, by the key of the feature table."""
+    folder = ensure_checkpoint_dir(spark)
+    products = load_products(spark, sf_dir)
+    return folder and f"{folder.rstrip('/')}/rating-model-{store_of(spark).key(sf_dir, products, ml.rating_model)}"
 
 
 def _fit_rating_model(spark: SparkSession, sf_dir: str) -> ml.RatingModel:
-    """Train the rating model and keep it for this application (as the pipeline keeps its models)."""
+    """Train the rating model; the fitted pipeline is part of P4's output, in the shared folder where there is one."""
     m = ml.rating_model(_feats(spark, sf_dir))
-    _MODELS[(spark.sparkContext.applicationId, sf_dir)] = m
+    if path := _rating_path(spark, sf_dir):
+        m.model.write().overwrite().save(path)
     return m
 
 
-def _fitted_rating_model(spark: SparkSession, sf_dir: str) -> ml.RatingModel:
-    """The model P4 trained in this application, trained now if P4 has not run."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    return _MODELS[key] if key in _MODELS else _fit_rating_model(spark, sf_dir)
+def _fitted_rating_model(spark: SparkSession, sf_dir: str):
+    """The model that P4 stored for the same input and code, else one fitted now."""
+    if path := _rating_path(spark, sf_dir):
+        try:
+            return PipelineModel.load(path)
+        except (AnalysisException, Py4JJavaError):  # not stored yet
+            pass
+    return _fit_rating_model(spark, sf_dir).model
 
 
 def _rating_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,12 +204,16 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7d: importance of every feature of the rating model."""
     feats = _feats(spark, sf_dir)
-    return fe.report(ml.feature_importances(_fitted_rating_model(spark, sf_dir).model, feats))
+    return fe.report(ml.feature_importances(_fitted_rating_model(spark, sf_dir), feats))
 
 
 REGISTRY.update(
     {
         "p4_rating_model": (_rating_model, None),
+        "p4_category_index": (_feature_step(ml.category_index), of.P4_INDEX),
+        "p4_baseline_rmse": (_feature_step(ml.baseline_rmse), of.P4_RMSE),
+        "p5_split_counts": (_feature_step(ml.split_counts), of.P5_SPLIT),
+        "p5_factor_auc": (_feature_step(ml.factor_auc), of.P5_AUC),
         "p5_success_model": (_success_model, None),
         "p6_cluster_summary": (_clusters, None),
         "p7d_feature_importance": (_importances, None),

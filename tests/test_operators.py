@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from shelfwise.operators import (
     box_stats,
+    fold_of,
     global_ranks,
     group_ntile,
     group_percentiles,
     group_row_number,
     hash_sample,
+    hash_split,
     moving_frame,
     ntile_by_cuts,
     ntile_of,
@@ -201,3 +203,13 @@ def test_small_frame_path_matches_window(rows):
     )
     j = a.join(b, "product_id")
     assert j.where((F.col("rn") != F.col("w")) | (F.col("n") != F.col("n2"))).count() == 0
+
+
+def test_split_and_folds_spread_small_ids(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "product_id")
+    train, test = hash_split(ids, 0.8)
+    assert abs(train.count() - 4000) < 150 and train.count() + test.count() == 5000
+    folds = [r["count"] for r in train.groupBy(fold_of(5).alias("f")).count().collect()]
+    assert len(folds) == 5 and max(folds) - min(folds) < 150
+    first = train.where("product_id < 1000").count()
+    assert abs(first - 800) < 60
