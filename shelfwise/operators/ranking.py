@@ -211,7 +211,7 @@ def positions_in_group(
     aggregation, so no group is sorted or gathered in one task.
     """
     cols = sorted({c for spec in orders.values() for c, _ in spec} | {id_col})
-    # Persisted once: the size check, the pairing join and the final join all
+    # Persisted once: the planner (by bytes), the pairing join and the final join all
     # read the same selected rows.
     selected = sized(selected)
     sel = selected.select(*keys, *[c for c in cols if c not in keys])

@@ -3,7 +3,7 @@
 Thresholds that the pipeline derives from the data (price and review
 percentiles) are one-row aggregates cross-joined to the rows (broadcast of a
 single row) instead of values collected to the driver, so the whole pipeline
-stays one lazy plan. Category statistics are ``groupBy`` + size-checked
+stays one lazy plan. Category statistics are ``groupBy`` + byte-planned
 broadcast join, and in-category ranks use the distributed row number, so a
 large category never lands in a single task.
 """
