@@ -236,3 +236,11 @@ KEY_METRICS = (
     "Average Product Price",
     "Total Customer Reviews",
 )
+
+# --- D7 insight names, D5 marker texts (fixed values of the report) -------------------------------
+INSIGHTS = (
+    "High-Quality, Low-Price Products",
+    "Products with 4+ Rating",
+    "Premium Products (>₹2000)",
+)
+SUCCESS_MARKERS = {True: "green", False: "red"}

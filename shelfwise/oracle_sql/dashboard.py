@@ -1,7 +1,7 @@
 """Oracle SQL (DuckDB) for the dashboard data sets (D1-D9); doubles reported to 6 decimals."""
 
 from shelfwise.operators.sampling import hash_key_sql
-from shelfwise.oracle_sql.common import q, rnd
+from shelfwise.oracle_sql.common import q, rnd, rtext, thousands
 
 DASH = """
 , dash0 AS (
@@ -264,3 +264,33 @@ FROM dcat GROUP BY main_category
 """)
 
 D9_HIST = q(DASH + _hist("dcat", keys="main_category"))
+
+
+D5C_MARKED = q(DASH + f"""
+SELECT product_id, no_of_ratings_clean, {rnd("ratings_clean", 6)} AS ratings_clean, IF(is_successful, 'green', 'red') AS marker
+FROM flags ORDER BY {_SAMPLE_KEY}, product_id LIMIT 1000
+""")
+
+# The report's lines: figures of the whole table, the best categories, the insights.
+D7_LINES = q(DASH + f"""
+, whole AS (
+    SELECT COUNT(*) AS products, COUNT(DISTINCT main_category) AS categories, AVG(ratings_clean) AS rating, AVG(discount_price_clean) AS price,
+        SUM(no_of_ratings_clean) AS reviews, quantile_cont(discount_price_clean, 0.5) AS middle,
+        COUNT(*) FILTER (ratings_clean >= 4) AS liked, COUNT(*) FILTER (discount_price_clean > 2000) AS dear
+    FROM dash
+), bargains AS (
+    SELECT COUNT(*) AS n FROM dash, whole WHERE ratings_clean >= 4.5 AND discount_price_clean <= middle
+), best AS (
+    SELECT main_category, AVG(quality_score) AS score FROM dash WHERE main_category IS NOT NULL GROUP BY main_category
+    ORDER BY score DESC, main_category LIMIT 5
+)
+SELECT 'metric' AS section, 1 AS position, 'Total Products Analyzed' AS name, {thousands("products")} AS shown FROM whole
+UNION ALL SELECT 'metric', 2, 'Product Categories', CAST(categories AS VARCHAR) FROM whole
+UNION ALL SELECT 'metric', 3, 'Average Product Rating', {rtext("rating", 2)} || '/5.0' FROM whole
+UNION ALL SELECT 'metric', 4, 'Average Product Price', '₹' || {thousands("price")} FROM whole
+UNION ALL SELECT 'metric', 5, 'Total Customer Reviews', {thousands("reviews")} FROM whole
+UNION ALL SELECT 'category', CAST(row_number() OVER (ORDER BY score DESC, main_category) AS INTEGER), main_category, {rtext("score", 2)} FROM best
+UNION ALL SELECT 'insight', 1, 'High-Quality, Low-Price Products', CAST(n AS VARCHAR) || ' (' || {rtext("n * 100.0e0 / products", 1)} || '%)' FROM bargains, whole
+UNION ALL SELECT 'insight', 2, 'Products with 4+ Rating', CAST(liked AS VARCHAR) FROM whole
+UNION ALL SELECT 'insight', 3, 'Premium Products (>₹2000)', CAST(dear AS VARCHAR) FROM whole
+""")

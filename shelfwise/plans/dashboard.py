@@ -13,11 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwise.fixed import KEY_METRICS
-from shelfwise.functions import bucketize, ordinal, pct, round_to
+from shelfwise.fixed import INSIGHTS, KEY_METRICS, SUCCESS_MARKERS
+from shelfwise.functions import bucketize, ordinal, pct, round_text, round_to, thousands
 from shelfwise.operators import (
     box_stats,
     group_percentiles,
@@ -316,6 +316,46 @@ def strategic_insights(d: DataFrame) -> DataFrame:
     )
 
 
+def executive_lines(d: DataFrame) -> DataFrame:
+    """D7 as shown: key metrics, the five best categories and the insights as (section, position, name, shown) with formatted values."""
+    m = d.agg(
+        F.count(F.lit(1)).alias("products"),
+        F.countDistinct("main_category").alias("categories"),
+        F.avg("ratings_clean").alias("rating"),
+        F.avg("discount_price_clean").alias("price"),
+        F.sum("no_of_ratings_clean").alias("reviews"),
+    )
+    shown = [
+        thousands("products"),
+        F.col("categories").cast("string"),
+        F.concat(round_text("rating", 2), F.lit("/5.0")),
+        F.concat(F.lit(CURRENCY), thousands("price")),
+        thousands("reviews"),
+    ]
+    metrics = _lines(m, "metric", zip(KEY_METRICS, shown))
+    i = strategic_insights(d)
+    share = F.concat(F.col("high_quality_low_price").cast("string"), F.lit(" ("), round_text("high_quality_low_price_pct", 1), F.lit("%)"))
+    insights = _lines(i, "insight", zip(INSIGHTS, [share, F.col("rated_4_plus").cast("string"), F.col("premium_over_2000").cast("string")]))
+    best = top_quality_categories(d, 5)
+    place = F.row_number().over(Window.orderBy(F.col("quality_score").desc(), "main_category"))  # five rows
+    best = best.select(F.lit("category").alias("section"), place.alias("position"), F.col("main_category").alias("name"), round_text("quality_score", 2).alias("shown"))
+    return metrics.unionByName(best).unionByName(insights)
+
+
+def _lines(one: DataFrame, section: str, items) -> DataFrame:
+    structs = [
+        F.struct(F.lit(section).alias("section"), F.lit(i).alias("position"), F.lit(name).alias("name"), text.alias("shown"))
+        for i, (name, text) in enumerate(items, start=1)
+    ]
+    return one.select(F.inline(F.array(*structs)))
+
+
+def marked_sample(d: DataFrame, n: int = 1000) -> DataFrame:
+    """D5c with the marker text of each point: the Boolean flag mapped to the chart's colour name."""
+    colour = F.when(F.col("is_successful"), SUCCESS_MARKERS[True]).otherwise(SUCCESS_MARKERS[False])
+    return performance_sample(d, n).select(PRODUCT_ID, "no_of_ratings_clean", "ratings_clean", colour.alias("marker"))
+
+
 # --- D8 / D9 custom analysis and drill-down ----------------------------------
 
 CORRELATION_MEASURES = ("ratings_clean", "discount_price_clean", "no_of_ratings_clean", "quality_score")

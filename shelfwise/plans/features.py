@@ -57,13 +57,13 @@ def dedupe(products: DataFrame, keys: Sequence[str] = PIPELINE_DUPLICATE_KEYS) -
     return first.drop("_dup_rank")
 
 
-def clean(products: DataFrame, keys: Sequence[str] = PIPELINE_DUPLICATE_KEYS) -> DataFrame:
-    """Dedupe, parse prices / strict ratings / counts, keep usable rows."""
+def clean(products: DataFrame, keys: Sequence[str] = PIPELINE_DUPLICATE_KEYS, profile: str = "strict") -> DataFrame:
+    """Dedupe, parse prices / ratings / counts, keep usable rows; ``profile`` names the rating format (``parse_rating``)."""
     rows = dedupe(products, keys).select(
         "*",
         parse_money_double("discount_price").alias("discount_price_clean"),
         parse_money_double("actual_price").alias("actual_price_clean"),
-        parse_rating("ratings", "strict").alias("ratings_clean"),
+        parse_rating("ratings", profile).cast("double").alias("ratings_clean"),
         parse_count("no_of_ratings").alias("no_of_ratings_clean"),
     )
     dp, r = F.col("discount_price_clean"), F.col("ratings_clean")

@@ -146,6 +146,8 @@ REGISTRY.update(
         "d7a_key_metrics": (_dash(db.key_metrics), od.D7A),
         "d7b_top5_quality_categories": (_dash(lambda d: db.top_quality_categories(d, 5)), od.D7B),
         "d7c_strategic_insights": (_dash(db.strategic_insights), od.D7C),
+        "d7_executive_lines": (_dash(db.executive_lines), od.D7_LINES),
+        "d5c_marked_sample": (_dash(db.marked_sample), od.D5C_MARKED),
         "d8_correlation_matrix": (_dash(lambda d: db.correlation_matrix(d)), od.D8),
         "d8_filtered_correlation": (
             _dash(lambda d: db.correlation_matrix(d, category_filter=('Category 0', 'Category 1'), price_range=(500.0, 5000.0))),

@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 
+from pyspark.sql import functions as F
+
 from .conftest import SF_SMALL
 
 
@@ -49,3 +51,16 @@ def test_scans_are_pruned(spark):
     cols = re.search(r"FileScan parquet \[([^\]]*)\]", plan)
     if cols:  # catalogue materialised as Parquet: only the four needed columns are read
         assert len(cols.group(1).split(",")) == 4
+
+
+def test_clean_takes_a_rating_profile(spark):
+    from shelfwise.plans import features as fe
+    from shelfwise.schema import RAW_COLUMNS
+
+    rows = [(i, f"n{i}", "c", r) for i, r in enumerate(["4.5", "4", "4.25", "Get", "9.9", None])]
+    df = spark.createDataFrame(rows, "product_id bigint, name string, main_category string, ratings string")
+    for c in RAW_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("100"))
+    found = {p: {r.ratings: r.ratings_clean for r in fe.clean(df, profile=p).collect()} for p in ("strict", "sql")}
+    assert found["strict"] == {"4.5": 4.5} and found["sql"] == {"4.5": 4.5, "4": 4.0, "4.25": 4.25}
