@@ -102,3 +102,11 @@ _E10_TEXTS = [
 ]
 _E10_METRICS = ", ".join(f"'{p}' || {t} AS metric_{i}" for i, (p, t) in enumerate(zip(fixed.QUALITY_CARD_PREFIXES, _E10_TEXTS), 1))
 E10 = q(f"SELECT '{fixed.QUALITY_CARD_SECTION}' AS report_section, {_E10_METRICS} FROM parsed")
+
+E5_INCREMENTAL = q(f"""
+SELECT main_category, COUNT(*) AS products, CAST(MIN(price) FILTER (v_price) AS DOUBLE) AS min_price, CAST(MAX(price) FILTER (v_price) AS DOUBLE) AS max_price,
+    {rnd("CAST(SUM(price) FILTER (v_price) AS DOUBLE) / COUNT(price) FILTER (v_price)", 2)} AS avg_price,
+    {rnd("CAST(SUM(rating) FILTER (v_rating) AS DOUBLE) / COUNT(rating) FILTER (v_rating)", 2)} AS avg_rating,
+    CAST(SUM(review_count) FILTER (v_count) AS BIGINT) AS total_reviews
+FROM parsed GROUP BY main_category
+""")

@@ -12,6 +12,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.oracle_sql import advanced as oa
 from shelfwise.oracle_sql import dashboard as od
@@ -22,6 +23,7 @@ from shelfwise.plans import advanced as ad
 from shelfwise.plans import dashboard as db
 from shelfwise.plans import exploration as ex
 from shelfwise.plans import features as fe
+from shelfwise.plans import incremental as inc
 from shelfwise.plans import kpi
 from shelfwise.plans import ml
 from shelfwise.plans.feature_store import store_of
@@ -78,6 +80,16 @@ REGISTRY: dict[str, tuple[QueryFn, str | None]] = {
 }
 
 
+def _incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category statistics from the merged partials of three batches of the catalogue (the exact columns)."""
+    products = load_products(spark, sf_dir)
+    batches = [inc.partials(products.where(F.pmod("product_id", F.lit(3)) == b)) for b in range(3)]
+    return inc.category_statistics(batches[0].unionByName(batches[1]).unionByName(batches[2])).drop("approx_names")
+
+
+REGISTRY["e5_incremental_statistics"] = (_incremental, ox.E5_INCREMENTAL)
+
+
 def _feats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of the catalogue, made once per application."""
     products = load_products(spark, sf_dir)
