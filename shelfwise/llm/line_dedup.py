@@ -37,6 +37,8 @@ MIN_DOCS = 5
 FANOUT = 4
 BATCHES = 8
 _KEY = ["__h1", "__h2"]
+#: Tasks that the documents of one frequent line are dealt to.
+SALTS = 16
 #: Order of a NULL doc_id among the ids.
 _LOWEST = -(2**63)
 
@@ -128,8 +130,10 @@ class LineRuns:
         runs = self.current()
         if runs is None:
             return keys.limit(0)
-        frequent = runs.filter(F.col("docs") >= self.min_docs)
-        return keys.join(frequent, _KEY).filter(_rank_id() < F.col("last")).select("__id", *_KEY)
+        # A line that a third of all documents hold is dealt to SALTS tasks by its documents; the few frequent keys are repeated.
+        frequent = runs.filter(F.col("docs") >= self.min_docs).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = keys.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+        return salted.join(frequent, [*_KEY, "__salt"]).filter(_rank_id() < F.col("last")).select("__id", *_KEY)
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Drop from a batch (``__id``, ``__text``) the lines that ``min_docs`` or more documents of earlier batches hold,
