@@ -113,10 +113,13 @@ def labelled_samples(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame
             tokens, labels = [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 text = text or ""
-                values = [m[2] for m in _ASSIGN.finditer(text) if len(m[2]) >= 8] + [m[0] for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
-                values += [m[0] for m in _HEX.finditer(text)]
-                values += _random_strings(f"{i}")
-                words = [w for w in word.findall(text) if not any(w in v for v in values[:-4])]
+                places = [m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
+                places += [m.span() for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
+                places += [m.span() for m in _HEX.finditer(text)]
+                values = [text[x:y] for x, y in places] + _random_strings(f"{i}")
+                # Ordinary words are those that no value touches: what is left of each has to be the whole.
+                found = {m.span() for m in word.finditer(text)}
+                words = [text[x:y] for x, y in _outside(iter(sorted(found)), _covered(sorted(places))) if (x, y) in found]
                 names = [x for four in zip(*[iter(words)] * 4) for x in _identifiers(four)]
                 tokens += values + names
                 labels += [1] * len(values) + [0] * len(names)
@@ -193,24 +196,40 @@ def random_stretches(model: np.ndarray, token: str, min_ratio: float = MIN_RATIO
     return found
 
 
-def _outside(a: int, b: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """What spans in order leave of a stretch."""
-    for _, x, y in base:
-        if x < b and a < y:
-            if a < x:
-                yield a, x
-            a = max(a, y)
-    if a < b:
-        yield a, b
+def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order of their starts as disjoint stretches."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(parts: Iterator[tuple[int, int]], covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What disjoint stretches leave of disjoint parts; both are in order, and each is passed once."""
+    at = 0
+    for a, b in parts:
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        i = at
+        while i < len(covered) and covered[i][0] < b:
+            if a < covered[i][0]:
+                yield a, covered[i][0]
+            a = max(a, covered[i][1])
+            i += 1
+        at = max(at, i - 1)  # the last one may reach into the next part
+        if a < b:
+            yield a, b
 
 
 def scan_text(text: str, model: np.ndarray, min_ratio: float = MIN_RATIO) -> tuple[list, list]:
     """(base spans, all spans) of a text, in order."""
     base = in_order(base_spans(text))
     spans = list(base)
-    for m in _RUN.finditer(text):
-        for a, b in _outside(*m.span(), base):
-            spans += [("markov", a + x, a + y) for x, y in random_stretches(model, text[a:b], min_ratio)]
+    for a, b in _outside((m.span() for m in _RUN.finditer(text)), _covered([s[1:] for s in base])):
+        spans += [("markov", a + x, a + y) for x, y in random_stretches(model, text[a:b], min_ratio)]
     return base, in_order(spans)
 
 
