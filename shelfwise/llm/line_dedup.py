@@ -1,22 +1,28 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A *run* is a table sorted by line hash (128 bits) with one row per key: number of documents that hold it and the
-largest doc_id among them. ``LineRuns`` keeps the runs in levels, as a log-structured tree does:
+largest doc_id among them, in the batch that brought the key. ``LineRuns`` keeps the runs in levels, as a log-structured
+tree does:
 
-- ``add`` sorts a new batch of documents into a run of level 0;
-- when a level holds ``fanout`` runs they are merged into one run of the next level (counts add up, ids take the
-  maximum), so a key is rewritten once per level, not once per batch;
-- ``stale`` merge-anti-joins a batch against the runs: the (document, line) pairs that the runs do not let stand.
+- ``add`` merge-anti-joins the keys of a new batch with the runs. Keys that no run holds become a run of level 0, so runs
+  have no key in common; the others are *repeats*, kept aside with what the run says of them;
+- when a level holds ``fanout`` runs they are merged into one run of the next level, so a key is rewritten once per level,
+  not once per batch;
+- ``frequent`` adds up the repeats: the keys of ``min_docs`` documents or more, without a pass over the other keys;
+- ``stale`` gives the (document, line) pairs that the frequent keys do not let stand.
 
-``ingest`` is the incremental form: the batch is anti-joined against what the runs hold already and then added.
+``ingest`` is the incremental form: the batch loses what the runs hold already and is then added. ``dedup_lines`` takes a
+whole table: its parts go through the runs batch after batch, and a closing pass drops the lines, since only then the
+number of documents and the largest id of every key are known.
 
 A line's key is the line without white space at both ends and with A-Z lower-cased. Keys of fewer than ``min_chars``
 code points are never dropped. A key held by ``min_docs`` documents or more keeps its lines only in the largest doc_id
 that holds it (all of them there); every row counts as a document, so of repeated rows with that doc_id all keep it. A
-NULL doc_id is smaller than any other. A NULL or empty text is one empty line and stays empty.
+NULL doc_id is smaller than any other. A NULL or empty text is one empty line and stays empty. A text of any length is
+hashed whole, line by line, in one task.
 
-Hot lines: a document counts a key once, partial aggregates meet in the shuffle, and only narrow rows (hash, doc_id)
-move; the anti-join's hot keys are split by adaptive execution.
+Hot lines: a document counts a key once, partial aggregates meet in the shuffle before a batch meets the runs, and only
+narrow rows (hash, doc_id) move; the documents of one frequent line are dealt to ``SALTS`` tasks of the closing join.
 """
 
 from __future__ import annotations
@@ -72,15 +78,13 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Levels of sorted runs in the shared folder."""
+    """Levels of sorted runs in the shared folder, no two with a common key, and the repeats that met them."""
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.scratch = Scratch(spark, "line-runs")
         self.fanout, self.min_chars, self.min_docs = fanout, min_chars, min_docs
         self.levels: list[list[DataFrame]] = []
-
-    def _sorted(self, runs: DataFrame) -> DataFrame:
-        return runs.sortWithinPartitions(*_KEY)
+        self.repeats: list[DataFrame] = []
 
     def _push(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
@@ -89,49 +93,67 @@ class LineRuns:
         full = self.levels[level]
         if len(full) >= self.fanout:
             self.levels[level] = []
-            self._push(self.scratch.store(self._sorted(self._merged(full))), level + 1)
+            self._push(self.scratch.store(_merged(full).sortWithinPartitions(*_KEY)), level + 1)
             for old in full:
                 self.scratch.drop(old)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0].select(*_KEY, "docs", "last")
-        for r in runs[1:]:
-            out = out.unionByName(r.select(*_KEY, "docs", "last"))
-        return out.groupBy(*_KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    def _runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
 
     def add(self, keys: DataFrame) -> None:
-        """Add the line keys of one batch of documents as a run."""
-        run = keys.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("docs"), F.max(_rank_id()).alias("last"))
-        self._push(self.scratch.store(self._sorted(run)), 0)
-
-    def add_batches(self, keys: DataFrame, batches: int) -> None:
-        """Add the line keys of many documents as ``batches`` runs of level 0, parted by id, in one job."""
-        batch = F.pmod(F.xxhash64("__id"), F.lit(batches)).cast("int").alias("__batch")
-        runs = keys.groupBy(batch, *_KEY).agg(F.count(F.lit(1)).alias("docs"), F.max(_rank_id()).alias("last"))
-        stored = self.scratch.store(runs.sortWithinPartitions("__batch", *_KEY), partition_by="__batch")
-        for i in range(0, batches, self.fanout):
-            part = [stored.filter(F.col("__batch") == b) for b in range(i, min(batches, i + self.fanout))]
-            if len(part) == self.fanout:
-                self._push(self.scratch.store(self._sorted(self._merged(part))), 1)
-            else:
-                for run in part:
-                    self._push(run, 0)
+        """Anti-join the line keys of one batch of documents with the runs and add what is left as a run."""
+        batch = keys.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("docs"), F.max(_rank_id()).alias("last"))
+        runs = self._runs()
+        if not runs:
+            self._push(self.scratch.store(batch.sortWithinPartitions(*_KEY)), 0)
+            return
+        held = _all(runs).select(*_KEY, F.col("docs").alias("run_docs"), F.col("last").alias("run_last"))
+        met = batch.join(held, _KEY, "left").withColumn("__new", F.col("run_docs").isNull())
+        # One write for both: new keys and repeats are folders of their own.
+        stored = self.scratch.store(met.sortWithinPartitions("__new", *_KEY), partition_by="__new")
+        self.repeats.append(stored.filter(~F.col("__new")).drop("__new"))
+        run = stored.filter("__new").select(*_KEY, "docs", "last")
+        run._scratch_path = f"{stored._scratch_path}/__new=true"
+        self._push(run, 0)
+
+    def add_batches(self, keys: DataFrame, batches: int) -> DataFrame:
+        """Add the line keys of many documents, the parts of the table as ``batches`` batches one after the other.
+
+        Every task hashes documents of one batch, so the keys are stored by batch without a shuffle. They are returned as stored.
+        """
+        keys = keys.withColumn("__batch", F.pmod(F.spark_partition_id(), F.lit(batches)))
+        stored = self.scratch.store(keys, partition_by="__batch")
+        for (batch,) in sorted(stored.select("__batch").distinct().collect()):  # ``batches`` numbers at most
+            self.add(stored.filter(F.col("__batch") == batch))
+        return stored.drop("__batch")
 
     def current(self) -> DataFrame | None:
-        """All runs as one: a row per key."""
-        runs = [r for level in self.levels for r in level]
+        """All runs and repeats as one: a row per key, with all its documents."""
+        runs = self._runs()
+        return _merged(runs + self.repeats) if runs else None
+
+    def frequent(self) -> DataFrame | None:
+        """The keys of ``min_docs`` documents or more. A key that no later batch repeats is frequent by its run alone."""
+        runs = self._runs()
         if not runs:
             return None
-        return runs[0].select(*_KEY, "docs", "last") if len(runs) == 1 else self._merged(runs)
+        alone = _all(runs).filter(F.col("docs") >= self.min_docs)
+        alone = alone.select(*_KEY, F.lit(0).cast("long").alias("docs"), "last", F.col("docs").alias("run_docs"), F.col("last").alias("run_last"))
+        rows = alone
+        for r in self.repeats:
+            rows = rows.unionByName(r)
+        summed = rows.groupBy(*_KEY).agg(
+            (F.sum("docs") + F.max("run_docs")).alias("docs"), F.greatest(F.max("last"), F.max("run_last")).alias("last")
+        )
+        return summed.filter(F.col("docs") >= self.min_docs)
 
     def stale(self, keys: DataFrame) -> DataFrame:
-        """The line keys (``__id``, hashes) that the runs do not let stand: merge-anti-join of a batch and the runs."""
-        runs = self.current()
-        if runs is None:
+        """The line keys (``__id``, hashes) that the frequent keys do not let stand."""
+        frequent = self.frequent()
+        if frequent is None:
             return keys.limit(0)
         # A line that a third of all documents hold is dealt to SALTS tasks by its documents; the few frequent keys are repeated.
-        frequent = runs.filter(F.col("docs") >= self.min_docs).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        frequent = frequent.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = keys.withColumn("__salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
         return salted.join(frequent, [*_KEY, "__salt"]).filter(_rank_id() < F.col("last")).select("__id", *_KEY)
 
@@ -139,15 +161,24 @@ class LineRuns:
         """Drop from a batch (``__id``, ``__text``) the lines that ``min_docs`` or more documents of earlier batches hold,
         whatever their ids, then add the batch. The result is stored."""
         keys = self.scratch.store(line_keys(docs, self.min_chars))
-        runs = self.current()
-        held = keys.limit(0)
-        if runs is not None:
-            held = keys.join(runs.filter(F.col("docs") >= self.min_docs), _KEY).select("__id", *_KEY)
+        frequent = self.frequent()
+        held = keys.limit(0) if frequent is None else keys.join(frequent, _KEY).select("__id", *_KEY)
         out = self.scratch.store(without_lines(docs, held, self.min_chars))
         self.add(keys)
         return out
 
 
+def _all(runs: list[DataFrame]) -> DataFrame:
+    out = runs[0].select(*_KEY, "docs", "last")
+    for r in runs[1:]:
+        out = out.unionByName(r.select(*_KEY, "docs", "last"))
+    return out
+
+
+def _merged(runs: list[DataFrame]) -> DataFrame:
+    return _all(runs).groupBy(*_KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+
+
 def without_lines(docs: DataFrame, stale: DataFrame, min_chars: int) -> DataFrame:
     """``docs`` with ``__kept`` (the text without its stale lines), ``__lines`` and ``__dropped``."""
     per_doc = stale.groupBy(F.col("__id").alias("__of")).agg(F.collect_set(F.struct(*_KEY)).alias("__stale"))
@@ -187,11 +218,10 @@ def without_lines(docs: DataFrame, stale: DataFrame, min_chars: int) -> DataFram
 def dedup_lines(
     docs: DataFrame, id_col="doc_id", text_col="text", min_chars=MIN_CHARS, min_docs=MIN_DOCS, batches=BATCHES, fanout=FANOUT
 ) -> DataFrame:
-    """All rows with ``__kept``, ``__lines`` and ``__dropped``: every batch is added to the runs, then anti-joined."""
+    """All rows with ``__kept``, ``__lines`` and ``__dropped``: batch after batch meets the runs, then frequent lines go."""
     docs = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", text_of(text_col))
     runs = LineRuns(docs.sparkSession, fanout, min_chars, min_docs)
-    keys = runs.scratch.store(line_keys(docs, min_chars))
-    runs.add_batches(keys, batches)
+    keys = runs.add_batches(line_keys(docs, min_chars), batches)
     return without_lines(docs, runs.stale(keys), min_chars).drop("__id", "__text")
 
 

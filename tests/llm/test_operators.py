@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -473,3 +474,63 @@ def test_untitled_mentions_share_the_surrogate(spark):
     assert two.groups() == (john, stone, stone, paul, stone, john, paul, stone) and len({john, stone, paul, miller}) == 4
     assert got["Alice"]["text"] == docs[2][1]
     assert re.fullmatch(rf"Frau {miller}, 2024-05-01 (?!212-555-0199)[\d-]+, {miller}", got["Frau"]["text"]) and got["Frau"]["__n_entities"] == 3
+
+
+def test_batches_meet_the_runs(spark):
+    """Every batch is anti-joined with the runs: no key is in two runs, repeats carry the rest, and the frequent keys are those of all rows."""
+    rng = random.Random(5)
+    lines = [f"line number {i} is long enough to be counted as a key" for i in range(60)]
+    docs = [(rng.choice([None, i, i // 2]), "\n".join(rng.choices(lines, weights=[1 + 40 // (i + 1) for i in range(60)], k=rng.randrange(6)))) for i in range(200)]
+    df = spark.createDataFrame(docs, "__id long, __text string").repartition(7)
+    plain = {}
+    for i, text in docs:
+        for line in set(text.split("\n")) - {""}:
+            plain.setdefault(line, []).append(-(2**63) if i is None else i)
+    wanted = sorted((len(ids), max(ids)) for ids in plain.values())
+    for batches, fanout in ((1, 2), (3, 2), (8, 3), (40, 4)):
+        runs = line_dedup.LineRuns(spark, fanout)
+        keys = runs.add_batches(line_dedup.line_keys(df), batches)
+        held = [tuple(r) for run in runs._runs() for r in run.select("__h1", "__h2").collect()]
+        assert len(held) == len(set(held)) == len(plain)
+        assert bool(runs.repeats) == (batches > 1)
+        assert sorted((r.docs, r.last) for r in runs.current().collect()) == wanted
+        assert sorted((r.docs, r.last) for r in runs.frequent().collect()) == [w for w in wanted if w[0] >= 5]
+        gone = runs.stale(keys).count()
+        assert gone == sum(i < max(ids) for ids in plain.values() if len(ids) >= 5 for i in ids)
+
+
+def test_secret_scan_of_many_spans():
+    """What spans leave of runs equals a mark for every character; time grows with the text, not with its square."""
+    rng = random.Random(8)
+    for _ in range(200):
+        cuts = sorted(rng.sample(range(60), 8))
+        parts = list(zip(cuts[::2], cuts[1::2]))
+        spans = sorted((a, a + rng.randrange(1, 15)) for a in rng.sample(range(55), 5))
+        marked = {i for a, b in spans for i in range(a, b)}
+        got = list(secret_scan._outside(iter(parts), secret_scan._covered(spans)))
+        assert [i for a, b in got for i in range(a, b)] == [i for a, b in parts for i in range(a, b) if i not in marked]
+        assert all(a < b for a, b in got)
+    model = np.zeros(secret_scan._N**2)
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"token=abcdefgh{i} some/plain/path/of/words{i}" for i in range(n))
+        start = time.perf_counter()
+        assert len(secret_scan.scan_text(text, model)[0]) == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30 * took[0]
+
+
+def test_secret_scan_on_planted_and_ordinary_texts(spark):
+    """Held-out strings of several notations are found, identifiers and prose of texts outside the sample are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_samples(docs.filter("doc_id % 2 = 0"), 1_000))
+    rng = random.Random(11)
+    letters = {"hex": "0123456789ABCDEF", "letters": secret_scan._CLASSES[:62], "base64": secret_scan._CLASSES[:64]}
+    for name, alphabet in letters.items():
+        made = ["".join(rng.choices(alphabet, k=32)) for _ in range(300)]
+        found = sum(bool([s for s in secret_scan.scan_text(f"see {x} there", model)[1] if s[0] == "markov"]) for x in made)
+        assert found >= 0.95 * len(made), (name, found)
+    texts = [r.text or "" for r in docs.filter("doc_id % 2 = 1").limit(1_500).collect()]
+    names = [x for t in texts for four in zip(*[iter(re.findall("[A-Za-z]{4,}", t)[:40])] * 4) for x in secret_scan._identifiers(four) if len(x) >= 20]
+    wrong = sum(bool(secret_scan.scan_text(x, model)[1]) for x in names)
+    assert len(names) > 5_000 and wrong <= 0.01 * len(names), (wrong, len(names))
