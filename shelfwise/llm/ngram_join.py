@@ -12,11 +12,13 @@ connected components of these links, exactly, without emitting the pairs inside
    the smaller set (one more each ``STEP`` shingles), so a chance phrase or one common passage makes no candidate of two
    long texts. A query node meets the groups of *other* components that hold ``k`` of its prefix shingles, counting those
    where the sizes and what follows the shingle on both sides allow a link.
-4. For every such group the task holds the union of its members' shingles; ``|query and union| >= num/den * |query|``
-   bounds the overlap with any member. Only qualifying groups are opened, member by member, up to the first link: as
+4. The union of the members' shingles is stored once for every group that a query meets. A query of n shingles needs
+   ``num/den * n`` of them, and ``num / (num + den) * (n + m)`` where m is the group's smallest set: fewer shared with the
+   union rule out every member. This bound sees the stored union and the query, no member.
+5. Only qualifying groups are opened: the members' texts are fetched and compared one by one, up to the first link; as
    all members are connected, one link joins the components, whichever member it is.
 
-Step 3 misses no link (prefix filter), step 4 closes no group that holds one (the bound), so the components are exact;
+Step 3 misses no link (prefix filter), step 4 rules out no group that holds one (the bound), so the components are exact;
 steps 1 and 2 only save work. The order of shingles comes from counts over all texts: every slice of a task reports the
 shingles that occur twice or more in it, and the ``KNOWN`` most frequent go last. That list is the only thing on the
 driver (``KNOWN`` numbers at most) and affects the cost, not the result.
@@ -209,7 +211,7 @@ def _near_links(docs, reps: DataFrame, scratch, width, num, den) -> DataFrame:
 
 
 def _far_links(docs, nodes: DataFrame, scratch, width, num, den) -> DataFrame:
-    """Links between nodes of different components: the token-group matrix. ``nodes``: id, node, n, prefix, comp."""
+    """Links between nodes of different components: the token-group matrix. ``nodes``: id, node, n, prefix, comp. The links are stored."""
     sizes = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     info = nodes.join(sizes, "comp").withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int"))
     info = scratch.store(info.select("id", "node", "n", "comp", "size", "chunk", "prefix"))
@@ -217,9 +219,9 @@ def _far_links(docs, nodes: DataFrame, scratch, width, num, den) -> DataFrame:
     cells = info.select(F.posexplode("prefix").alias("pos", "token"), F.xxhash64("node").alias("h"), F.xxhash64("comp").alias("c"))
     cells = cells.repartition("token")
     crossing = cells.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("token")
-    cells = scratch.store(cells.join(crossing, "token").select("token", "pos", "h"))
+    cells_stored = scratch.store(cells.join(crossing, "token").select("token", "pos", "h"))
     slim = info.select(F.xxhash64("node").alias("h"), "node", "id", "n", "comp", "size", "chunk")
-    cells = cells.join(slim, "h")
+    cells = cells_stored.join(slim, "h")
     columns = cells.groupBy("token", F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk"), F.col("size").alias("g_size"))
     columns = columns.agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("left_hi"))
     queries = cells.select("token", "pos", "node", "id", "n", "comp", "size")
@@ -239,39 +241,86 @@ def _far_links(docs, nodes: DataFrame, scratch, width, num, den) -> DataFrame:
         F.count(F.lit(1)).alias("met"), F.min(shared(F.least("n", "n_lo"))).alias("k")
     )
     asked = scratch.store(asked.filter("met >= k").drop("met", "k"))
-    load = asked.groupBy("g_comp", "g_chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    group = ["g_comp", "g_chunk", "part"]
-    query_rows = asked.join(load, ["g_comp", "g_chunk"]).select("g_comp", "g_chunk", part, F.lit(1).alias("query"), "comp", "id", "node")
-    members = info.select(F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk"), "id", "node").join(load, ["g_comp", "g_chunk"])
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
-    member_rows = members.select(*group, F.lit(0).alias("query"), F.col("g_comp").alias("comp"), "id", "node")
-    wanted = scratch.store(member_rows.unionByName(query_rows))
-    texts = _with_texts(docs, wanted).select(*group, "query", "comp", "id", "node", "text")
-    texts = texts.repartition(*group).sortWithinPartitions(*group, "query", "id")
+    group, part = ["g_comp", "g_chunk"], ["g_comp", "g_chunk", "part"]
+    load = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
+    members = info.select(F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk"), "id", "node").join(load, group)
+    members = scratch.store(members)
+    unions = scratch.store(_unions(docs, members, width))
+    dealt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    wanted = scratch.store(asked.join(load, group).select(*group, dealt, "comp", "id", "node"))
+    none = F.lit(None).cast("binary")
+    query_rows = _with_texts(docs, wanted).select(*part, F.lit(1).alias("query"), none.alias("tokens"), F.lit(0).cast("long").alias("least"), "comp", "id", "node", "text")
+    # A group's union goes to each part of its queries.
+    union_rows = unions.join(load, group).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    union_rows = union_rows.select(*part, F.lit(0).alias("query"), "tokens", "least", none.alias("comp"), F.lit(None).cast("long").alias("id"), none.alias("node"), F.lit("").alias("text"))
+    bounded = query_rows.unionByName(union_rows).repartition(*part).sortWithinPartitions(*part, "query", "id")
+    qualified = scratch.store(bounded.mapInArrow(_bound(width, num, den), "g_comp binary, g_chunk int, part int, comp binary, node binary, tokens binary"))
+    opened = scratch.store(members.join(qualified.select(*part).distinct(), group).select(*part, "id", "node"))
+    member_rows = _with_texts(docs, opened).select(*part, F.lit(0).alias("query"), none.alias("comp"), none.alias("tokens"), "node", "text")
+    asking = qualified.select(*part, F.lit(1).alias("query"), "comp", "tokens", "node", F.lit("").alias("text"))
+    rows = member_rows.unionByName(asking).repartition(*part).sortWithinPartitions(*part, "query", "node")
+    links = scratch.store(rows.mapInArrow(_open(width, num, den), "a binary, b binary"))
+    for table in (info, cells_stored, asked, members, unions, wanted, qualified, opened):
+        scratch.drop(table)
+    return links
+
+
+def _unions(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Per group: the sorted union of its members' shingles (``tokens``) and the size of its smallest set (``least``)."""
+    schema = pa.schema([("g_comp", pa.binary()), ("g_chunk", pa.int32()), ("least", pa.int64()), ("tokens", pa.binary())])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (comp, chunk), rows in _groups(batches, 2):
+            sets = {row[-2]: tokens for row, tokens in _sets(rows, width)}
+            union = np.unique(np.concatenate(list(sets.values())))
+            made = [comp], [chunk], [min(map(len, sets.values()))], [union.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema)], schema=schema)
+
+    texts = _with_texts(docs, members.drop("parts")).select("g_comp", "g_chunk", "id", "node", "text")
+    texts = texts.repartition("g_comp", "g_chunk").sortWithinPartitions("g_comp", "g_chunk", "id")
+    return texts.mapInArrow(unite, "g_comp binary, g_chunk int, least long, tokens binary")
+
+
+def _bound(width: int, num: int, den: int):
+    """Rows (group, part, query, tokens, least, comp, id, node, text), a group's union first: the queries it can hold a link of."""
+    schema = pa.schema(
+        [("g_comp", pa.binary()), ("g_chunk", pa.int32()), ("part", pa.int32()), ("comp", pa.binary()), ("node", pa.binary()), ("tokens", pa.binary())]
+    )
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches, 3):
+            union, least = np.frombuffer(rows[0][1], np.uint64), rows[0][2]
+            passed: dict[bytes, tuple] = {}
+            for row, tokens in _sets(rows[1:], width):
+                n = len(tokens)
+                need = max(_required(n, num, den), -(-num * (n + least) // (num + den)))
+                if row[-2] not in passed and overlap(tokens, union) >= need:
+                    passed[row[-2]] = (*key, row[3], row[-2], tokens.tobytes())
+            if passed:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*passed.values()), schema)], schema=schema)
+
+    return bound
+
+
+def _open(width: int, num: int, den: int):
+    """Rows (group, part, query, comp, tokens, node, text), members first: one link of each query to the group, if it has any."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (comp, _, _), rows in _groups(batches, 3):
-            members, found, done, union = {}, [], set(), None
-            for row, tokens in _sets(rows, width):
-                if not row[0]:
-                    members[row[3]] = tokens
-                    continue
-                if union is None:
-                    union = np.unique(np.concatenate(list(members.values())))
-                if row[1] in done or overlap(tokens, union) < _required(len(tokens), num, den):
-                    continue
-                for node, other in members.items():
+            members = {row[-2]: tokens for row, tokens in _sets([r for r in rows if not r[0]], width)}
+            found = []
+            for _, _, raw, node, _ in (r for r in rows if r[0]):
+                tokens = np.frombuffer(raw, np.uint64)
+                for other in members.values():
                     if num * len(other) <= den * len(tokens) and num * len(tokens) <= den * len(other):
                         both = overlap(tokens, other)
                         if den * both >= num * (len(tokens) + len(other) - both):
-                            found.append((row[1], comp))
-                            done.add(row[1])
+                            found.append((node, comp))
                             break
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found)], ["a", "b"])
 
-    return texts.mapInArrow(link, "a binary, b binary")
+    return link
 
 
 def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -290,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col="doc_id", text_col="text", width:
     part = components(near, scratch)
     nodes = reps.select("id", "node", "n", "prefix").join(part, "node", "left")
     nodes = nodes.select("id", "node", "n", "prefix", F.coalesce("root", "node").alias("comp"))
-    far = scratch.store(_far_links(docs, nodes, scratch, width, num, den))
+    far = _far_links(docs, nodes, scratch, width, num, den)
     part = components(part.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(far), scratch)
     rooted = first.join(part, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,3 +535,39 @@ def test_secret_scan_on_planted_and_ordinary_texts(spark):
     names = [x for t in texts for four in zip(*[iter(re.findall("[A-Za-z]{4,}", t)[:40])] * 4) for x in secret_scan._identifiers(four) if len(x) >= 20]
     wrong = sum(bool(secret_scan.scan_text(x, model)[1]) for x in names)
     assert len(names) > 5_000 and wrong <= 0.01 * len(names), (wrong, len(names))
+
+
+def test_bound_on_stored_unions():
+    """The bound sees a union and a query: no query with a link is ruled out, most of the others are, and opening finds the links."""
+    rng = random.Random(12)
+
+    def edited(base, edits):
+        out = list(base)
+        for _ in range(edits):
+            out[rng.randrange(len(out))] = f"x{rng.randrange(9999)}"
+        return " ".join(out)
+
+    def tokens(text):
+        return next(hashing.shingle_sets([text.encode()], 4))
+
+    linked = passed = far = 0
+    for trial in range(60):
+        base = [f"w{rng.randrange(9999)}" for _ in range(rng.randrange(12, 80))]
+        members = [edited(base, rng.randrange(3)) for _ in range(rng.randrange(1, 6))]
+        queries = [edited(base, rng.randrange(12)) for _ in range(6)] + ["a text of its own that shares nothing"]
+        sets = [tokens(m) for m in members]
+        union = np.unique(np.concatenate(sets))
+        key = {"g_comp": b"g", "g_chunk": 1, "part": 0}
+        given = [key | {"query": 0, "tokens": union.tobytes(), "least": min(map(len, sets)), "comp": None, "id": None, "node": None, "text": ""}]
+        given += [key | {"query": 1, "tokens": None, "least": 0, "comp": q.encode(), "id": i, "node": ngram_join._digest(tokens(q)), "text": q} for i, q in enumerate(queries)]
+        schema = pa.schema([("g_comp", pa.binary()), ("g_chunk", pa.int32()), ("part", pa.int32()), ("query", pa.int32()), ("tokens", pa.binary()), ("least", pa.int64()), ("comp", pa.binary()), ("id", pa.int64()), ("node", pa.binary()), ("text", pa.string())])
+        made = [r for b in ngram_join._bound(4, 85, 100)([pa.RecordBatch.from_pylist(given, schema)]) for r in b.to_pylist()]
+        wanted = {q.encode() for q in queries if any(100 * len(set(tokens(q)) & set(s)) >= 85 * len(set(tokens(q)) | set(s)) for s in sets)}
+        assert wanted <= {r["comp"] for r in made} and queries[-1].encode() not in {r["comp"] for r in made}
+        rest = [key | {"query": 0, "comp": None, "tokens": None, "node": ngram_join._digest(s), "text": m} for m, s in zip(members, sets)]
+        rest += [key | {"query": 1, "comp": r["comp"], "tokens": r["tokens"], "node": r["node"], "text": ""} for r in made]
+        schema = pa.schema([("g_comp", pa.binary()), ("g_chunk", pa.int32()), ("part", pa.int32()), ("query", pa.int32()), ("comp", pa.binary()), ("tokens", pa.binary()), ("node", pa.binary()), ("text", pa.string())])
+        links = {r["a"] for b in ngram_join._open(4, 85, 100)([pa.RecordBatch.from_pylist(rest, schema)]) for r in b.to_pylist()}
+        assert links == {ngram_join._digest(tokens(q.decode())) for q in wanted}
+        linked, passed, far = linked + len(wanted), passed + len(made), far + len(queries)
+    assert 30 < linked <= passed < far / 2
