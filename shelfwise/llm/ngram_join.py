@@ -241,44 +241,50 @@ def _far_links(docs, nodes: DataFrame, scratch, width, num, den) -> DataFrame:
         F.count(F.lit(1)).alias("met"), F.min(shared(F.least("n", "n_lo"))).alias("k")
     )
     asked = scratch.store(asked.filter("met >= k").drop("met", "k"))
+    scratch.drop(cells_stored)
     group, part = ["g_comp", "g_chunk"], ["g_comp", "g_chunk", "part"]
     load = asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts"))
     members = info.select(F.col("comp").alias("g_comp"), F.col("chunk").alias("g_chunk"), "id", "node").join(load, group)
     members = scratch.store(members)
-    unions = scratch.store(_unions(docs, members, width))
+    scratch.drop(info)
     dealt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
     wanted = scratch.store(asked.join(load, group).select(*group, dealt, "comp", "id", "node"))
+    scratch.drop(asked)
+    unions = scratch.store(_unions(docs, members, width))
     none = F.lit(None).cast("binary")
     query_rows = _with_texts(docs, wanted).select(*part, F.lit(1).alias("query"), none.alias("tokens"), F.lit(0).cast("long").alias("least"), "comp", "id", "node", "text")
     # A group's union goes to each part of its queries.
-    union_rows = unions.join(load, group).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    union_rows = unions.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     union_rows = union_rows.select(*part, F.lit(0).alias("query"), "tokens", "least", none.alias("comp"), F.lit(None).cast("long").alias("id"), none.alias("node"), F.lit("").alias("text"))
     bounded = query_rows.unionByName(union_rows).repartition(*part).sortWithinPartitions(*part, "query", "id")
     qualified = scratch.store(bounded.mapInArrow(_bound(width, num, den), "g_comp binary, g_chunk int, part int, comp binary, node binary, tokens binary"))
+    scratch.drop(wanted)
+    scratch.drop(unions)
     opened = scratch.store(members.join(qualified.select(*part).distinct(), group).select(*part, "id", "node"))
+    scratch.drop(members)
     member_rows = _with_texts(docs, opened).select(*part, F.lit(0).alias("query"), none.alias("comp"), none.alias("tokens"), "node", "text")
     asking = qualified.select(*part, F.lit(1).alias("query"), "comp", "tokens", "node", F.lit("").alias("text"))
     rows = member_rows.unionByName(asking).repartition(*part).sortWithinPartitions(*part, "query", "node")
     links = scratch.store(rows.mapInArrow(_open(width, num, den), "a binary, b binary"))
-    for table in (info, cells_stored, asked, members, unions, wanted, qualified, opened):
-        scratch.drop(table)
+    scratch.drop(qualified)
+    scratch.drop(opened)
     return links
 
 
 def _unions(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """Per group: the sorted union of its members' shingles (``tokens``) and the size of its smallest set (``least``)."""
-    schema = pa.schema([("g_comp", pa.binary()), ("g_chunk", pa.int32()), ("least", pa.int64()), ("tokens", pa.binary())])
+    """Per group: the sorted union of its members' shingles (``tokens``), the size of its smallest set (``least``) and its ``parts``."""
+    schema = pa.schema([("g_comp", pa.binary()), ("g_chunk", pa.int32()), ("parts", pa.int32()), ("least", pa.int64()), ("tokens", pa.binary())])
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (comp, chunk), rows in _groups(batches, 2):
             sets = {row[-2]: tokens for row, tokens in _sets(rows, width)}
             union = np.unique(np.concatenate(list(sets.values())))
-            made = [comp], [chunk], [min(map(len, sets.values()))], [union.tobytes()]
+            made = [comp], [chunk], [rows[0][0]], [min(map(len, sets.values()))], [union.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema)], schema=schema)
 
-    texts = _with_texts(docs, members.drop("parts")).select("g_comp", "g_chunk", "id", "node", "text")
+    texts = _with_texts(docs, members).select("g_comp", "g_chunk", "parts", "id", "node", "text")
     texts = texts.repartition("g_comp", "g_chunk").sortWithinPartitions("g_comp", "g_chunk", "id")
-    return texts.mapInArrow(unite, "g_comp binary, g_chunk int, least long, tokens binary")
+    return texts.mapInArrow(unite, "g_comp binary, g_chunk int, parts int, least long, tokens binary")
 
 
 def _bound(width: int, num: int, den: int):
