@@ -438,6 +438,52 @@ def test_bpe_of_long_blank_texts(spark):
     assert got[0] == [] and got[3]
 
 
+def test_bpe_meets_many_new_words(monkeypatch):
+    """Words that the task does not know go to the library many in a call; the kept words are bounded and any cut of the texts gives the same."""
+    v = bpe.Vocabulary(vocabulary_path())
+    rng = random.Random(8)
+    made = ["".join(rng.choice("aeinrstÉ,'7") for _ in range(rng.randrange(1, 12))) for _ in range(6_000)]
+    texts = [" ".join(rng.choices(made, k=400)) for _ in range(40)] + ["", " \t", "\x0b a \x1c\x85b\x00 ", "　", "I'm<|endoftext|>İ x" * 3, "y" * 300]
+    wanted = [v.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    real, calls = v.whole, []
+
+    class Counted:
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(real, name)
+
+    v.whole = Counted()
+    column = pa.array(["left out", *texts]).slice(1)
+    assert [ids.tolist() for ids in v.texts(column)] == wanted
+    assert calls.count("encode") <= 4
+    monkeypatch.setattr(bpe, "CACHE", 100)
+    v.young.clear()
+    for at in range(len(texts)):
+        assert [ids.tolist() for ids in v.texts(column.slice(at, 3))] == wanted[at : at + 3]
+        assert len(v.young) <= 50 and len(v.old) <= 50
+    for ids, text in zip(wanted, texts):
+        ids = np.array(ids, np.int32)
+        monkeypatch.setattr(bpe, "BLOCK", 7)
+        assert b"".join(v.written(v.numerals, ids)).decode() == " ".join(map(str, ids))
+        assert b"".join(v.decoded(ids)).decode() == real.decode(ids.tolist(), skip_special_tokens=False)
+
+
+def test_bpe_batches_are_bounded():
+    """Pieces of long texts give batches of a few megabytes with ids alone, and the tree's encoders are made only for long runs."""
+    v = bpe.Vocabulary(vocabulary_path())
+    texts = [" ".join(f"word{i} {i * k}" for i in range(4_000)) for k in range(1, 160)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64())] * 2 + [pa.array(texts)], ["row", "id", "text"])
+    cut = list(bpe._cut(v, iter([rows]), bpe.LONG, bpe.LEAF))
+    whole = pa.Table.from_batches(cut).combine_chunks().to_batches()[0]
+    coded = list(bpe._code(v, iter([whole])))
+    assert whole.nbytes > 6 * bpe.CHUNK and max(b.nbytes for b in coded) < 6 * bpe.CHUNK
+    assert sum(b.num_rows for b in coded) == whole.num_rows > len(texts)
+    assert "plain" not in vars(v)
+    done = list(bpe._concatenate(v, iter(coded), lambda _, ids: (ids,), "doc_id long, ids array<int>"))
+    for k in (0, 70, len(texts) - 1):
+        assert done[k].column("ids")[0].as_py() == v.whole.encode(texts[k], add_special_tokens=False).ids
+
+
 def test_secrets_in_long_runs(spark):
     """A secret is found whatever is glued to it; ordinary paths are not."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
