@@ -62,10 +62,6 @@ class Vocabulary:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    @cached_property
-    def tokens(self) -> dict[int, str]:
-        return {v: k for k, v in self.whole.get_vocab(with_added_tokens=True).items()}
-
     @cached_property
     def special(self) -> re.Pattern:
         added = [a.content for a in self.whole.get_added_tokens_decoder().values()]
@@ -85,15 +81,16 @@ class Vocabulary:
         inner = made()
         return inner, made(end_of_word_suffix=suffix) if suffix else inner, suffix
 
-    @cached_property
-    def numerals(self) -> pa.StringArray:
-        """By id: a space and the id."""
-        return pa.array([f" {i}" for i in range(max(self.tokens) + 1)], pa.string())
-
     @cached_property
     def spellings(self) -> pa.StringArray:
         """By id: a space and the token."""
-        return pa.array([f" {self.tokens.get(i, '')}" for i in range(max(self.tokens) + 1)], pa.string())
+        tokens = {i: token for token, i in self.whole.get_vocab(with_added_tokens=True).items()}
+        return pa.array([f" {tokens.get(i, '')}" for i in range(max(tokens) + 1)], pa.string())
+
+    @cached_property
+    def numerals(self) -> pa.StringArray:
+        """By id: a space and the id."""
+        return pa.array([f" {i}" for i in range(len(self.spellings))], pa.string())
 
     @staticmethod
     def load(path: str) -> "Vocabulary":
@@ -177,7 +174,7 @@ class Vocabulary:
 
     def spell(self, ids: list[int]) -> str:
         """The symbols of tokens."""
-        out = "".join(self.tokens[i] for i in ids)
+        out = "".join(map(self.whole.id_to_token, ids))
         return out.removesuffix(self.plain[2])
 
     def concatenate(self, left: list[int], right: list[int], end: bool) -> list[int]:
